@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.attacks import draw
 from inkprint.functions.text import space_tokens
+from inkprint.operators.corpus import drop_null_code, in_split
+from inkprint.operators.metrics import median_predictions, roc_auc
+from inkprint.operators.ranking import seeded_sample
+from inkprint.storage import stored
 
 MAX_TOKENS = 512
 SMOOTHING = 1.0
@@ -191,3 +195,27 @@ def curvature(
     )
     score = (F.col("ll") - F.col("mean_ll")) / (F.col("std_ll") + 1e-8)
     return per_id.withColumn("score", score)
+
+
+def zero_shot_eval(
+    dataset: DataFrame,
+    model: BigramModel,
+    n_samples: int | None = 200,
+    n_perturbations: int = 10,
+    seed: int = 42,
+) -> DataFrame:
+    """(roc_auc, accuracy, threshold) of the curvature score on test snippets, predicting AI
+    strictly above the median score."""
+    test = drop_null_code(in_split(dataset, "test")).select("id", "label", "code")
+    if n_samples is not None:
+        # a top-n ends in one task; spread its rows before the costly part
+        test = seeded_sample(test, n_samples, "id", seed).repartition("id")
+    scores = curvature(test, model, n_perturbations, seed=seed).where(F.col("score").isNotNull())
+    # the scores feed an AUC, a median and a comparison with it
+    judged = stored(scores.join(test.select("id", "label"), "id").select("id", "label", "score"), "curvature")
+    predicted = median_predictions(judged)
+    rates = predicted.agg(
+        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+        F.first("threshold").alias("threshold"),
+    )
+    return roc_auc(judged).crossJoin(F.broadcast(rates))  # one row each
