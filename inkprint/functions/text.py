@@ -7,6 +7,8 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def is_nonblank(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"[^{PY_SPACE}]"), F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A column used several times in an expression is evaluated at each use inside lambdas
+    and conditionals; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
@@ -116,15 +127,15 @@ def _single_char_ratio(names: Column) -> Column:
 
 
 def name_avg_len(c: Column) -> Column:
-    return _name_avg_len(_names(c))
+    return let(_names(c), _name_avg_len)
 
 
 def name_snake_case_ratio(c: Column) -> Column:
-    return _snake_ratio(_names(c))
+    return let(_names(c), _snake_ratio)
 
 
 def name_single_char_ratio(c: Column) -> Column:
-    return _single_char_ratio(_names(c))
+    return let(_names(c), _single_char_ratio)
 
 
 # --- comments -----------------------------------------------------------------------
@@ -165,32 +176,57 @@ def blank_line_ratio(c: Column) -> Column:
 
 def line_length_std(c: Column) -> Column:
     """Population standard deviation of line lengths, in two passes."""
-    lengths = F.transform(lines(c), F.length)
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x) / n
-    squares = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.sqrt(squares / n)
+
+    def spread_of(lengths: Column) -> Column:
+        n = F.size(lengths)
+        total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+        squares = let(
+            total / n,
+            lambda mean: F.aggregate(
+                lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)
+            ),
+        )
+        return F.sqrt(squares / n)
+
+    return let(F.transform(lines(c), F.length), spread_of)
 
 
 # --- entropy and tokens -------------------------------------------------------------
 
 
-def char_entropy(c: Column) -> Column:
-    """Base-2 Shannon entropy of the characters.
+def _char_runs(c: Column) -> Column:
+    """The characters in sorted order, cut into runs of equal ones.
 
-    Sorting the characters puts equal ones into runs, so the cost is n log n whatever the
-    number of distinct characters. The possessive quantifier keeps the matcher iterative
-    on runs of any length.
+    The cost is n log n whatever the number of distinct characters. The possessive
+    quantifier keeps the matcher iterative on runs of any length.
     """
     ordered = F.array_join(F.sort_array(F.split(c, "")), "")
-    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0))
-    n = F.length(c).cast("double")
-    total = F.aggregate(
-        F.transform(runs, lambda r: F.length(r) / n),
-        F.lit(0.0),
-        lambda a, p: a - p * F.log2(p),
-    )
-    return F.when(F.length(c) > 0, total + F.lit(0.0)).otherwise(0.0)
+    return F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0))
+
+
+def _weighted_log(runs: Column) -> Column:
+    """Sum of k log2 k over run lengths k."""
+    sizes = F.transform(runs, lambda r: F.length(r).cast("double"))
+    return F.aggregate(sizes, F.lit(0.0), lambda a, k: a + k * F.log2(k))
+
+
+def _entropy(weighted_log: Column, n: Column) -> Column:
+    return F.when(n > 0, F.greatest(F.log2(n) - weighted_log / n, F.lit(0.0))).otherwise(0.0)
+
+
+def char_entropy(c: Column) -> Column:
+    """Base-2 Shannon entropy of the characters."""
+    return let(c, lambda text: _entropy(_weighted_log(_char_runs(text)), F.length(text)))
+
+
+def space_token_entropy(runs: Column, n_tokens: Column) -> Column:
+    """Entropy of the whitespace tokens joined by single spaces, from the runs of the text:
+    the joined characters are those of the text without whitespace, plus the spaces."""
+    inked = F.filter(runs, lambda r: ~r.rlike(rf"\A[{PY_SPACE}]"))
+    gaps = F.greatest(n_tokens - 1, F.lit(0)).cast("double")
+    n = F.aggregate(inked, F.lit(0), lambda a, r: a + F.length(r)) + gaps
+    gap_term = F.when(gaps > 0, gaps * F.log2(gaps)).otherwise(0.0)
+    return let(_weighted_log(inked) + gap_term, lambda w: let(n, lambda m: _entropy(w, m)))
 
 
 def space_tokens(c: Column) -> Column:
@@ -199,8 +235,10 @@ def space_tokens(c: Column) -> Column:
 
 
 def unique_ratio(tokens: Column) -> Column:
-    n = F.size(tokens)
-    return F.when(n > 0, F.size(F.array_distinct(tokens)) / n).otherwise(0.0)
+    def share(t: Column) -> Column:
+        return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0)
+
+    return let(tokens, share)
 
 
 def with_style_features(df: DataFrame, code: str = "code", tokens: str = "python") -> DataFrame:
@@ -222,10 +260,12 @@ def with_style_features(df: DataFrame, code: str = "code", tokens: str = "python
             "unique_token_ratio": F.col("_tok.unique_token_ratio"),
         }
     elif tokens == "space":
-        staged = df.withColumns({"_names": _names(c), "_tok": space_tokens(c)})
+        staged = df.withColumns(
+            {"_names": _names(c), "_tok": space_tokens(c), "_runs": _char_runs(c)}
+        )
         tail = {
-            "char_entropy": char_entropy(c),
-            "token_entropy": char_entropy(F.array_join("_tok", " ")),
+            "char_entropy": _entropy(_weighted_log(F.col("_runs")), F.length(c)),
+            "token_entropy": space_token_entropy(F.col("_runs"), F.size("_tok")),
             "n_tokens": F.size("_tok"),
             "unique_token_ratio": unique_ratio(F.col("_tok")),
         }
@@ -246,7 +286,7 @@ def with_style_features(df: DataFrame, code: str = "code", tokens: str = "python
         **tail,
     }
     return staged.withColumns({k: v.cast("double") for k, v in features.items()}).drop(
-        "_names", "_tok"
+        "_names", "_tok", "_runs"
     )
 
 

@@ -8,7 +8,6 @@ tabulated once per task and every row is a table lookup, vectorised over Arrow b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -27,13 +26,9 @@ _LOG_ODDS_PER_MARGIN = 2.0
 MAX_NODES = 2_000_000
 
 
-@dataclass(frozen=True)
-class Leaf:
-    value: float
-    features: tuple[int, ...]
-    low: tuple[float, ...]
-    high: tuple[float, ...]
-    cover: tuple[float, ...]
+# (value, features, low, high, cover): one leaf and the bounds its path sets per feature;
+# a plain tuple, so that executors unpickle it without this module
+Leaf = tuple[float, tuple[int, ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]]
 
 
 def tree_nodes(model: PipelineModel) -> DataFrame:
@@ -68,7 +63,7 @@ def leaves_of(model: PipelineModel) -> list[Leaf]:
         if node.left < 0:
             scale = weights[node.tree] * _LOG_ODDS_PER_MARGIN
             bounds = list(zip(*path.values())) or [(), (), ()]
-            found.append(Leaf(node.value * scale, tuple(path), *bounds))
+            found.append((node.value * scale, tuple(path), *bounds))
             continue
         low, high, cover = path.get(node.feature, (-np.inf, np.inf, 1.0))
         for child, side in ((node.left, "left"), (node.right, "right")):
@@ -81,7 +76,7 @@ def leaves_of(model: PipelineModel) -> list[Leaf]:
 
 def base_value(leaves: list[Leaf]) -> float:
     """Expected log-odds over the training rows."""
-    return float(sum(leaf.value * np.prod(leaf.cover) for leaf in leaves))
+    return float(sum(value * np.prod(cover) for value, _, _, _, cover in leaves))
 
 
 def _shares(agrees: np.ndarray, cover: np.ndarray) -> np.ndarray:
@@ -111,24 +106,24 @@ class Attributor:
     def __init__(self, leaves: list[Leaf], n_features: int):
         self.n_features = n_features
         self.leaves = []
-        for leaf in leaves:
-            m = len(leaf.features)
+        for value, features, low, high, cover in leaves:
+            m = len(features)
             if m == 0:
                 continue
-            cover = np.array(leaf.cover)
+            cover = np.array(cover)
             table = None
             if m <= _TABLE_BITS:
                 patterns = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
-                table = (_shares(patterns.astype(float), cover) * leaf.value).T.copy()
-            self.leaves.append((leaf, cover, table))
+                table = (_shares(patterns.astype(float), cover) * value).T.copy()
+            self.leaves.append((value, features, low, high, cover, table))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         columns = np.ascontiguousarray(x.T)
         total = np.zeros((self.n_features, len(x)))
-        for leaf, cover, table in self.leaves:
+        for value, features, low, high, cover, table in self.leaves:
             agrees = [
-                ~(columns[f] <= low) & ((columns[f] <= high) | np.isinf(high))
-                for f, low, high in zip(leaf.features, leaf.low, leaf.high)
+                ~(columns[f] <= lo) & ((columns[f] <= hi) | np.isinf(hi))
+                for f, lo, hi in zip(features, low, high)
             ]
             if table is not None:
                 code = np.zeros(len(x), dtype=np.intp)
@@ -137,8 +132,8 @@ class Attributor:
                 shares = table[:, code]
             else:
                 seen, code = np.unique(np.stack(agrees, 1), axis=0, return_inverse=True)
-                shares = (_shares(seen.astype(float), cover) * leaf.value).T[:, code.ravel()]
-            for f, share in zip(leaf.features, shares):
+                shares = (_shares(seen.astype(float), cover) * value).T[:, code.ravel()]
+            for f, share in zip(features, shares):
                 total[f] += share
         return total.T
 

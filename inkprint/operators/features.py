@@ -118,29 +118,34 @@ def with_ast_features(df: DataFrame, code: str = "code") -> DataFrame:
     Fractions are laid out over a fixed vocabulary, so the schema does not depend on data.
     """
     staged = df.withColumn("_ast", syntax.ast_profile(F.col(code)))
-    counts = F.col("_ast.counts")
-    zero = F.lit(0)
-    total = F.coalesce(F.col("_ast.n_nodes"), zero)
 
-    def of(*names: str) -> Column:
-        found = sum((counts[syntax.NODE_INDEX[n]] for n in names[1:]), counts[syntax.NODE_INDEX[names[0]]])
-        return F.coalesce(found, zero)
+    def of(*names: str) -> str:
+        found = " + ".join(f"_ast.counts[{syntax.NODE_INDEX[n]}]" for n in names)
+        return f"coalesce({found}, 0)"
+
+    def per(top: str, bottom: str) -> str:
+        return f"coalesce(try_divide(cast({top} as double), cast({bottom} as double)), 0D)"
 
+    # one SQL string per column: over a hundred columns, building Column objects call by
+    # call costs seconds on the driver
     features = {
-        "ast_parse_success": F.when(total > 0, 1.0).otherwise(0.0),
-        "ast_depth": F.coalesce(F.col("_ast.depth"), zero),
-        "ast_n_nodes": total,
+        "ast_parse_success": "_ast.n_nodes is not null",
+        "ast_depth": "coalesce(_ast.depth, 0)",
+        "ast_n_nodes": "coalesce(_ast.n_nodes, 0)",
         "ast_n_functions": of(*syntax.FUNCTION_NODES),
         "ast_n_branches": of(*syntax.BRANCH_NODES),
         "ast_n_try_except": of(*syntax.TRY_NODES),
         "ast_n_comprehensions": of(*syntax.COMPREHENSION_NODES),
-        "ast_avg_function_args": ratio(F.col("_ast.n_args"), of(*syntax.FUNCTION_NODES)),
-        "ast_max_nesting": F.lit(0.0),
-        "ast_cyclomatic_complexity": ratio(F.col("_ast.complexity"), F.col("_ast.n_blocks")),
+        "ast_avg_function_args": per("_ast.n_args", of(*syntax.FUNCTION_NODES)),
+        "ast_max_nesting": "0",
+        "ast_cyclomatic_complexity": per("_ast.complexity", "_ast.n_blocks"),
     }
     for name, index in syntax.NODE_INDEX.items():
-        features[f"ast_frac_{name}"] = ratio(counts[index], total)
-    return staged.withColumns({k: v.cast("double") for k, v in features.items()}).drop("_ast")
+        features[f"ast_frac_{name}"] = per(f"_ast.counts[{index}]", "_ast.n_nodes")
+    return staged.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"cast({sql} as double) as `{name}`" for name, sql in features.items()],
+    )
 
 
 # Extension point: each extractor appends its columns to the rows it is given.
@@ -163,7 +168,7 @@ def feature_matrix(df: DataFrame) -> DataFrame:
     """Meta columns that exist, then the features; missing values are 0."""
     rows = with_features(drop_null_code(df))
     names = [c for c in rows.columns if c not in df.columns]
-    return rows.select(*meta_columns(df), *names).na.fill(0.0, names)
+    return align_features(rows, names, meta_columns(df))
 
 
 def attach_features(meta: DataFrame, features: DataFrame) -> DataFrame:
@@ -176,10 +181,10 @@ def align_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     """Exactly the training columns in their order: missing become 0, others are dropped."""
     present = set(df.columns)
     aligned = [
-        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in present else F.lit(0.0).alias(c)
+        f"coalesce(cast(`{c}` as double), 0D) as `{c}`" if c in present else f"0D as `{c}`"
         for c in columns
     ]
-    return df.select(*keep, *aligned)
+    return df.selectExpr(*[f"`{c}`" for c in keep], *aligned)
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from inkprint.storage import stored
 MAX_TOKENS = 512
 SMOOTHING = 1.0
 # pairs priced by broadcast: at most this many rows, whatever the data
-HOT_PAIRS = 20_000
+HOT_PAIRS = 100_000
 # equal perturbations must have exactly equal scores, whatever order their terms were added in
 _SCORE_DIGITS = 12
 
@@ -47,17 +47,22 @@ def _pairs_of(tokens: Column) -> Column:
 
 
 def fit_bigrams(train: DataFrame, code: str = "code") -> BigramModel:
-    """Counts over whole texts of the training rows."""
+    """Counts over whole texts of the training rows.
+
+    The count tables are the fitted model: they are written once, so scoring reads them
+    instead of tokenizing the training texts again for every use.
+    """
     tokens = train.select(space_tokens(F.col(code)).alias("t"))
-    pairs = (
+    pairs = stored(
         tokens.select(F.inline(_pairs_of(F.col("t"))))
         .groupBy("w1", "w2")
-        .agg(F.count("*").alias("n_pair"))
+        .agg(F.count("*").alias("n_pair")),
+        "bigram-pairs",
     )
     n_word = tokens.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n_word"))
     n_first = pairs.groupBy(F.col("w1").alias("w")).agg(F.sum("n_pair").alias("n_first"))
-    words = n_word.join(n_first, "w", "left").na.fill(0, ["n_first"])
-    totals = n_word.agg(
+    words = stored(n_word.join(n_first, "w", "left").na.fill(0, ["n_first"]), "bigram-words")
+    totals = words.agg(
         F.coalesce(F.sum("n_word"), F.lit(0)).alias("n_tokens"), F.count("*").alias("n_words")
     )
     return BigramModel(words, pairs, totals)
@@ -97,34 +102,29 @@ def log_likelihood(
     """(keys, n_predicted, ll): mean log-probability per predicted token of the first
     ``max_tokens`` tokens; null when no token is predicted."""
     head = F.slice(space_tokens(F.col(code)), 1, max_tokens)
-    tokens = df.select(*keys, head.alias("_t"))
-    steps = tokens.select(*keys, F.inline(_pairs_of(F.col("_t"))))
-    priced = price_pairs(steps.groupBy("w1", "w2").agg(F.count("*").alias("_uses")), model)
-    # the join below has the frequent pairs on the map side and the rest by shuffle
+    # a text without a pair keeps one row, with null words
+    steps = df.select(*keys, F.inline_outer(_pairs_of(head)))
+    used = steps.where(F.col("w1").isNotNull()).groupBy("w1", "w2").agg(F.count("*").alias("_uses"))
+    # priced pairs are read twice below; written once, they are one row per distinct pair
+    priced = stored(price_pairs(used, model), "priced-pairs")
     hot = priced.orderBy(F.col("_uses").desc(), "w1", "w2").limit(hot_pairs)
-    hot = hot.select("w1", "w2", F.col("logp").alias("_hot"))
-    flagged = steps.join(F.broadcast(hot), ["w1", "w2"], "left")
+    hot = F.broadcast(hot.select("w1", "w2", F.col("logp").alias("_hot")))
+    flagged = steps.join(hot, ["w1", "w2"], "left")
 
     def partial(rows: DataFrame, value: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.count("*").alias("_steps"))
+        return rows.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.count("w1").alias("_steps"))
 
-    near = partial(flagged.where(F.col("_hot").isNotNull()), "_hot")
-    far_steps = flagged.where(F.col("_hot").isNull()).select(*keys, "w1", "w2")
+    is_near = F.col("_hot").isNotNull() | F.col("w1").isNull()
+    near = partial(flagged.where(is_near), "_hot")
+    far_steps = flagged.where(~is_near).select(*keys, "w1", "w2")
     far = partial(far_steps.join(priced, ["w1", "w2"]), "logp")
     sums = (
         near.unionByName(far)
         .groupBy(*keys)
         .agg(F.sum("_sum").alias("_sum"), F.sum("_steps").alias("n_predicted"))
     )
-    mean = F.round(F.col("_sum") / F.col("n_predicted"), _SCORE_DIGITS)
-    scored = sums.select(*keys, "n_predicted", mean.alias("ll"))
-    # rows without a predicted token keep their place with a null score
-    short = (
-        tokens.where(F.size("_t") < 2)
-        .select(*keys, F.lit(0).cast("bigint").alias("n_predicted"))
-        .withColumn("ll", F.lit(None).cast("double"))
-    )
-    return scored.unionByName(short)
+    mean = F.round(F.try_divide(F.col("_sum"), F.col("n_predicted")), _SCORE_DIGITS)
+    return sums.select(*keys, "n_predicted", mean.alias("ll"))
 
 
 def perplexity(ll: Column) -> Column:

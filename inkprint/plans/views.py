@@ -32,9 +32,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, without negative zero."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c)
+            f"round(`{c}`, {digits}) + 0D as `{c}`" if t in ("double", "float") else f"`{c}`"
             for c, t in df.dtypes
         ]
     )
