@@ -85,6 +85,7 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
     @keyword_only
     def __init__(self, *, inputCol=VECTOR, outputCol="kernel", size=500, gamma=1.0, width=1, seed=42):
         super().__init__()
+        self._setDefault(inputCol=VECTOR, outputCol="kernel", size=500, gamma=1.0, width=1, seed=42)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
