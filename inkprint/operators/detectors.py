@@ -234,13 +234,12 @@ def lexical_tokens(df: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return df.withColumn("tokens", F.slice(py_tokens(F.col("code")), 1, max_tokens))
 
 
-def lexical_pipeline(reg: float, ngram: int = 2, n_features: int = 1 << 16) -> Pipeline:
+def lexical_features(ngram: int = 2, n_features: int = 1 << 16) -> Pipeline:
     return Pipeline(
         stages=[
             NGram(n=ngram, inputCol="tokens", outputCol="grams"),
             HashingTF(inputCol="grams", outputCol="tf", numFeatures=n_features),
             IDF(inputCol="tf", outputCol=VECTOR),
-            LogisticRegression(featuresCol=VECTOR, regParam=reg, maxIter=50),
         ]
     )
 
@@ -251,16 +250,17 @@ def train_lexical(
     """The candidate with the best validation F1, and its metrics per held-out split.
 
     Candidates are tried in order; after two in a row without improvement the rest are
-    skipped. Token lists are computed once.
+    skipped. They differ only in the last stage, so texts are tokenized and hashed once.
     """
-    tokens = lexical_tokens(dataset.na.drop(subset=["code"])).select(
-        "id", "label", "split", "tokens"
-    )
-    tokens = stored(tokens, "lexical-tokens")
-    train, val = in_split(tokens, "train"), in_split(tokens, "val")
+    dataset = dataset.na.drop(subset=["code"]).select("id", "label", "split", "code")
+    tokens = stored(lexical_tokens(dataset).drop("code"), "lexical-tokens")
+    front = lexical_features(ngram).fit(in_split(tokens, "train"))
+    vectors = front.transform(tokens).select("id", "label", "split", VECTOR)
+    vectors = stored(vectors, "lexical-features")
+    train, val = in_split(vectors, "train"), in_split(vectors, "val")
     best, best_f1, stale = None, -1.0, 0
     for reg in strengths:
-        model = lexical_pipeline(reg, ngram).fit(train)
+        model = LogisticRegression(featuresCol=VECTOR, regParam=reg, maxIter=50).fit(train)
         f1 = evaluate(with_probability(model.transform(val)), []).first()["f1"]
         if f1 > best_f1:
             best, best_f1, stale = model, f1, 0
@@ -268,8 +268,9 @@ def train_lexical(
             stale += 1
         if stale >= PATIENCE:
             break
-    held_out = tokens.where(F.col("split").isin("val", "test"))
-    return best, evaluate(with_probability(best.transform(held_out)), ["split"])
+    held_out = vectors.where(F.col("split").isin("val", "test"))
+    metrics = evaluate(with_probability(best.transform(held_out)), ["split"])
+    return PipelineModel([*front.stages, best]), metrics
 
 
 def score_lexical(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.attacks import draw
-from inkprint.functions.text import space_tokens
+from inkprint.functions.text import let, space_tokens
 from inkprint.operators.corpus import drop_null_code, in_split
 from inkprint.operators.metrics import median_predictions, roc_auc
 from inkprint.operators.ranking import seeded_sample
@@ -39,11 +39,10 @@ class BigramModel:
 def _pairs_of(tokens: Column) -> Column:
     """Adjacent token pairs as an array of structs; empty below two tokens."""
     n = F.size(tokens)
-    zipped = F.arrays_zip(
+    return F.arrays_zip(
         F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
         F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))).alias("w2"),
     )
-    return zipped
 
 
 def fit_bigrams(train: DataFrame, code: str = "code") -> BigramModel:
@@ -103,7 +102,7 @@ def log_likelihood(
     ``max_tokens`` tokens; null when no token is predicted."""
     head = F.slice(space_tokens(F.col(code)), 1, max_tokens)
     # a text without a pair keeps one row, with null words
-    steps = df.select(*keys, F.inline_outer(_pairs_of(head)))
+    steps = df.select(*keys, F.inline_outer(let(head, _pairs_of)))
     used = steps.where(F.col("w1").isNotNull()).groupBy("w1", "w2").agg(F.count("*").alias("_uses"))
     # priced pairs are read twice below; written once, they are one row per distinct pair
     priced = stored(price_pairs(used, model), "priced-pairs")

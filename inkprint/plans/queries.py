@@ -104,7 +104,10 @@ def _records(spark, sf):
 
 
 def _bigrams(spark, sf):
-    return L.fit_bigrams(C.in_split(_split_snippets(spark, sf), "train"))
+    def fit():
+        return L.fit_bigrams(C.in_split(_split_snippets(spark, sf), "train"))
+
+    return _once(spark, sf, "bigrams", fit)
 
 
 def _nodes(spark, sf):

@@ -219,6 +219,18 @@ def test_robustness_rows(spark, sf, code_model):
     assert whole["none"].accuracy == pytest.approx(right / total)
 
 
+def test_degradation_curve(spark, sf, code_model):
+    dataset = V.code_dataset(spark, sf)
+    plain = {r.attack: r for r in RB.robustness(code_model, dataset, 25).collect()}
+    curve = RB.robustness(code_model, dataset, 25, strengths=[0.0, 0.5, 1.0]).collect()
+    assert len(curve) == 3 * len(ATTACKS)
+    for r in curve:
+        expected = {0.0: plain["none"], 1.0: plain[r.attack]}.get(r.strength)
+        if expected is not None:
+            assert r.accuracy == pytest.approx(expected.accuracy)
+            assert r.roc_auc == pytest.approx(expected.roc_auc)
+
+
 def test_custom_attack_and_extractor(spark, programs):
     rows = RB.attack_rows(
         programs.withColumn("label", F.lit(1)), {"upper": lambda code, id_col, seed: F.upper(code)}
