@@ -12,7 +12,6 @@ import os
 import sys
 import time
 
-from pyspark.ml import Pipeline
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +54,7 @@ def headline(spark: SparkSession):
     def fit():
         train = in_split(q._code_features(spark, SF_DIR), "train")
         trees = detectors.boosted_trees(20, 6)
-        model = Pipeline(stages=[detectors.assembler(features.FEATURES), trees]).fit(train)
-        return detectors.top_importances(model)
+        return detectors.top_importances(detectors.fit_pipeline(trees, features.FEATURES, train))
 
     runs = {
         "style_features_jvm": lambda: style("space"),

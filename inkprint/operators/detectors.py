@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from inkprint.functions.pysyntax import py_tokens
 from inkprint.operators.corpus import in_split
 from inkprint.operators.metrics import evaluate
-from inkprint.storage import stored
+from inkprint.storage import shared_dir, stored
 
 VECTOR = "features"
 PROBABILITY = "score"
@@ -40,6 +40,12 @@ def assembler(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=VECTOR, handleInvalid="keep")
 
 
+def fit_pipeline(estimator: Estimator, columns: Sequence[str], train: DataFrame) -> PipelineModel:
+    """Assemble the columns and fit; boosting cuts its lineage in the shared folder."""
+    shared_dir(train.sparkSession)
+    return Pipeline(stages=[assembler(columns), estimator]).fit(train)
+
+
 def boosted_trees(
     rounds: int = 300,
     depth: int = 6,
@@ -184,6 +190,7 @@ def train_baselines(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every baseline on the train split; one metrics row per model and held-out split.
 
+    ``features`` is read for training and once per model for scoring: pass a stored matrix.
     ``kernel`` holds options of the kernel machine; ``{}`` takes the defaults and None
     leaves it out. All models are evaluated in one job over the union of their scores.
     """
@@ -191,7 +198,7 @@ def train_baselines(
     train = in_split(features, "train").persist()
     try:
         models = {
-            name: Pipeline(stages=[assembler(columns), estimator]).fit(train)
+            name: fit_pipeline(estimator, columns, train)
             for name, estimator in estimators.items()
         }
         if kernel is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.functions import pysyntax as syntax
@@ -93,10 +93,9 @@ def ast_depth(nodes: DataFrame) -> DataFrame:
 def node_fractions(nodes: DataFrame) -> DataFrame:
     """(id, node_type, n, fraction): share of each node type among the snippet's nodes."""
     per_type = nodes.groupBy("id", "node_type").agg(F.count("*").alias("n"))
-    totals = nodes.groupBy("id").agg(F.count("*").alias("total"))
-    return per_type.join(totals, "id").select(
-        "id", "node_type", "n", (F.col("n") / F.col("total")).alias("fraction")
-    )
+    # a snippet has at most one row per node type here, and the trees are parsed once
+    total = F.sum("n").over(Window.partitionBy("id"))
+    return per_type.select("id", "node_type", "n", (F.col("n") / total).alias("fraction"))
 
 
 def fraction_maps(nodes: DataFrame) -> DataFrame:

@@ -158,10 +158,15 @@ def perturbations(
     df: DataFrame, n_perturbations: int = 10, n_swaps: int = 5, seed: int = 42
 ) -> DataFrame:
     """One row per (id, round) with the perturbed text."""
-    rounds = df.select("id", "code", F.explode(F.sequence(F.lit(1), F.lit(n_perturbations))).alias("round"))
-    return rounds.select(
-        "id", "round", perturb(F.col("code"), F.col("id"), F.col("round"), n_swaps, seed).alias("code")
-    )
+    return _rounds(df, 1, n_perturbations, n_swaps, seed)
+
+
+def _rounds(df: DataFrame, first: int, last: int, n_swaps: int, seed: int) -> DataFrame:
+    """(id, round, code) for each round; round 0 is the text itself."""
+    numbers = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("round")
+    changed = perturb(F.col("code"), F.col("id"), F.col("round"), n_swaps, seed)
+    code = F.when(F.col("round") == 0, F.col("code")).otherwise(changed)
+    return df.select("id", "code", numbers).select("id", "round", code.alias("code"))
 
 
 def perturbation_stats(scores: DataFrame) -> DataFrame:
@@ -183,8 +188,7 @@ def curvature(
     Original and perturbed texts are scored together, the original as round 0, so the
     model tables are joined once.
     """
-    original = df.select("id", F.lit(0).alias("round"), "code")
-    texts = original.unionByName(perturbations(df, n_perturbations, n_swaps, seed))
+    texts = _rounds(df, 0, n_perturbations, n_swaps, seed)
     scores = log_likelihood(texts, model, keys=("id", "round"))
     perturbed = F.when(F.col("round") > 0, F.col("ll"))
     per_id = scores.groupBy("id").agg(

@@ -7,12 +7,12 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.operators.corpus import distinct_source_models, in_split
-from inkprint.operators.detectors import assembler, boosted_trees, with_probability
+from inkprint.operators.detectors import boosted_trees, fit_pipeline, with_probability
 from inkprint.operators.metrics import roc_auc
 
 MIN_ROWS = 10
@@ -88,8 +88,7 @@ def transfer_auc(
     try:
 
         def fit(name: str):
-            pipeline = Pipeline(stages=[assembler(columns), estimator])
-            return name, pipeline.fit(rows_for_model(train, name))
+            return name, fit_pipeline(estimator, columns, rows_for_model(train, name))
 
         with ThreadPool(_PARALLEL_FITS) as pool:
             fitted = pool.map(inheritable_thread_target(features.sparkSession)(fit), trainable)

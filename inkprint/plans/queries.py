@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +72,7 @@ def _code_features(spark, sf):
 def _code_model(spark, sf):
     def fit():
         train = C.in_split(_code_features(spark, sf), "train")
-        trees = D.boosted_trees(_ROUNDS, _DEPTH)
-        return Pipeline(stages=[D.assembler(FE.FEATURES), trees]).fit(train)
+        return D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH), FE.FEATURES, train)
 
     return _once(spark, sf, "model", fit)
 

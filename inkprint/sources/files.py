@@ -58,10 +58,10 @@ def read_source_tree(
         .option("pathGlobFilter", glob or SUFFIXES.get(language, SUFFIXES["python"]))
         .load(path)
     )
-    text = decode_utf8(F.col("content"))
-    return files.select(
-        F.col("path"), F.regexp_replace(text, r"\r\n?", "\n").alias("source")
-    )
+    whole = F.col("content").cast("string")
+    repaired = decode_utf8(F.when(~F.is_valid_utf8(whole), F.col("content")))
+    text = F.coalesce(repaired, whole)
+    return files.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("source"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
