@@ -138,10 +138,13 @@ class Attributor:
         return total.T
 
 
-def with_attributions(df: DataFrame, model: PipelineModel, out: str = "shap") -> DataFrame:
+def with_attributions(
+    df: DataFrame, model: PipelineModel, out: str = "shap", leaves: list[Leaf] | None = None
+) -> DataFrame:
     """Append one contribution per feature column; with ``base_value`` they sum to the
-    log-odds of the row's score. ``df`` holds the assembled vector."""
-    leaves = leaves_of(model)
+    log-odds of the row's score. ``df`` holds the assembled vector; ``leaves`` saves reading
+    the model again when it is applied many times."""
+    leaves = leaves_of(model) if leaves is None else leaves
     width = len(model.stages[0].getInputCols())
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
@@ -176,14 +179,17 @@ def global_importance(df: DataFrame, names: list[str], values: str = "shap") ->
     )
 
 
+# Wording of a contribution.
+TOWARD_AI, TOWARD_HUMAN = "toward AI-generated", "toward human-written"
+IMPACT_FORMAT = "%s (impact=%+.3f, pushes %s)"
+
+
 def impact_direction(impact: Column) -> Column:
-    return F.when(impact > 0, "toward AI-generated").otherwise("toward human-written")
+    return F.when(impact > 0, TOWARD_AI).otherwise(TOWARD_HUMAN)
 
 
 def impact_text(feature: Column, impact: Column) -> Column:
-    return F.format_string(
-        "%s (impact=%+.3f, pushes %s)", feature, impact, impact_direction(impact)
-    )
+    return F.format_string(IMPACT_FORMAT, feature, impact, impact_direction(impact))
 
 
 def top_contributions(values: Column, names: list[str], k: int = 5) -> Column:

@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 
 from inkprint.operators.corpus import nonblank
 from inkprint.operators.detectors import with_probability
-from inkprint.operators.explain import top_contributions, with_attributions
+from inkprint.operators.explain import Leaf, top_contributions, with_attributions
 from inkprint.operators.features import align_features, with_features
 from inkprint.operators.metrics import threshold_prediction
 
 
+# Wording of the verdict.
+LIKELY_AI, LIKELY_HUMAN = "Likely AI-generated", "Likely human-written"
+
+
 def verdict(probability: Column) -> Column:
-    return F.when(probability > 0.5, "Likely AI-generated").otherwise("Likely human-written")
+    return F.when(probability > 0.5, LIKELY_AI).otherwise(LIKELY_HUMAN)
 
 
 def confidence(probability: Column) -> Column:
     return F.format_string("%.1f%%", probability * 100)
 
 
-def score_snippets(df: DataFrame, model: PipelineModel, top_k: int = 6) -> DataFrame:
+def score_snippets(
+    df: DataFrame, model: PipelineModel, top_k: int = 6, leaves: list[Leaf] | None = None
+) -> DataFrame:
     """(id, score, prediction, verdict, confidence, reasons) for one snippet or all of them.
 
     Narrow from end to end: nothing is shuffled, and only the fitted trees are broadcast.
     """
     names = list(model.stages[0].getInputCols())
     aligned = align_features(with_features(nonblank(df.select("id", "code"))), names, ["id"])
-    scored = with_attributions(with_probability(model.transform(aligned)), model)
+    scored = with_attributions(with_probability(model.transform(aligned)), model, leaves=leaves)
     score = F.col("score")
     return scored.select(
         "id",

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from inkprint.operators.explain import leaves_of
 from inkprint.operators.score import score_snippets
 
 
@@ -17,9 +18,10 @@ def score_stream(
     A batch is written under its own number, so a batch replayed after a failure replaces
     itself instead of appearing twice.
     """
+    leaves = leaves_of(model)
 
     def write(batch: DataFrame, number: int) -> None:
-        scored = score_snippets(batch, model, top_k)
+        scored = score_snippets(batch, model, top_k, leaves)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (

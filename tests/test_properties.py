@@ -4,7 +4,7 @@ import math
 import random
 import re
 from collections import Counter
-from statistics import median
+from statistics import fmean, median, pstdev
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,37 +30,41 @@ def samples(spark):
     ).cache()
 
 
-def entropy(t):
-    n = len(t)
-    return -sum(c / n * math.log2(c / n) for c in Counter(t).values()) if n else 0.0
+# Fixed value: what counts as an identifier.
+IDENTIFIER = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b")
+
+
+def mean(values):
+    values = list(values)
+    return fmean(values) if values else 0.0
+
+
+def entropy(text):
+    """log2 n minus the mean of log2 of each character's own count."""
+    counts = Counter(text)
+    return math.log2(len(text)) - mean(math.log2(counts[x]) for x in text) if text else 0.0
 
 
 def python_style(code):
-    words = re.findall(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", code)
-    lines = code.split("\n")
-    comments = [x for x in lines if x.strip().startswith("#")]
-    tokens = code.split()
-    n, m = len(lines), len(words)
-    mean = sum(map(len, lines)) / n
+    words, rows, tokens = IDENTIFIER.findall(code), code.split("\n"), code.split()
+    remarks = [row for row in rows if row.lstrip()[:1] == "#"]
+    quotes = len(code.split('"""')) + len(code.split("'''")) - 2
     return {
-        "name_avg_len": sum(map(len, words)) / m if m else 0,
-        "name_snake_case_ratio": sum(
-            bool(re.fullmatch(r"[a-z0-9_]+", w)) and "_" in w for w in words
-        ) / m if m else 0,
-        "name_single_char_ratio": sum(len(w) == 1 for w in words) / m if m else 0,
-        "comment_density": len(comments) / n,
-        "docstring_count": (code.count('"""') + code.count("'''")) / n,
-        "avg_comment_length": sum(len(x.strip("# ").strip()) for x in comments) / len(comments)
-        if comments else 0,
-        "trailing_whitespace_ratio": sum(x != x.rstrip() for x in lines) / n,
-        "mixed_indent_ratio": sum(x.startswith(" ") and "\t" in x for x in lines) / n,
-        "blank_line_ratio": sum(x.strip() == "" for x in lines) / n,
-        "line_length_std": (sum((len(x) - mean) ** 2 for x in lines) / n) ** 0.5,
+        "name_avg_len": mean(map(len, words)),
+        "name_snake_case_ratio": mean("_" in w and w == w.lower() for w in words),
+        "name_single_char_ratio": mean(w[1:] == "" for w in words),
+        "comment_density": len(remarks) / len(rows),
+        "docstring_count": quotes / len(rows),
+        "avg_comment_length": mean(len(row.strip("# ").strip()) for row in remarks),
+        "trailing_whitespace_ratio": mean(row[-1:].isspace() for row in rows),
+        "mixed_indent_ratio": mean(row[:1] == " " and "\t" in row for row in rows),
+        "blank_line_ratio": mean(not row or row.isspace() for row in rows),
+        "line_length_std": pstdev(map(len, rows)),
         "char_entropy": entropy(code),
         "token_entropy": entropy(" ".join(tokens)),
         "n_tokens": len(tokens),
-        "unique_token_ratio": len(set(tokens)) / len(tokens) if tokens else 0,
-    }
+        "unique_token_ratio": mean(tokens.index(t) == i for i, t in enumerate(tokens)),
+    }
 
 
 def test_style_features_follow_python(samples):
