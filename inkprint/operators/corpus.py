@@ -16,7 +16,7 @@ from inkprint.functions.text import (
     strip_code_fence,
 )
 from inkprint.operators.ranking import stratified_split
-from inkprint.storage import stored
+from inkprint.storage import broadcast_bounded, stored
 
 SNIPPET_SCHEMA = (
     "id string, problem_id string, language string, source_model string, label int, "
@@ -24,6 +24,7 @@ SNIPPET_SCHEMA = (
 )
 META_COLUMNS = ["id", "label", "split", "source_model", "language"]
 NON_FEATURE_COLUMNS = {*META_COLUMNS, "code"}
+_MAX_BROADCAST_MODELS = 10_000
 
 
 def drop_null_code(df: DataFrame) -> DataFrame:
@@ -163,8 +164,11 @@ def prompt_grid(
 
 
 def known_models(grid: DataFrame, dispatch: DataFrame) -> DataFrame:
-    """Rows whose model is in the dispatch table; others are skipped."""
-    return grid.join(dispatch.select("source_model"), "source_model", "left_semi")
+    """Rows whose model is in the dispatch table; others are skipped.
+
+    A few model names are shared by all rows, so the grid must not be shuffled by them."""
+    listed = broadcast_bounded(dispatch.select("source_model"), _MAX_BROADCAST_MODELS)
+    return grid.join(listed, "source_model", "left_semi")
 
 
 def generate_requests(

@@ -76,3 +76,8 @@ def test_attacks_unfold_without_a_join(stored_code):
 def test_every_query_plan_has_no_cartesian_product(spark, sf):
     for name in ("prompt_grid", "attack_grid", "perturbation_grid", "union_train_eval"):
         assert "CartesianProduct" not in plan_of(Q.QUERIES[name](spark, sf))
+
+
+def test_requests_are_not_shuffled_by_model(spark, sf):
+    plan = plan_of(Q.QUERIES["generate_requests"](spark, sf))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
