@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontamination, lines, packing, secrets, sharding, topk
+from inkprint.llm import decontamination, language, lines, packing, secrets, sharding, topk, toxicity
 from inkprint.llm.tables import table
 
 
@@ -23,6 +23,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(~toxicity.is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    labelled = docs.select("doc_id", "text").join(known, "doc_id").withColumnRenamed("doc_id", "id")
+    scored = toxicity.tag(docs, toxicity.fit_toxicity(labelled))
+    return scored.select(
+        "doc_id",
+        toxicity.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"), LANGUAGES)
+    of_docs = language.identify(language.document_fields(docs), model).withColumnRenamed("id", "doc_id")
+    of_pages = language.identify(language.page_fields(pages), model).withColumnRenamed("id", "page_id")
+    columns = ["doc_id", "page_id", "language", "posterior", "text_language", "kept"]
+    return of_docs.unionByName(of_pages, allowMissingColumns=True).select(*columns)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -46,5 +72,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_topk, op3_decontaminate, op7_packing, op8_sharding, op9_secrets, op10_line_dedup)
+    q.__name__: q for q in (op2_topk, op3_decontaminate, op4_toxicity, op6_language_id, op7_packing, op8_sharding, op9_secrets, op10_line_dedup)
 }
