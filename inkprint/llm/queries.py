@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontamination, language, lines, packing, secrets, sharding, topk, toxicity
+from inkprint.llm import (
+    decontamination,
+    language,
+    lines,
+    near_duplicates,
+    packing,
+    secrets,
+    sharding,
+    suffixes,
+    topk,
+    toxicity,
+)
 from inkprint.llm.tables import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -37,6 +52,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 LANGUAGES = ("de", "en", "es", "fr")
 
 
@@ -72,5 +92,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_topk, op3_decontaminate, op4_toxicity, op6_language_id, op7_packing, op8_sharding, op9_secrets, op10_line_dedup)
+    query.__name__: query
+    for query in (
+        op1_ngram_join,
+        op2_topk,
+        op3_decontaminate,
+        op4_toxicity,
+        op5_suffix_dedup,
+        op6_language_id,
+        op7_packing,
+        op8_sharding,
+        op9_secrets,
+        op10_line_dedup,
+    )
 }
