@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkprint.llm import decontamination, lines, packing
+from inkprint.llm import decontamination, language, lines, near_duplicates, packing
 from inkprint.llm.tables import table
 from inkprint.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose fused evidence speaks for none of the languages go, null and empty texts with them."""
+    whole = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"), LANGUAGES)
+    fields = language.document_fields(whole.drop("doc_id").withColumnRenamed("_row", "doc_id"))
+    rejected = language.identify(fields, model).where(~F.col("kept")).select(F.col("id").alias("_row"))
+    return whole.join(rejected, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least ten documents go; the documents stay."""
-    return lines.dedup_lines(docs).select(*COLUMNS)
+    return lines.dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents that links of similarity 0.8 connect, the one of the least id stays."""
+    return near_duplicates.deduplicate(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +43,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", keep_identified_languages),
     ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
 
-# Tokens and the packing's local search are beyond SQL; tests hold the stages against brute force.
+# Likelihoods, sketches and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
