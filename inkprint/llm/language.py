@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count
+from inkprint.llm.tables import row_count, slices
 from inkprint.storage import broadcast_bounded, stored
 
 # Buckets that byte trigrams are hashed to.
@@ -31,8 +31,8 @@ _BLANK = int((32 * 961 + 32 * 31 + 32) * 2654435761 >> 8) & (BUCKETS - 1)
 
 def _trigrams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every trigram of all texts, one after another, and where each text begins."""
-    # two blanks between texts: no trigram with letters of both
-    parts = [(text or "").lower().encode("utf-8", "replace") + b"  " for text in texts]
+    # two blanks before each text: no trigram has letters of two texts
+    parts = [b"  " + (text or "").lower().encode("utf-8", "replace") for text in texts]
     starts = np.cumsum([0, *map(len, parts)])
     letters = _LETTERS[np.frombuffer(b"".join(parts) + b"  ", dtype=np.uint8)].astype(np.int64)
     codes = letters[:-2] * 961 + letters[1:-1] * 31 + letters[2:]
@@ -53,7 +53,7 @@ def fit_text_model(labelled: DataFrame, languages: tuple[str, ...], fit_rows: in
     sample = labelled.where(F.col("lang").isin(*languages)).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for lang, rows in batch.groupby("lang"):
                 codes, _ = _trigrams(rows["text"])
                 found, n = np.unique(codes, return_counts=True)
@@ -77,10 +77,10 @@ def text_evidence(df: DataFrame, model: TextModel, carry: tuple[str, ...]) -> Da
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             codes, starts = _trigrams(batch["text"])
             used = (codes != _BLANK).astype(np.float32)
-            n = np.add.reduceat(used, starts[:-1]) if len(batch) else np.zeros(0)
+            n = np.add.reduceat(used, starts[:-1])
             sums = [np.add.reduceat(row[codes], starts[:-1], dtype=np.float64) for row in model.log_probability]
             sums.append(-np.log(BUCKETS) * n)
             evidence = np.stack(sums, axis=1) / (1 + n / SATURATION)[:, None]

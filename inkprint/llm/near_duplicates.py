@@ -25,6 +25,7 @@ ROWS = 6
 STAR_ROUNDS = 2
 # Members that one task compares with as many others.
 BLOCK = 512
+_GRAM_SLICE = 8192
 # Signatures must agree so much less than the threshold for a pair to be passed over: five deviations at 126 hashes.
 MARGIN = 0.18
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -175,30 +176,97 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _jaccard_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Similarities of all sets of two blocks, by products of 0/1 matrices over slices of the grams."""
+    left_sizes, right_sizes = (np.array([len(s) for s in side]) for side in (left, right))
+    _, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(left)), left_sizes), np.repeat(np.arange(len(right)), right_sizes)])
+    on_left = np.arange(len(codes)) < left_sizes.sum()
+    order = np.argsort(codes, kind="stable")
+    codes, owner, on_left = codes[order], owner[order], on_left[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int(codes[-1]) + 1, _GRAM_SLICE):
+        part = slice(*np.searchsorted(codes, [low, low + _GRAM_SLICE]))
+        held = []
+        for count, mine in ((len(left), on_left[part]), (len(right), ~on_left[part])):
+            ones = np.zeros((count, _GRAM_SLICE), dtype=np.float32)
+            ones[owner[part][mine], codes[part][mine] - low] = 1
+            held.append(ones)
+        common += held[0] @ held[1].T
+    return common.astype(np.float64) / (left_sizes[:, None] + right_sizes[None, :] - common)
+
+
+def _first_links(n: int, threshold: float):
+    """(a, b) with a link of each newcomer of a block to a member, if it has one."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, new = _WordHashes(), group["newcomer"].to_numpy()
+        sets, rows = [gram_set(t, hashes, n) for t in group["text"]], group["row"].to_numpy()
+        own, members = np.flatnonzero(new), np.flatnonzero(~new)
+        near = _jaccard_matrix([sets[i] for i in own], [sets[i] for i in members]) >= threshold if len(own) and len(members) else np.zeros((0, 0))
+        linked = np.flatnonzero(near.any(axis=1)) if near.size else []
+        pairs = [(rows[own[i]], rows[members[near[i].argmax()]]) for i in linked]
+        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _attached(newcomers: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b) of links between (row, component) newcomers and the members of that component, block against block."""
+
+    def blocks(df: DataFrame, own: str, count: str) -> DataFrame:
+        sizes = df.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(count))
+        return df.join(sizes, "component").withColumn(own, F.pmod(F.xxhash64("row"), F.col(count)).cast("int"))
+
+    members = classes.select(F.col("node").alias("row"), "component").join(newcomers.select("component").distinct(), "component", "left_semi")
+    new, old = blocks(newcomers, "_i", "_news"), blocks(members, "_j", "_olds")
+
+    def met(df: DataFrame, other: DataFrame, count: str, place: str, newcomer: bool) -> DataFrame:
+        counts = other.select("component", count).distinct()
+        each = F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(place)
+        return df.join(counts, "component").select("component", "row", "_i" if place == "_j" else "_j", each, F.lit(newcomer).alias("newcomer"))
+
+    both = met(new, old, "_olds", "_j", True).unionByName(met(old, new, "_news", "_i", False))
+    return both.join(texts, "row").groupBy("component", "_i", "_j").applyInPandas(_first_links(n, threshold), "a long, b long")
+
+
 def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of verified links that connect what the buckets' similar members connect.
+    """(a, b) of verified links that connect whatever similar members of a bucket connect.
 
-    In each of the star rounds a bucket's members meet one leader, so a group of copies takes as many pairs as it has
-    members. Members of no leader stay open; what is open after the rounds is compared by signature, block against block, and pairs that may be
-    similar are verified too. So no similar pair of a bucket is passed over, and no bucket is cut.
+    In each star round a bucket's open members meet one leader, so a group of copies takes as many pairs as it has
+    members. Two members that link to the leader are connected. One that does not stays open, and may still link to one
+    that does: it is put down as a newcomer to the leader's component. What is open after the rounds is compared by
+    signature, block against block, and pairs that may be similar are verified. At last every newcomer that
+    nothing has connected to its component meets the members of it. No bucket is cut and no pair of one is passed over.
     """
-    known = None
+    near = F.col("jaccard") >= threshold
+    known, newcomers = None, []
     still = buckets
     for turn in range(STAR_ROUNDS):
         order = F.xxhash64("row", F.lit(turn))
         leaders = still.groupBy("bucket").agg(F.min_by("row", order).alias("leader"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        met = stored(still.join(leaders, "bucket").where("row <> leader").select("bucket", "row", *_ordered("row", "leader")), "bucket-stars")
+        met = stored(still.join(leaders, "bucket").where("row <> leader").select("bucket", "row", "leader", *_ordered("row", "leader")), "bucket-stars")
         fresh = met.select("a", "b").distinct()
         if known is not None:
             fresh = fresh.join(known, ["a", "b"], "left_anti")
         tried = stored(verified(fresh, texts, n), "verified-pairs")
         known = tried if known is None else known.unionByName(tried)
-        still = met.join(known.where(F.col("jaccard") >= threshold), ["a", "b"], "left_anti").select("bucket", "row")
+        linked = known.where(near).select("a", "b")
+        resolved = met.join(linked, ["a", "b"], "left_semi").select("bucket").distinct()
+        still = stored(met.join(linked, ["a", "b"], "left_anti").select("bucket", "row", "leader"), "open-members")
+        newcomers.append(still.join(resolved, "bucket", "left_semi").select("row", "leader"))
+        still = still.select("bucket", "row")
     several = still.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     rest = _block_pairs(still.join(several, "bucket"), "bucket", BLOCK).join(marks.select("row", "signature"), "row")
     likely = rest.groupBy("bucket", "_i", "_j").applyInPandas(_similar_within(threshold), "a long, b long").distinct()
     tried = stored(verified(likely.join(known, ["a", "b"], "left_anti"), texts, n), "verified-pairs")
-    return known.unionByName(tried).where(F.col("jaccard") >= threshold)
+    found = known.unionByName(tried).where(near).select("a", "b")
+    classes = components(found)
+    own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
+    theirs = classes.select(F.col("node").alias("leader"), "component")
+    waiting = reduce(DataFrame.unionByName, newcomers).distinct().join(theirs, "leader").join(own, "row", "left")
+    waiting = stored(waiting.where(~F.col("_own").eqNullSafe(F.col("component"))).select("row", "component").distinct(), "newcomers")
+    return found.unionByName(_attached(waiting, classes, texts, n, threshold))
 
 
 def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +283,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = T
     shared = banded.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
     texts = stored(docs.select("row", "text").join(buckets.select("row").distinct(), "row", "left_semi"), "candidate-texts")
-    found = stored(links(buckets, marks, texts, n, threshold).select("a", "b"), "links")
+    found = stored(links(buckets, marks, texts, n, threshold), "links")
     classes = components(found).select(F.col("node").alias("copy_row"), F.col("component").alias("class_row"))
     placed = marks.select("row", "doc_id", "digest").join(copies, "digest", "left").join(classes, "copy_row", "left")
     copy_row = F.coalesce("copy_row", "row")
@@ -230,27 +298,8 @@ def _count_links(n: int, threshold: float):
         first, second = group["_i"].iat[0], group["_j"].iat[0]
         block = group["_block"].to_numpy()
         sets = [gram_set(t, hashes, n) for t in group["text"]]
-        sizes = np.array([len(s) for s in sets])
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        place = np.zeros(len(sets), dtype=np.int64)
-        place[left] = np.arange(len(left))
-        place[right] = np.arange(len(right))
-        order = np.argsort(codes, kind="stable")
-        codes, owner = codes[order], owner[order]
-        common = np.zeros((len(left), len(right)), dtype=np.float32)
-        width = 8192
-        for low in range(0, int(codes[-1]) + 1, width):
-            part = slice(*np.searchsorted(codes, [low, low + width]))
-            held, own = codes[part] - low, owner[part]
-            x, y = (np.zeros((len(side), width), dtype=np.float32) for side in (left, right))
-            in_left, in_right = block[own] == first, block[own] == second
-            x[place[own[in_left]], held[in_left]] = 1
-            y[place[own[in_right]], held[in_right]] = 1
-            common += x @ y.T
-        joined = sizes[left][:, None] + sizes[right][None, :] - common
-        near = common.astype(np.float64) / joined >= threshold
+        near = _jaccard_matrix([sets[i] for i in left], [sets[i] for i in right]) >= threshold
         if first == second:
             np.fill_diagonal(near, False)
         weights = group["copies"].to_numpy()
@@ -290,8 +339,13 @@ def similarity_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 
 def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates: the one of the least id, then of the least row."""
-    whole = docs.withColumn("_row", F.monotonically_increasing_id())
-    placed, _ = near_duplicate_classes(whole.select(F.col("_row").alias("row"), "doc_id", "text"), n, threshold)
+    """``docs`` with one document of each class of near-duplicates: the one of the least id, then of the least row.
+
+    Null ids come last. Documents without words stay, each on its own; other columns pass through.
+    """
+    whole = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    )
+    placed, _ = near_duplicate_classes(whole.select("row", "doc_id", "text"), n, threshold)
     kept = placed.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "row")).alias("_first"))
-    return whole.join(kept.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return whole.select("row", "_all").join(kept.select("_first.row"), "row", "left_semi").select("_all.*")

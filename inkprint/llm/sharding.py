@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count
 from inkprint.storage import stored
 
 # Items that one packing run sees at most: this many chunks of small groups, and as many large groups.
@@ -127,18 +126,32 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], n_shards: int) -> list[int]:
-    """Bins 0 to n_shards - 1 under the smallest capacity for which best fit needs no more."""
-    low = max([-(-sum(sizes) // n_shards), *sizes, 1])
+    """Bins 0 to n_shards - 1 of near equal fill.
+
+    Sizes that are more than an even share of what is left get a bin each; the others are packed under the
+    smallest capacity for which best fit needs no more than the other bins.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    placed, left, alone = [0] * len(sizes), sum(sizes), 0
+    while alone < min(len(order), n_shards - 1) and sizes[order[alone]] * (n_shards - alone) > left:
+        placed[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest, bins = sorted(order[alone:]), n_shards - alone
+    own = [sizes[i] for i in rest]
+    low = max([-(-left // bins), *own, 1])
     high = 2 * low
-    best = best_fit_decreasing(sizes, high)
+    best = best_fit_decreasing(own, high)
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit_decreasing(sizes, middle)
-        if max(tried, default=0) < n_shards:
+        tried = best_fit_decreasing(own, middle)
+        if max(tried, default=0) < bins:
             high, best = middle, tried
         else:
             low = middle + 1
-    return best
+    for i, b in zip(rest, best, strict=True):
+        placed[i] = alone + b
+    return placed
 
 
 def shard_documents(
@@ -151,8 +164,8 @@ def shard_documents(
     one; there are fewer than ``max_chunks`` of them. Smaller groups are first gathered by hash
     into ``max_chunks`` chunks. So the packing sees a bounded number of items whatever the
     corpus, and no group is ever split. With ``capacity`` shards of that many bytes are opened as
-    needed (a group above it gets one of its own); else the capacity is the smallest for which
-    ``n_shards`` shards are enough. Slots number a shard's rows from 0, by hashed sub-ranges of
+    needed (a group above it gets one of its own); else there are ``n_shards`` of near equal bytes: groups above an even
+    share get one each, and the others are packed under the smallest capacity that does. Slots number a shard's rows from 0, by hashed sub-ranges of
     bounded size. An empty table gives no rows; other columns are ignored.
     """
     if (n_shards is None) == (capacity is None):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,13 @@ def words(text: Column) -> Column:
 
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
+
+
+def slices(batch: pd.DataFrame, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of a batch with about ``chars`` characters of ``text`` each, to bound what is held for them."""
+    begin, total = 0, 0
+    for end, text in enumerate(batch["text"], start=1):
+        total += len(text or "")
+        if total >= chars or end == len(batch):
+            yield batch.iloc[begin:end]
+            begin, total = end, 0

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count
 
 # Rows of one block: bounds what a task holds, not what is searched.
 QUERY_BLOCK = 1024

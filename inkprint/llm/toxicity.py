@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count, words
+from inkprint.llm.tables import row_count, slices, words
 from inkprint.storage import stored
 
 # Labelled rows the field is fitted on, about, and segments of SEGMENT tokens of them at most.
@@ -237,7 +237,7 @@ def tag(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         emissions = _Emissions(model.weights)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [lowered(t or "") for t in batch["text"]]
             tokens = [_WORD.findall(t) for t in texts]
             lengths = np.array([len(t) for t in tokens], dtype=np.int64)
