@@ -231,42 +231,47 @@ def _attached(newcomers: DataFrame, classes: DataFrame, texts: DataFrame, n: int
 
 
 def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of verified links that connect whatever similar members of a bucket connect.
+    """(node, component) of what verified links connect: similar members of a bucket are always in one component.
 
     In each star round a bucket's open members meet one leader, so a group of copies takes as many pairs as it has
-    members. Two members that link to the leader are connected. One that does not stays open, and may still link to one
-    that does: it is put down as a newcomer to the leader's component. What is open after the rounds is compared by
-    signature, block against block, and pairs that may be similar are verified. At last every newcomer that
-    nothing has connected to its component meets the members of it. No bucket is cut and no pair of one is passed over.
+    members. A member that is not in the leader's component after that stays open, and may still link to one that is: it is put
+    down as a newcomer to that component. What is open after the rounds is compared by signature, block against
+    block, and pairs that may be similar are verified. At last every newcomer that nothing has connected to its component
+    meets the members of it. No bucket is cut and no pair of one is passed over. Between the steps links are contracted to one
+    for each node.
     """
-    near = F.col("jaccard") >= threshold
-    known, newcomers = None, []
-    still = buckets
+    edges, classes, newcomers = None, None, []
+    still = buckets.select("bucket", "row", F.lit(None).cast("long").alias("_own"))
+
+    def connected(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of the contracted links and these pairs, and their links."""
+        near = stored(verified(pairs, texts, n), "verified-pairs").where(F.col("jaccard") >= threshold).select("a", "b")
+        found = stored(components(near if edges is None else edges.unionByName(near)), "components")
+        return found, found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
     for turn in range(STAR_ROUNDS):
         order = F.xxhash64("row", F.lit(turn))
-        leaders = still.groupBy("bucket").agg(F.min_by("row", order).alias("leader"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        met = stored(still.join(leaders, "bucket").where("row <> leader").select("bucket", "row", "leader", *_ordered("row", "leader")), "bucket-stars")
-        fresh = met.select("a", "b").distinct()
-        if known is not None:
-            fresh = fresh.join(known, ["a", "b"], "left_anti")
-        tried = stored(verified(fresh, texts, n), "verified-pairs")
-        known = tried if known is None else known.unionByName(tried)
-        linked = known.where(near).select("a", "b")
-        resolved = met.join(linked, ["a", "b"], "left_semi").select("bucket").distinct()
-        still = stored(met.join(linked, ["a", "b"], "left_anti").select("bucket", "row", "leader"), "open-members")
-        newcomers.append(still.join(resolved, "bucket", "left_semi").select("row", "leader"))
-        still = still.select("bucket", "row")
+        leaders = still.groupBy("bucket").agg(
+            F.min_by(F.struct("row", "_own"), order).alias("_leader"), F.count("*").alias("_n")
+        ).where("_n > 1").select("bucket", F.col("_leader.row").alias("leader"), F.col("_leader._own").alias("_theirs"))
+        apart = (F.col("row") != F.col("leader")) & ~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False))
+        met = stored(still.join(leaders, "bucket").where(apart).select("bucket", "row", "leader"), "bucket-stars")
+        classes, edges = connected(met.select(*_ordered("row", "leader")).distinct())
+        own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
+        theirs = classes.select(F.col("node").alias("leader"), F.col("component").alias("_theirs"))
+        met = met.join(own, "row", "left").join(theirs, "leader", "left")
+        still = stored(met.where(~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False))), "open-members")
+        newcomers.append(still.where("_theirs IS NOT NULL").select("row", "leader"))
+        still = still.select("bucket", "row", "_own")
     several = still.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     rest = _block_pairs(still.join(several, "bucket"), "bucket", BLOCK).join(marks.select("row", "signature"), "row")
     likely = rest.groupBy("bucket", "_i", "_j").applyInPandas(_similar_within(threshold), "a long, b long").distinct()
-    tried = stored(verified(likely.join(known, ["a", "b"], "left_anti"), texts, n), "verified-pairs")
-    found = known.unionByName(tried).where(near).select("a", "b")
-    classes = components(found)
+    classes, edges = connected(likely)
     own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
     theirs = classes.select(F.col("node").alias("leader"), "component")
     waiting = reduce(DataFrame.unionByName, newcomers).distinct().join(theirs, "leader").join(own, "row", "left")
     waiting = stored(waiting.where(~F.col("_own").eqNullSafe(F.col("component"))).select("row", "component").distinct(), "newcomers")
-    return found.unionByName(_attached(waiting, classes, texts, n, threshold))
+    return components(edges.unionByName(_attached(waiting, classes, texts, n, threshold)))
 
 
 def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -283,8 +288,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = T
     shared = banded.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
     texts = stored(docs.select("row", "text").join(buckets.select("row").distinct(), "row", "left_semi"), "candidate-texts")
-    found = stored(links(buckets, marks, texts, n, threshold), "links")
-    classes = components(found).select(F.col("node").alias("copy_row"), F.col("component").alias("class_row"))
+    classes = links(buckets, marks, texts, n, threshold).select(F.col("node").alias("copy_row"), F.col("component").alias("class_row"))
     placed = marks.select("row", "doc_id", "digest").join(copies, "digest", "left").join(classes, "copy_row", "left")
     copy_row = F.coalesce("copy_row", "row")
     return placed.select("row", "doc_id", copy_row.alias("copy_row"), F.coalesce("class_row", copy_row).alias("class_row")), texts
