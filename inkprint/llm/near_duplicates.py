@@ -287,7 +287,9 @@ def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = T
     banded = marks.join(copies.select(F.col("copy_row").alias("row")), "row", "left_semi").select("row", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
-    texts = stored(docs.select("row", "text").join(buckets.select("row").distinct(), "row", "left_semi"), "candidate-texts")
+    # candidates grow with the documents: texts meet them by shuffle at every size
+    met = buckets.select("row").distinct().hint("merge")
+    texts = stored(docs.select("row", "text").join(met, "row", "left_semi"), "candidate-texts")
     classes = links(buckets, marks, texts, n, threshold).select(F.col("node").alias("copy_row"), F.col("component").alias("class_row"))
     placed = marks.select("row", "doc_id", "digest").join(copies, "digest", "left").join(classes, "copy_row", "left")
     copy_row = F.coalesce("copy_row", "row")
