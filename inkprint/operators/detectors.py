@@ -218,30 +218,31 @@ def train_baselines(
     return models, evaluate(scored, ["model", "split"])
 
 
-def importances(model: PipelineModel) -> DataFrame:
-    """(feature, importance) of a fitted tree model, most important first."""
+def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(feature_ix, feature, importance) of a fitted tree model."""
     names = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray()
     rows = [(i, name, float(v)) for i, (name, v) in enumerate(zip(names, values))]
-    spark = SparkSession.builder.getOrCreate()
     return spark.createDataFrame(rows, "feature_ix int, feature string, importance double")
 
 
-def top_importances(model: PipelineModel, n: int = 20) -> DataFrame:
-    return importances(model).orderBy(F.col("importance").desc(), "feature_ix").limit(n)
+def top_importances(model: PipelineModel, spark: SparkSession, n: int = 20) -> DataFrame:
+    return importances(model, spark).orderBy(F.col("importance").desc(), "feature_ix").limit(n)
 
 
 # --- lexical classifier -------------------------------------------------------------
 
-MAX_TOKENS = 512
 PATIENCE = 2
+# buckets that token n-grams are hashed to
+N_FEATURES = 1 << 16
 
 
-def lexical_tokens(df: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    return df.withColumn("tokens", F.slice(py_tokens(F.col("code")), 1, max_tokens))
+def lexical_tokens(df: DataFrame) -> DataFrame:
+    """All tokens of whole texts."""
+    return df.withColumn("tokens", py_tokens(F.col("code")))
 
 
-def lexical_features(ngram: int = 2, n_features: int = 1 << 16) -> Pipeline:
+def lexical_features(ngram: int = 2, n_features: int = N_FEATURES) -> Pipeline:
     return Pipeline(
         stages=[
             NGram(n=ngram, inputCol="tokens", outputCol="grams"),
@@ -252,7 +253,10 @@ def lexical_features(ngram: int = 2, n_features: int = 1 << 16) -> Pipeline:
 
 
 def train_lexical(
-    dataset: DataFrame, strengths: Sequence[float] = (0.3, 0.1, 0.03, 0.01), ngram: int = 2
+    dataset: DataFrame,
+    strengths: Sequence[float] = (0.3, 0.1, 0.03, 0.01),
+    ngram: int = 2,
+    n_features: int = N_FEATURES,
 ) -> tuple[PipelineModel, DataFrame]:
     """The candidate with the best validation F1, and its metrics per held-out split.
 
@@ -261,7 +265,7 @@ def train_lexical(
     """
     dataset = dataset.na.drop(subset=["code"]).select("id", "label", "split", "code")
     tokens = stored(lexical_tokens(dataset).drop("code"), "lexical-tokens")
-    front = lexical_features(ngram).fit(in_split(tokens, "train"))
+    front = lexical_features(ngram, n_features).fit(in_split(tokens, "train"))
     vectors = front.transform(tokens).select("id", "label", "split", VECTOR)
     vectors = stored(vectors, "lexical-features")
     train, val = in_split(vectors, "train"), in_split(vectors, "val")

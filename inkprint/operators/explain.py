@@ -1,4 +1,4 @@
-"""Signed feature contributions of boosted-tree scores, in log-odds.
+"""Signed feature contributions of scores: of boosted trees and linear models in log-odds, of forests in probability.
 
 Path-dependent tree attributions (Lundberg et al. 2018), regrouped by leaf: a leaf with m
 distinct features on its path has 2^m ways to agree with a row, so its contributions are
@@ -13,17 +13,24 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.storage import new_path
+from inkprint.storage import drop_at_end, new_path
 
 # MLlib's probability is the logistic of twice the margin
 _LOG_ODDS_PER_MARGIN = 2.0
-# a model has at most rounds * 2^(depth + 1) nodes; more than this is not broadcast
-MAX_NODES = 2_000_000
+# trees are read and broadcast so many nodes at a time; a node takes some hundred bytes
+MAX_NODES = 500_000
+LOG_ODDS, PROBABILITY = "log-odds", "probability"
 
 
 # (value, features, low, high, cover): one leaf and the bounds its path sets per feature;
@@ -31,12 +38,16 @@ MAX_NODES = 2_000_000
 Leaf = tuple[float, tuple[int, ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]]
 
 
-def tree_nodes(model: PipelineModel) -> DataFrame:
-    """The fitted trees as rows: (tree, node, left, right, feature, threshold, value, n)."""
-    spark = SparkSession.builder.getOrCreate()
+def tree_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """The fitted trees as rows: (tree, node, left, right, feature, threshold, value, share, n).
+
+    ``value`` is a regression tree's prediction, ``share`` the AI share of a classification tree's training rows.
+    """
     path = new_path(spark, "trees")
     model.stages[-1].write().save(path)
+    drop_at_end(spark, path)
     nodes = spark.read.parquet(f"{path}/data")
+    stats = F.col("nodeData.impurityStats")
     return nodes.select(
         F.col("treeID").alias("tree"),
         F.col("nodeData.id").alias("node"),
@@ -45,25 +56,52 @@ def tree_nodes(model: PipelineModel) -> DataFrame:
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
         F.col("nodeData.prediction").alias("value"),
+        F.try_divide(F.get(stats, F.lit(1)), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("share"),
         F.col("nodeData.rawCount").cast("double").alias("n"),
     )
 
 
-def leaves_of(model: PipelineModel) -> list[Leaf]:
-    rows = tree_nodes(model).take(MAX_NODES + 1)
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"the model has more than {MAX_NODES} tree nodes")
+def is_tree_model(model: PipelineModel) -> bool:
+    return isinstance(model.stages[-1], (GBTClassificationModel, RandomForestClassificationModel))
+
+
+def unit_of(model: PipelineModel) -> str | None:
+    """What contributions add up to: log-odds, the probability itself, or None where there are none."""
+    last = model.stages[-1]
+    if isinstance(last, RandomForestClassificationModel):
+        return PROBABILITY
+    explained = isinstance(last, GBTClassificationModel)
+    # a calibrated kernel machine ends in a linear model of one margin: no feature has a share in it
+    linear = isinstance(last, LogisticRegressionModel) and len(model.stages) == 2
+    return LOG_ODDS if explained or linear else None
+
+
+def leaves_of(model: PipelineModel, spark: SparkSession) -> list[Leaf]:
+    """The leaves of all trees, read a bounded number of nodes at a time."""
+    fitted, table = model.stages[-1], tree_nodes(model, spark)
+    forest = isinstance(fitted, RandomForestClassificationModel)
+    trees = len(fitted.treeWeights)
+    step = max(1, MAX_NODES * trees // max(1, fitted.totalNumNodes))
+    found: list[Leaf] = []
+    for first in range(0, trees, step):
+        rows = table.where((F.col("tree") >= first) & (F.col("tree") < first + step)).collect()
+        # votes are averaged; margins are added by weight
+        scales = {t: 1 / trees if forest else fitted.treeWeights[t] * _LOG_ODDS_PER_MARGIN for t in range(first, min(first + step, trees))}
+        found += _leaves(rows, scales, forest)
+    return found
+
+
+def _leaves(rows: list, scales: dict[int, float], forest: bool) -> list[Leaf]:
     nodes = {(r.tree, r.node): r for r in rows}
-    weights = model.stages[-1].treeWeights
     found: list[Leaf] = []
     # a path is {feature: (low, high, share of training rows that follow it)}
-    stack = [(nodes[t, 0], {}) for t in range(len(weights))]
+    stack = [(nodes[t, 0], {}) for t in scales]
     while stack:
         node, path = stack.pop()
         if node.left < 0:
-            scale = weights[node.tree] * _LOG_ODDS_PER_MARGIN
             bounds = list(zip(*path.values())) or [(), (), ()]
-            found.append((node.value * scale, tuple(path), *bounds))
+            value = node.share if forest else node.value
+            found.append((value * scales[node.tree], tuple(path), *bounds))
             continue
         low, high, cover = path.get(node.feature, (-np.inf, np.inf, 1.0))
         for child, side in ((node.left, "left"), (node.right, "right")):
@@ -75,7 +113,7 @@ def leaves_of(model: PipelineModel) -> list[Leaf]:
 
 
 def base_value(leaves: list[Leaf]) -> float:
-    """Expected log-odds over the training rows."""
+    """Expected sum over the training rows."""
     return float(sum(value * np.prod(cover) for value, _, _, _, cover in leaves))
 
 
@@ -141,11 +179,22 @@ class Attributor:
 def with_attributions(
     df: DataFrame, model: PipelineModel, out: str = "shap", leaves: list[Leaf] | None = None
 ) -> DataFrame:
-    """Append one contribution per feature column; with ``base_value`` they sum to the
-    log-odds of the row's score. ``df`` holds the assembled vector; ``leaves`` saves reading
-    the model again when it is applied many times."""
-    leaves = leaves_of(model) if leaves is None else leaves
-    width = len(model.stages[0].getInputCols())
+    """Append one contribution per feature column, ``base_value`` and ``unit``.
+
+    Contributions and base value sum to the row's log-odds for boosted trees and linear models, and to its probability for
+    forests; a model without shares of features has nulls. ``df`` holds the assembled vector; ``leaves`` saves reading
+    a tree model again when it is applied many times.
+    """
+    unit = F.lit(unit_of(model)).alias("unit")
+    names = model.stages[0].getInputCols()
+    vector = vector_to_array(model.stages[0].getOutputCol())
+    if unit_of(model) is None:
+        nothing = {out: F.lit(None).cast("array<double>"), "base_value": F.lit(None).cast("double")}
+        return df.withColumns({**nothing, "unit": unit.cast("string")})
+    if not is_tree_model(model):
+        return _linear_attributions(df, model, out).withColumn("unit", unit)
+    leaves = leaves_of(model, df.sparkSession) if leaves is None else leaves
+    width = len(names)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -155,8 +204,16 @@ def with_attributions(
             x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, width))
             yield pd.Series(list(attributor(x)))
 
+    return df.withColumns({out: attribute(vector), "base_value": F.lit(base_value(leaves)), "unit": unit})
+
+
+def _linear_attributions(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
+    """Coefficient times value; the base is the intercept, a row of zeros."""
+    fitted = model.stages[-1]
+    weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients.toArray()])
     vector = vector_to_array(model.stages[0].getOutputCol())
-    return df.withColumns({out: attribute(vector), "base_value": F.lit(base_value(leaves))})
+    shares = F.zip_with(vector, weights, lambda x, w: x * w)
+    return df.withColumns({out: shares, "base_value": F.lit(float(fitted.intercept))})
 
 
 # --- reading contributions ----------------------------------------------------------
@@ -170,13 +227,15 @@ def long_contributions(df: DataFrame, names: list[str], values: str = "shap") ->
 
 
 def global_importance(df: DataFrame, names: list[str], values: str = "shap") -> DataFrame:
-    """Mean absolute and mean contribution per feature, largest first."""
-    return (
-        long_contributions(df, names, values)
-        .groupBy("feature_ix", "feature")
-        .agg(F.avg(F.abs("impact")).alias("mean_abs_impact"), F.avg("impact").alias("mean_impact"))
-        .orderBy(F.col("mean_abs_impact").desc(), "feature_ix")
-    )
+    """(feature_ix, feature, mean_abs_impact, mean_impact), largest first: one pass over the vectors, no row per feature."""
+    vector = array_to_vector(values)
+    summary = df.select(Summarizer.metrics("mean", "normL1", "count").summary(vector).alias("s")).select("s.*")
+    each = F.posexplode(F.arrays_zip(vector_to_array("mean").alias("mean"), vector_to_array("normL1").alias("total")))
+    rows = summary.select("count", each.alias("feature_ix", "v"))
+    feature = F.element_at(F.array(*map(F.lit, names)), F.col("feature_ix") + 1)
+    return rows.select(
+        "feature_ix", feature.alias("feature"), (F.col("v.total") / F.col("count")).alias("mean_abs_impact"), F.col("v.mean").alias("mean_impact")
+    ).orderBy(F.col("mean_abs_impact").desc(), "feature_ix")
 
 
 # Wording of a contribution.

@@ -19,10 +19,13 @@ from inkprint.operators.metrics import median_predictions, roc_auc
 from inkprint.operators.ranking import seeded_sample
 from inkprint.storage import stored
 
-MAX_TOKENS = 512
 SMOOTHING = 1.0
 # pairs priced by broadcast: at most this many rows, whatever the data
 HOT_PAIRS = 100_000
+# words looked up by broadcast: the most frequent ones own most pairs
+HOT_WORDS = 10_000
+# longer words and pairs are never broadcast, so that the two tables above stay small
+_HOT_CHARS = 64
 # equal perturbations must have exactly equal scores, whatever order their terms were added in
 _SCORE_DIGITS = 12
 
@@ -67,20 +70,27 @@ def fit_bigrams(train: DataFrame, code: str = "code") -> BigramModel:
     return BigramModel(words, pairs, totals)
 
 
+def _with_count(pairs: DataFrame, key: str, words: DataFrame, count: str) -> DataFrame:
+    """Append a word's count. The most frequent words, which own most pairs, come by broadcast of a
+    fixed number of short rows; only pairs of rarer words are shuffled on the word."""
+    counts = words.select(F.col("w").alias(key), F.col(count).alias(f"_{count}"))
+    short = counts.where(F.length(key) <= _HOT_CHARS)
+    hot = short.orderBy(F.col(f"_{count}").desc(), key).limit(HOT_WORDS)
+    met = pairs.join(F.broadcast(hot), key, "left")
+    near = met.where(F.col(f"_{count}").isNotNull())
+    far = met.where(F.col(f"_{count}").isNull()).drop(f"_{count}").join(counts, key, "left")
+    return near.unionByName(far).withColumnRenamed(f"_{count}", count)
+
+
 def price_pairs(pairs: DataFrame, model: BigramModel) -> DataFrame:
     """Append ``logp`` to a table of distinct (w1, w2).
 
     p(w2|w1) = (n(w1,w2) + mu q(w2)) / (n_first(w1) + mu) with
     q(w) = (n(w) + 1) / (N + V + 1); unseen words and pairs follow from the same formula.
     """
-    firsts = model.words.select(F.col("w").alias("w1"), "n_first")
-    seconds = model.words.select(F.col("w").alias("w2"), "n_word")
-    joined = (
-        pairs.join(model.pairs, ["w1", "w2"], "left")
-        .join(firsts, "w1", "left")
-        .join(seconds, "w2", "left")
-        .crossJoin(F.broadcast(model.totals))  # exactly one row
-    )
+    counted = pairs.join(model.pairs, ["w1", "w2"], "left")
+    counted = _with_count(_with_count(counted, "w1", model.words, "n_first"), "w2", model.words, "n_word")
+    joined = counted.crossJoin(F.broadcast(model.totals))  # exactly one row
 
     def n(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit(0)).cast("double")
@@ -95,18 +105,20 @@ def log_likelihood(
     model: BigramModel,
     keys: tuple[str, ...] = ("id",),
     code: str = "code",
-    max_tokens: int = MAX_TOKENS,
+    max_tokens: int | None = None,
     hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
-    """(keys, n_predicted, ll): mean log-probability per predicted token of the first
-    ``max_tokens`` tokens; null when no token is predicted."""
-    head = F.slice(space_tokens(F.col(code)), 1, max_tokens)
+    """(keys, n_predicted, ll): mean log-probability per predicted token of whole texts, or of their
+    first ``max_tokens`` tokens; null when no token is predicted."""
+    tokens = space_tokens(F.col(code))
+    head = tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)
     # a text without a pair keeps one row, with null words
     steps = df.select(*keys, F.inline_outer(let(head, _pairs_of)))
     used = steps.where(F.col("w1").isNotNull()).groupBy("w1", "w2").agg(F.count("*").alias("_uses"))
     # priced pairs are read twice below; written once, they are one row per distinct pair
     priced = stored(price_pairs(used, model), "priced-pairs")
-    hot = priced.orderBy(F.col("_uses").desc(), "w1", "w2").limit(hot_pairs)
+    short = F.length("w1") + F.length("w2") <= _HOT_CHARS
+    hot = priced.where(short).orderBy(F.col("_uses").desc(), "w1", "w2").limit(hot_pairs)
     hot = F.broadcast(hot.select("w1", "w2", F.col("logp").alias("_hot")))
     flagged = steps.join(hot, ["w1", "w2"], "left")
 
@@ -203,22 +215,25 @@ def curvature(
 def zero_shot_eval(
     dataset: DataFrame,
     model: BigramModel,
-    n_samples: int | None = 200,
+    n_samples: int | None = None,
     n_perturbations: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """(roc_auc, accuracy, threshold) of the curvature score on test snippets, predicting AI
-    strictly above the median score."""
+    """(roc_auc, accuracy, threshold, n_scored, n_unscored) of the curvature score on all test snippets, or
+    on a seeded sample of them, predicting AI strictly above the median score. Snippets too short
+    for a score are counted, not judged."""
     test = drop_null_code(in_split(dataset, "test")).select("id", "label", "code")
     if n_samples is not None:
         # a top-n ends in one task; spread its rows before the costly part
         test = seeded_sample(test, n_samples, "id", seed).repartition("id")
-    scores = curvature(test, model, n_perturbations, seed=seed).where(F.col("score").isNotNull())
-    # the scores feed an AUC, a median and a comparison with it
-    judged = stored(scores.join(test.select("id", "label"), "id").select("id", "label", "score"), "curvature")
+    scores = curvature(test, model, n_perturbations, seed=seed)
+    # the scores feed an AUC, a median, a comparison with it and two counts
+    every = stored(scores.join(test.select("id", "label"), "id").select("id", "label", "score"), "curvature")
+    judged = every.where(F.col("score").isNotNull())
+    sizes = every.agg(F.count("score").alias("n_scored"), F.count_if(F.col("score").isNull()).alias("n_unscored"))
     predicted = median_predictions(judged)
     rates = predicted.agg(
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
         F.first("threshold").alias("threshold"),
     )
-    return roc_auc(judged).crossJoin(F.broadcast(rates))  # one row each
+    return roc_auc(judged).crossJoin(F.broadcast(rates)).crossJoin(F.broadcast(sizes))  # one row each

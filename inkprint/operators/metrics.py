@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators.ranking import exact_median, with_quantile_bucket
+from inkprint.operators.ranking import exact_median, value_counts, with_quantile_bucket
+from inkprint.storage import join_groups
 
 CLASS_NAMES = ("human", "ai")
 
@@ -64,7 +65,7 @@ def _ranked_groups(
     by: list[str],
     label: str,
     score: str,
-    buckets: int,
+    buckets: int | None,
     extra: dict[str, Column],
 ) -> DataFrame:
     """Per group: _area, _pos, _neg and sums of ``extra``, all from (group, score) counts.
@@ -74,13 +75,10 @@ def _ranked_groups(
     running negatives over the small bucket table: no task ever orders a whole group.
     """
     y = F.col(label)
-    counts = (
-        df.where(F.col(score).isNotNull() & y.isNotNull())
-        .groupBy(*by, score)
-        .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
-    )
+    judged = df.where(F.col(score).isNotNull() & y.isNotNull())
+    counts, suited = value_counts(judged, by, score, F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
     pos, neg = F.col("_pos"), F.col("_neg")
-    bucketed = with_quantile_bucket(counts, by, score, pos + neg, buckets)
+    bucketed = with_quantile_bucket(counts, by, score, pos + neg, buckets or suited)
     in_bucket = Window.partitionBy(*by, "_bucket").orderBy(score)
     below = F.sum(neg).over(in_bucket) - neg
     sums = {"_pos": pos, "_neg": neg, **extra}
@@ -105,20 +103,45 @@ def roc_auc(
     by: Sequence[str] = (),
     label: str = "label",
     score: str = "score",
-    buckets: int = 200,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact rank AUC per group, ties half-counted; null when a group has one class."""
     by = list(by)
     return _ranked_groups(df, by, label, score, buckets, {}).select(*by, _auc())
 
 
+def areas_against_rest(df: DataFrame, by: Sequence[str], group: str, label: str = "label", score: str = "score") -> DataFrame:
+    """(by, group, roc_auc) of each group's positives against all negatives of ``by``, whatever their group.
+
+    Positives collapse to counts per (by, group, score) and negatives to counts per (by, score); running sums of the
+    negatives are taken once per score and met by the positives' counts. No negative is copied for a group.
+    """
+    by, y = list(by), F.col(label)
+    usable = df.where(F.col(score).isNotNull() & y.isNotNull())
+    counts, buckets = value_counts(usable, by, score, F.count_if(y == 0).alias("_neg"), F.count("*").alias("_all"))
+    bucketed = with_quantile_bucket(counts, by, score, F.col("_all"), buckets)
+    in_bucket = Window.partitionBy(*by, "_bucket").orderBy(score)
+    inside = bucketed.withColumn("_inside", F.sum("_neg").over(in_bucket) - F.col("_neg"))
+    sums = bucketed.groupBy(*by, "_bucket").agg(F.sum("_neg").alias("_of"))
+    over_buckets = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
+    sums = sums.withColumn("_before", F.sum("_of").over(over_buckets) - F.col("_of")).drop("_of")
+    below = inside.join(sums, [*by, "_bucket"]).select(*by, score, (F.col("_before") + F.col("_inside") + F.col("_neg") / 2).alias("_below"))
+    positives = usable.where(y == 1).groupBy(*by, group, score).agg(F.count("*").alias("_pos"))
+    totals = counts.groupBy(*by).agg(F.sum("_neg").alias("_negatives"))
+    areas = positives.join(below, [*by, score]).groupBy(*by, group).agg(
+        F.sum(F.col("_pos") * F.col("_below")).alias("_area"), F.sum("_pos").alias("_positives")
+    )
+    pairs = F.col("_positives").cast("double") * F.col("_negatives").cast("double")
+    return join_groups(areas, totals, by).select(*by, group, F.try_divide(F.col("_area"), pairs).alias("roc_auc"))
+
+
 def evaluate(
     scored: DataFrame,
     by: Sequence[str],
     label: str = "label",
     score: str = "score",
     threshold: float = 0.5,
-    buckets: int = 200,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row of metrics per group, from probabilities; rows without a score are left out.
 
@@ -186,10 +209,6 @@ def median_predictions(
     """Append the median score of the group and 1 for rows strictly above it."""
     by = list(by)
     medians = exact_median(df, score, by, "threshold")
-    if by:
-        medians = medians.select(*[F.col(c).alias(f"_m_{c}") for c in by], "threshold")
-        joined = df.join(medians, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in by], "left")
-    else:
-        joined = df.crossJoin(F.broadcast(medians))  # exactly one row
+    joined = join_groups(df, medians, by)
     above = F.when(F.col(score) > F.col("threshold"), 1).otherwise(0)
     return joined.select(*df.columns, "threshold", above.alias(out))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.storage import broadcast_bounded
+from inkprint.storage import broadcast_bounded, join_groups, stored
 
 # 16 bits of the hash: at most 65,536 bucket rows per stratum
 _BUCKET_HEX_DIGITS = 4
@@ -139,37 +139,55 @@ def seeded_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) ->
     return df.orderBy(hash_order(F.col(id_col), seed), F.col(id_col)).limit(n)
 
 
-def with_quantile_bucket(
-    counts: DataFrame, by: Sequence[str], value: str, weight: Column, buckets: int = 200
-) -> DataFrame:
+# (group, value) rows that one bucket holds, about, and buckets of a group at most
+_BUCKET_ROWS = 50_000
+_MIN_BUCKETS, _MAX_BUCKETS = 16, 10_000
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str, *counts: Column) -> tuple[DataFrame, int]:
+    """One stored row per (group, value) with ``counts``, and how many buckets suit their number."""
+    table = stored(df.groupBy(*by, value).agg(*counts), "value-counts")
+    rows = table.agg(F.count("*")).first()[0]
+    return table, min(_MAX_BUCKETS, _MIN_BUCKETS + rows // _BUCKET_ROWS)
+
+
+def _below(cuts: Column, value: Column, buckets: int) -> Column:
+    """How many of the sorted cuts are below the value, by halving."""
+    bounds = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+
+    def halve(b: Column, _: Column) -> Column:
+        middle = F.floor((b["low"] + b["high"]) / 2).cast("int")
+        above = F.get(cuts, middle) < value
+        low, high = F.when(above, middle + 1).otherwise(b["low"]), F.when(above, b["high"]).otherwise(middle)
+        open_ = b["low"] < b["high"]
+        return F.struct(F.when(open_, low).otherwise(b["low"]).alias("low"), F.when(open_, high).otherwise(b["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(buckets.bit_length() + 1))
+    return F.aggregate(steps, bounds, halve, lambda b: b["low"])
+
+
+def with_quantile_bucket(counts: DataFrame, by: Sequence[str], value: str, weight: Column, buckets: int) -> DataFrame:
     """Append ``_bucket``, monotone in ``value`` within each group, of near-equal sizes.
 
     ``counts`` holds one row per (group, value), so ties cannot fill a bucket. Results
-    built on this never depend on where the boundaries fall, only balance does.
+    built on this never depend on where the boundaries fall, only balance does. The cuts, one row per group, come to
+    the counts by broadcast, or by salted keys where there are too many groups for that.
     """
     steps = [i / buckets for i in range(1, buckets)]
-    # referring to the weight keeps this branch's exchange equal to the other one's
     present = F.when(weight > 0, F.col(value))
     cuts = counts.groupBy(*by).agg(F.percentile_approx(present, steps, 10_000).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    if by:
-        cuts = cuts.select(*[F.col(c).alias(f"_cut_{c}") for c in by], "_cuts")
-        same = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in by]
-        joined = counts.join(cuts, same)
-    else:
-        joined = counts.crossJoin(F.broadcast(cuts))  # exactly one row
-    return joined.select(*counts.columns, below.alias("_bucket"))
+    joined = join_groups(counts, cuts, list(by))
+    return joined.select(*counts.columns, _below(F.col("_cuts"), F.col(value), buckets).alias("_bucket"))
 
 
 def exact_median(
-    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", buckets: int = 200
+    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", buckets: int | None = None
 ) -> DataFrame:
-    """Interpolated median per group, exact; null values are ignored."""
+    """Interpolated median per group, exact; null values are ignored. ``buckets`` follows the data unless given."""
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    )
-    bucketed = with_quantile_bucket(counts, by, value, F.col("_n"), buckets)
+    present = df.where(F.col(value).isNotNull())
+    counts, suited = value_counts(present, by, value, F.count("*").alias("_n"))
+    bucketed = with_quantile_bucket(counts, by, value, F.col("_n"), buckets or suited)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in"))
     over_buckets = Window.partitionBy(*by or [F.lit(0)])
     ends = totals.withColumns(
@@ -186,6 +204,7 @@ def exact_median(
         "_all",
     )
     same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by]
+    # one or two buckets per group, by group and bucket
     in_bucket = Window.partitionBy(*by, "_bucket").orderBy(value)
     ranked = bucketed.join(
         holding, [*same, F.col("_bucket") == F.col("_t_bucket")]

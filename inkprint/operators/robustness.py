@@ -44,12 +44,12 @@ def with_strengths(
 def robustness(
     model: PipelineModel,
     dataset: DataFrame,
-    n_samples: int | None = 200,
+    n_samples: int | None = None,
     attacks: dict[str, Attack] | None = None,
     seed: int = 42,
     strengths: Sequence[float] | None = None,
 ) -> DataFrame:
-    """(attack, accuracy, roc_auc) on a seeded sample of the test split, or on all of it.
+    """(attack, accuracy, roc_auc) on the whole test split, or on a seeded sample of it.
 
     All attacks go through one plan with the attack as a column: features are extracted,
     aligned to the training columns and scored once. ``strengths`` adds a degradation curve.

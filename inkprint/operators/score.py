@@ -28,9 +28,10 @@ def confidence(probability: Column) -> Column:
 def score_snippets(
     df: DataFrame, model: PipelineModel, top_k: int = 6, leaves: list[Leaf] | None = None
 ) -> DataFrame:
-    """(id, score, prediction, verdict, confidence, reasons) for one snippet or all of them.
+    """(id, score, prediction, verdict, confidence, reasons, unit) for one snippet or all of them.
 
-    Narrow from end to end: nothing is shuffled, and only the fitted trees are broadcast.
+    ``model`` is any fitted baseline; ``unit`` says what the reasons add up to, and both are null for one
+    whose score has no shares of features. Narrow from end to end: nothing is shuffled, and only the fitted trees are broadcast.
     """
     names = list(model.stages[0].getInputCols())
     aligned = align_features(with_features(nonblank(df.select("id", "code"))), names, ["id"])
@@ -42,5 +43,6 @@ def score_snippets(
         threshold_prediction(score).alias("prediction"),
         verdict(score).alias("verdict"),
         confidence(score).alias("confidence"),
-        top_contributions(F.col("shap"), names, top_k).alias("reasons"),
+        F.when(F.col("shap").isNotNull(), top_contributions(F.col("shap"), names, top_k)).alias("reasons"),
+        "unit",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections import Counter
 
+from inkprint.operators.features import FEATURES
 from inkprint.plans.views import DISPATCH, LANGUAGES, MODELS, PROGRAMS
 
 WS = (
@@ -58,6 +59,9 @@ FROM (SELECT *, CASE WHEN starts_with(md5(id), '0') THEN 1 - base ELSE base END
       FROM (SELECT p_partkey::VARCHAR AS id, (p_partkey % 6)::INTEGER AS k, p_size,
                    (p_partkey % 6 IN (0, 2, 5))::INTEGER AS base FROM part))"""
 
+# the label that the program decides, before any is turned around
+PLANTED = CORPUS.replace("SELECT id, k, label, CASE WHEN label = 0", "SELECT id, k, base, CASE WHEN base = 0")
+
 TEXTS = f"""
 SELECT 's' || id AS id, code FROM ({SNIPPETS})
 UNION ALL SELECT 'p' || id AS id, code FROM ({CORPUS})"""
@@ -317,10 +321,10 @@ def attack_rows(view: str) -> str:
 SPLIT_SNIPPETS = without_rank(SNIPPETS)
 
 
-def _steps(view: str, keys: str, head: str = "") -> str:
+def _steps(view: str, keys: str) -> str:
     return f"""
 SELECT {keys}, t[i] AS w1, t[i + 1] AS w2
-FROM (SELECT *, unnest(range(1, len(t))) AS i FROM (SELECT {keys}, {_TOKENS}{head} AS t FROM ({view})))"""
+FROM (SELECT *, unnest(range(1, len(t))) AS i FROM (SELECT {keys}, {_TOKENS} AS t FROM ({view})))"""
 
 
 def likelihood(view: str, keys: str = "id", train: str | None = None) -> str:
@@ -334,7 +338,7 @@ first AS MATERIALIZED (SELECT w1, sum(c) AS c FROM pair GROUP BY w1),
 total AS (SELECT sum(c) + count(*) + 1 AS z FROM word),
 step AS (
   SELECT s.*, ln((coalesce(p.c, 0) + (coalesce(w.c, 0) + 1)::DOUBLE / z) / (coalesce(f.c, 0) + 1)) AS logp
-  FROM ({_steps(view, keys, '[1:512]')}) s LEFT JOIN pair p USING (w1, w2) LEFT JOIN first f USING (w1)
+  FROM ({_steps(view, keys)}) s LEFT JOIN pair p USING (w1, w2) LEFT JOIN first f USING (w1)
   LEFT JOIN word w ON s.w2 = w.w CROSS JOIN total),
 ll_of AS (
   SELECT v.*, coalesce(n, 0)::BIGINT AS n_predicted, ll FROM (SELECT {keys} FROM ({view})) v LEFT JOIN (
@@ -436,7 +440,7 @@ FROM ({CONTRIBUTIONS})"""
 SELECT a.source_model AS train_model, b.source_model AS test_model FROM ({models}) a, ({models}) b"""
     sql["attack_grid"] = f"SELECT id, attack, md5(code) AS code_md5 FROM ({attack_rows(CORPUS)})"
     sql["perturbation_grid"] = f"""
-SELECT id, unnest(range(1, 11))::INTEGER AS round FROM ({SPLIT_SNIPPETS}) WHERE split = 'test'"""
+SELECT id, unnest(range(1, 11))::INTEGER AS round FROM ({SNIPPETS})"""
     sql["attach_features"] = f"""
 SELECT m.*, f.* EXCLUDE (id) FROM (SELECT id, label, source_model, split FROM ({SPLIT_SNIPPETS})) m
 JOIN ({style(SNIPPETS)}) f USING (id)"""
@@ -481,9 +485,8 @@ SELECT a.source_model AS train_model, b.source_model AS test_model, a.n_train, b
 SELECT id, ({case_k(GOLDEN_AST['ast_depth'])})::INTEGER AS ast_depth FROM ({CORPUS}) WHERE k <> 3"""
     sql["cyclomatic"] = f"""
 SELECT id, ({case_k(GOLDEN_AST['ast_cyclomatic_complexity'])})::DOUBLE AS ast_cyclomatic_complexity FROM ({CORPUS})"""
-    test_snippets = f"SELECT id, code FROM ({SPLIT_SNIPPETS}) WHERE split = 'test'"
     sql["perturbation_stats"] = f"""
-WITH {likelihood(perturbed(test_snippets), 'id, round')}
+WITH {likelihood(perturbed(f'SELECT id, code FROM ({SNIPPETS})'), 'id, round')}
 SELECT id, {r('avg(ll)')} AS mean_ll, {r('stddev_pop(ll)')} AS std_ll FROM ll_of GROUP BY id"""
     sql["global_importance"] = f"""
 SELECT feature_ix, 'f' || feature_ix AS feature, {r('avg(abs(impact))')} AS mean_abs_impact, {r('avg(impact)')} AS mean_impact
@@ -531,15 +534,46 @@ WITH {likelihood(SNIPPETS)} SELECT id, n_predicted, {r('ll')} AS ll FROM ll_of""
 WITH {likelihood(SNIPPETS)} SELECT id, {r('exp(-ll)')} AS perplexity FROM ll_of"""
     sql["perturb"] = f"SELECT id, round::INTEGER AS round, code FROM ({perturbed(SNIPPETS)})"
     sql["curvature_score"] = f"""
-WITH {curvature(test_snippets)}
+WITH {curvature(SNIPPETS)}
 SELECT id, {r('ll')} AS ll, {r('mean_ll')} AS mean_ll, {r('std_ll')} AS std_ll, round(score, 4) + 0.0::DOUBLE AS score FROM curved"""
+    judged_test = f"SELECT * FROM ({SPLIT_SNIPPETS}) WHERE split = 'test' AND code IS NOT NULL"
     sql["zero_shot_eval"] = f"""
-WITH {curvature(SAMPLE)},
+WITH {curvature(judged_test)},
 judged AS (SELECT 'all' AS g, label, score, score > (SELECT median(score) FROM curved) AS above
            FROM curved JOIN ({SNIPPETS}) USING (id) WHERE score IS NOT NULL)
 SELECT roc_auc, (SELECT {r('avg((above = (label = 1))::INTEGER)')} FROM judged) AS accuracy,
-       (SELECT round(median(score), 4) + 0.0::DOUBLE FROM curved) AS threshold
+       (SELECT round(median(score), 4) + 0.0::DOUBLE FROM curved) AS threshold,
+       (SELECT count(score) FROM curved) AS n_scored, (SELECT count(*) - count(score) FROM curved) AS n_unscored
 FROM ({auc('SELECT * FROM judged', 'g')})"""
+    # fits on labels that the program decides: every held-out row is called right
+    planted = f"SELECT id, base AS label, source_model, language, code, k FROM ({PLANTED})"
+    dataset = without_rank(f"SELECT id, label, source_model FROM ({planted})")
+    perfect = ", ".join(f"1.0::DOUBLE AS {x}" for x in ("accuracy", "precision", "recall", "f1", "roc_auc"))
+    matrix = "'[[' || count(*) FILTER (label = 0) || ',0],[0,' || count(*) FILTER (label = 1) || ']]' AS confusion_matrix"
+    held_out = f"SELECT * FROM ({dataset}) WHERE split IN ('val', 'test')"
+    sql["train_baselines"] = f"""
+SELECT model, split, {perfect}, {matrix} FROM ({held_out}), (VALUES ('boosted_trees'), ('random_forest')) AS m(model)
+GROUP BY model, split"""
+    sql["lexical_classifier"] = f"SELECT split, {perfect}, {matrix} FROM ({held_out}) GROUP BY split"
+    sql["stack_ensemble"] = f"SELECT {perfect}, {matrix} FROM ({dataset}) WHERE split = 'val'"
+    sizes = f"""
+SELECT source_model, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test
+FROM ({dataset}) WHERE label = 1 GROUP BY source_model"""
+    sql["cross_model_matrix"] = f"""
+SELECT a.source_model AS train_model, b.source_model AS test_model,
+       CASE WHEN a.n_train >= 10 AND b.n_test >= 10 THEN 1.0::DOUBLE END AS roc_auc FROM ({sizes}) a, ({sizes}) b"""
+    sql["model_bundle_io"] = f"SELECT id, label, 0.0::DOUBLE AS difference FROM ({CORPUS})"
+    sql["tree_shap"] = f"""
+SELECT id, {len(FEATURES)}::INTEGER AS n_shares, 0.0::DOUBLE AS gap
+FROM ({without_rank(f'SELECT id, label FROM ({CORPUS})')}) WHERE split = 'test'"""
+    sql["score_snippets"] = f"""
+SELECT id, label AS prediction, CASE WHEN label = 1 THEN 'Likely AI-generated' ELSE 'Likely human-written' END AS verdict,
+       true AS confidence_fits, 6::INTEGER AS n_reasons, 'log-odds' AS unit FROM ({planted}) WHERE {strip('code')} <> ''"""
+    named = ["n_tokens", *[x for x in FEATURES if x != "n_tokens"]][:20]
+    ranked = ", ".join(f"({FEATURES.index(x)}, {lit(x)}, {float(x == 'n_tokens')})" for x in named)
+    sql["top_importances"] = f"""
+SELECT feature_ix::INTEGER AS feature_ix, feature, importance::DOUBLE AS importance
+FROM (VALUES {ranked}) AS t(feature_ix, feature, importance)"""
     sql["prepare_dataset"] = f"SELECT id, label, source_model, split, code FROM ({PREPARED})"
     sql["generate_requests"] = f"SELECT id, problem_id, language, source_model, prompt FROM ({REQUESTS})"
     return sql

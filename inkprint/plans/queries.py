@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 
 # rounds of the boosted fits behind the registered queries; the library's defaults are
 # the full-size models
-_ROUNDS, _DEPTH, _TREES = 8, 4, 10
+_ROUNDS, _DEPTH = 8, 4
 
 
 def query(fn: Query) -> Query:
@@ -77,6 +76,23 @@ def _code_model(spark, sf):
     return _once(spark, sf, "model", fit)
 
 
+def _planted_features(spark, sf):
+    return _once(
+        spark,
+        sf,
+        "planted-features",
+        lambda: stored(FE.feature_matrix(V.planted_dataset(spark, sf)), "features"),
+    )
+
+
+def _planted_model(spark, sf):
+    def fit():
+        train = C.in_split(_planted_features(spark, sf), "train")
+        return D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH), FE.FEATURES, train)
+
+    return _once(spark, sf, "planted-model", fit)
+
+
 def _predicted(spark, sf):
     return V.scored(spark, sf).withColumn("prediction", M.threshold_prediction(F.col("score")))
 
@@ -200,9 +216,10 @@ def csv_roundtrip(spark, sf):
 def model_bundle_io(spark, sf):
     path = new_path(spark, "model")
     files.save_model(_code_model(spark, sf), path)
-    model = files.load_model(path)
-    scored = D.with_probability(model.transform(_code_features(spark, sf)))
-    return rounded(scored.select("id", "label", "score"))
+    before = D.with_probability(_code_model(spark, sf).transform(_code_features(spark, sf)), "_before")
+    kept = before.drop("features", "rawPrediction", "probability", "prediction")
+    scored = D.with_probability(files.load_model(path).transform(kept))
+    return rounded(scored.select("id", "label", (F.col("score") - F.col("_before")).alias("difference")))
 
 
 @query
@@ -220,9 +237,10 @@ def matrix_sink(spark, sf):
     cells = M.roc_auc(V.scored(spark, sf), ["model", "lang"]).select(
         F.col("model").alias("train_model"), F.col("lang").alias("test_model"), "roc_auc"
     )
-    languages = ["de", "en", "es", "fr"]
+    # one column per language of the data
+    languages = sorted(r[0] for r in cells.select("test_model").distinct().collect())
     files.write_matrix(files.transfer_matrix(rounded(cells), languages), path)
-    schema = "train_model string, de double, en double, es double, fr double"
+    schema = ", ".join(["train_model string", *[f"`{x}` double" for x in languages]])
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -350,7 +368,7 @@ def prompt_grid(spark, sf):
 @query
 def model_pair_grid(spark, sf):
     docs = V.labelled_docs(spark, sf)
-    return TR.pair_grid(docs, TR.model_names(docs))
+    return TR.pair_grid(docs)
 
 
 @query
@@ -361,8 +379,7 @@ def attack_grid(spark, sf):
 
 @query
 def perturbation_grid(spark, sf):
-    test = C.in_split(_split_snippets(spark, sf), "test")
-    return L.perturbations(test).select("id", "round")
+    return L.perturbations(V.snippets(spark, sf)).select("id", "round")
 
 
 @query
@@ -435,8 +452,7 @@ def classification_report(spark, sf):
 
 @query
 def population_guard(spark, sf):
-    docs = _split_docs(spark, sf)
-    return TR.guarded_grid(docs, TR.model_names(docs))
+    return TR.guarded_grid(_split_docs(spark, sf))
 
 
 @query
@@ -461,8 +477,8 @@ def cyclomatic(spark, sf):
 
 @query
 def perturbation_stats(spark, sf):
-    test = C.in_split(_split_snippets(spark, sf), "test")
-    scores = L.log_likelihood(L.perturbations(test), _bigrams(spark, sf), ("id", "round"))
+    texts = L.perturbations(V.snippets(spark, sf))
+    scores = L.log_likelihood(texts, _bigrams(spark, sf), ("id", "round"))
     return rounded(L.perturbation_stats(scores))
 
 
@@ -492,7 +508,12 @@ def seeded_sample(spark, sf):
 
 @query
 def top_importances(spark, sf):
-    return rounded(D.top_importances(_code_model(spark, sf)))
+    # one column decides the label and the others say nothing
+    features = _planted_features(spark, sf)
+    decided = [F.col("label").cast("double").alias(c) if c == "n_tokens" else F.lit(0.0).alias(c) for c in FE.FEATURES]
+    train = C.in_split(features, "train").select("id", "label", *decided)
+    model = D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH, rows=1.0, columns=1.0), FE.FEATURES, train)
+    return rounded(D.top_importances(model, spark))
 
 
 @query
@@ -530,12 +551,7 @@ def union_splits(spark, sf):
 @query
 def union_train_eval(spark, sf):
     docs = _split_docs(spark, sf).where("split <> 'val'")
-    names = TR.model_names(docs)
-    parts = [
-        TR.rows_for_model(docs, name).select(F.lit(name).alias("model"), "split", "id", "label")
-        for name in names
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return TR.training_rows(docs).select("model", "split", "id", "label")
 
 
 # --- style features -----------------------------------------------------------------
@@ -608,21 +624,16 @@ def attack_registry(spark, sf):
 
 @query
 def train_baselines(spark, sf):
-    features = _code_features(spark, sf)
-    estimators = {
-        "boosted_trees": D.boosted_trees(_ROUNDS, _DEPTH),
-        "random_forest": D.forest(_TREES, 8),
-    }
-    _, metrics = D.train_baselines(
-        features, FE.FEATURES, estimators, {"folds": 2, "size": 100, "max_iter": 20}
-    )
+    features = _planted_features(spark, sf)
+    estimators = {"boosted_trees": D.boosted_trees(_ROUNDS, _DEPTH), "random_forest": D.forest()}
+    _, metrics = D.train_baselines(features, FE.FEATURES, estimators)
     return rounded(metrics.withColumn("confusion_matrix", _matrix_text()))
 
 
 @query
 def lexical_classifier(spark, sf):
-    dataset = V.code_dataset(spark, sf).select("id", "label", "split", "code")
-    _, metrics = D.train_lexical(dataset, (0.1, 0.01))
+    dataset = V.planted_dataset(spark, sf).select("id", "label", "split", "code")
+    _, metrics = D.train_lexical(dataset)
     return rounded(metrics.withColumn("confusion_matrix", _matrix_text()))
 
 
@@ -644,36 +655,35 @@ def perturb(spark, sf):
 
 @query
 def curvature_score(spark, sf):
-    test = C.in_split(_split_snippets(spark, sf), "test")
-    scores = L.curvature(test, _bigrams(spark, sf))
+    scores = L.curvature(V.snippets(spark, sf), _bigrams(spark, sf))
     return rounded(scores.withColumn("score", F.round("score", 4)))
 
 
 @query
 def zero_shot_eval(spark, sf):
-    result = L.zero_shot_eval(_split_snippets(spark, sf), _bigrams(spark, sf), 200)
+    result = L.zero_shot_eval(_split_snippets(spark, sf), _bigrams(spark, sf))
     return rounded(result.withColumn("threshold", F.round("threshold", 4)))
 
 
 @query
 def robustness_eval(spark, sf):
-    result = RB.robustness(_code_model(spark, sf), V.code_dataset(spark, sf), 200)
+    result = RB.robustness(_code_model(spark, sf), V.code_dataset(spark, sf))
     return rounded(result)
 
 
 @query
 def cross_model_matrix(spark, sf):
-    features = _code_features(spark, sf)
+    features = _planted_features(spark, sf)
     estimator = D.boosted_trees(_ROUNDS, _DEPTH, rate=0.3, rows=1.0, columns=1.0)
-    return rounded(TR.transfer_auc(features, FE.FEATURES, estimator=estimator))
+    return rounded(TR.transfer_auc(features, FE.FEATURES, estimator))
 
 
 @query
 def stack_ensemble(spark, sf):
-    dataset = V.code_dataset(spark, sf)
-    model = _code_model(spark, sf)
-    baseline = D.with_probability(model.transform(_code_features(spark, sf))).select("id", "score")
-    lexical, _ = D.train_lexical(dataset.select("id", "label", "split", "code"), (0.1,))
+    dataset = V.planted_dataset(spark, sf)
+    model = _planted_model(spark, sf)
+    baseline = D.with_probability(model.transform(_planted_features(spark, sf))).select("id", "score")
+    lexical, _ = D.train_lexical(dataset.select("id", "label", "split", "code"))
     bigrams = L.fit_bigrams(C.in_split(dataset, "train"))
     curved = L.curvature(dataset.select("id", "code"), bigrams).select("id", "score")
     merged = E.merge_scores(dataset, baseline, D.score_lexical(lexical, dataset), curved)
@@ -686,14 +696,16 @@ def tree_shap(spark, sf):
     model = _code_model(spark, sf)
     test = C.in_split(_code_features(spark, sf), "test")
     scored = X.with_attributions(D.with_probability(model.transform(test)), model)
-    return rounded(X.global_importance(scored, FE.FEATURES))
+    total = F.aggregate("shap", F.col("base_value"), lambda a, x: a + x)
+    log_odds = F.log(F.col("score") / (1 - F.col("score")))
+    return rounded(scored.select("id", F.size("shap").alias("n_shares"), (total - log_odds).alias("gap")))
 
 
 @query
 def score_snippets(spark, sf):
-    scored = S.score_snippets(V.code_corpus(spark, sf), _code_model(spark, sf))
-    reasons = F.concat_ws("; ", F.transform("reasons", lambda x: X.impact_text(x.feature, x.impact)))
-    return rounded(scored.withColumn("reasons", reasons))
+    scored = S.score_snippets(V.code_corpus(spark, sf, flips=False), _planted_model(spark, sf))
+    sure = (F.col("confidence") == S.confidence(F.col("score"))).alias("confidence_fits")
+    return scored.select("id", "prediction", "verdict", sure, F.size("reasons").alias("n_reasons"), "unit")
 
 
 @query

@@ -70,8 +70,11 @@ def _program(k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, PROGRAMS)), (k + 1).cast("int"))
 
 
-def code_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Small programs, one per part, each with a comment that makes it distinct."""
+def code_corpus(spark: SparkSession, sf: str, flips: bool = True) -> DataFrame:
+    """Small programs, one per part, each with a comment that makes it distinct.
+
+    The program decides the label, which ``flips`` turns around for one part in sixteen.
+    """
     key = F.col("p_partkey").cast("string")
     k = F.col("p_partkey") % 6
     label = k.isin(0, 2, 5).cast("int")
@@ -79,7 +82,7 @@ def code_corpus(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select(
         key.alias("id"),
         k.cast("int").alias("k"),
-        flipped.alias("label"),
+        (flipped if flips else label).alias("label"),
         "p_size",
         F.concat(_program(k), F.lit("\n# id "), key).alias("code"),
     )
@@ -101,6 +104,11 @@ def code_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return stratified_split(code_corpus(spark, sf)).drop("k")
 
 
+def planted_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The same programs under the labels that they decide: a fit's right answers are known."""
+    return stratified_split(code_corpus(spark, sf, flips=False)).drop("k")
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Prose and programs together: (id, code)."""
     prose = snippets(spark, sf).select(F.concat(F.lit("s"), "id").alias("id"), "code")

@@ -6,6 +6,7 @@ from math import factorial
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from inkprint.functions.attacks import ATTACKS
@@ -57,7 +58,7 @@ def test_baselines_find_the_rings(rings):
         assert r.roc_auc > 0.85, r
         (tn, fp), (fn, tp) = r.confusion_matrix
         assert (tn + tp) / (tn + fp + fn + tp) == pytest.approx(r.accuracy)
-    top = [r.feature for r in D.top_importances(models["boosted_trees"], 2).collect()]
+    top = [r.feature for r in D.top_importances(models["boosted_trees"], rings.sparkSession, 2).collect()]
     assert set(top) == {"a", "b"}
 
 
@@ -120,7 +121,7 @@ def brute_shapley(leaves, row, n):
 def test_attributions_equal_brute_force_and_add_up(rings, trees):
     scored = X.with_attributions(D.with_probability(trees.transform(C.in_split(rings, "test"))), trees)
     rows = scored.select("score", "shap", "base_value", *COLUMNS).collect()
-    leaves = X.leaves_of(trees)
+    leaves = X.leaves_of(trees, rings.sparkSession)
     for r in rows[:10]:
         expected = brute_shapley(leaves, [r[c] for c in COLUMNS], 4)
         assert r.shap == pytest.approx(expected, abs=1e-9)
@@ -129,9 +130,35 @@ def test_attributions_equal_brute_force_and_add_up(rings, trees):
         assert sum(r.shap) + r.base_value == pytest.approx(log_odds, abs=1e-6)
 
 
+@pytest.mark.parametrize("nodes", [50, 500_000])
+def test_forest_attributions_add_up_to_the_probability(rings, monkeypatch, nodes):
+    monkeypatch.setattr(X, "MAX_NODES", nodes)
+    model = D.fit_pipeline(D.forest(8, 5), COLUMNS, C.in_split(rings, "train"))
+    scored = X.with_attributions(D.with_probability(model.transform(rings)), model)
+    rows = scored.select("score", "shap", "base_value", "unit", *COLUMNS).collect()
+    leaves = X.leaves_of(model, rings.sparkSession)
+    assert {r.unit for r in rows} == {X.PROBABILITY}
+    assert [sum(r.shap) + r.base_value for r in rows] == pytest.approx([r.score for r in rows], abs=1e-9)
+    for r in rows[:5]:
+        assert r.shap == pytest.approx(brute_shapley(leaves, [r[c] for c in COLUMNS], 4), abs=1e-9)
+
+
+def test_linear_attributions_add_up_to_the_log_odds(rings):
+    model = D.fit_pipeline(LogisticRegression(featuresCol=D.VECTOR, regParam=0.01), COLUMNS, C.in_split(rings, "train"))
+    for r in X.with_attributions(D.with_probability(model.transform(rings)), model).limit(50).collect():
+        assert r.unit == X.LOG_ODDS
+        assert sum(r.shap) + r.base_value == pytest.approx(np.log(r.score / (1 - r.score)), abs=1e-6)
+
+
+def test_a_kernel_machine_gives_no_reasons(rings):
+    model = D.fit_kernel_machine(C.in_split(rings, "train"), COLUMNS, size=50, folds=2, max_iter=5)
+    row = X.with_attributions(D.with_probability(model.transform(rings)), model).first()
+    assert row.shap is None and row.unit is None and 0 <= row.score <= 1
+
+
 def test_long_paths_take_the_pattern_route(rings, trees, monkeypatch):
     x = np.array([[r[c] for c in COLUMNS] for r in rings.limit(50).collect()])
-    leaves = X.leaves_of(trees)
+    leaves = X.leaves_of(trees, rings.sparkSession)
     tabled = X.Attributor(leaves, 4)(x)
     monkeypatch.setattr(X, "_TABLE_BITS", 0)
     assert np.allclose(X.Attributor(leaves, 4)(x), tabled)
@@ -163,7 +190,7 @@ def test_transfer_matrix(spark, rings):
     )
     df = rings.unionByName(rare).cache()
     estimator = D.boosted_trees(5, 3, rate=0.3, rows=1.0, columns=1.0)
-    cells = TR.transfer_auc(df, COLUMNS, estimator=estimator)
+    cells = TR.transfer_auc(df, COLUMNS, estimator)
     found = {(r.train_model, r.test_model): r.roc_auc for r in cells.collect()}
     names = ["m1", "m2", "rare"]
     assert set(found) == {(a, b) for a in names for b in names}
@@ -240,6 +267,17 @@ def test_custom_attack_and_extractor(spark, programs):
     assert FE.with_features(programs, extractors).columns[-1] == "size"
 
 
+def test_every_baseline_scores_snippets(spark, sf):
+    features = Q._code_features(spark, sf)
+    estimators = {"boosted_trees": D.boosted_trees(3, 3), "random_forest": D.forest(4, 4)}
+    models, _ = D.train_baselines(features, FE.FEATURES, estimators, {"folds": 2, "size": 20, "max_iter": 3})
+    snippets = V.code_corpus(spark, sf).select("id", "code").limit(20)
+    for name, unit in (("boosted_trees", X.LOG_ODDS), ("random_forest", X.PROBABILITY), ("kernel_machine", None)):
+        rows = S.score_snippets(snippets, models[name]).collect()
+        assert len(rows) == 20 and {r.unit for r in rows} == {unit}
+        assert all((r.reasons is None) == (unit is None) for r in rows)
+
+
 def test_scoring_output(spark, sf, code_model):
     snippets = V.code_corpus(spark, sf).select("id", "code")
     blank = spark.createDataFrame([("blank", " \n")], "id string, code string")

@@ -81,3 +81,78 @@ def test_every_query_plan_has_no_cartesian_product(spark, sf):
 def test_requests_are_not_shuffled_by_model(spark, sf):
     plan = plan_of(Q.QUERIES["generate_requests"](spark, sf))
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def hot_groups(spark):
+    """Nine of ten rows in one group."""
+    return spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("score"),
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+
+
+def without_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return old
+
+
+def test_medians_and_ranks_shuffle_no_rows_by_group_alone(spark):
+    old = without_broadcast(spark)
+    try:
+        medians = plan_of(M.median_predictions(hot_groups(spark), "score", ["g"]))
+        assert not re.search(r"hashpartitioning\(g#\d+L?, \d+\)", medians)
+        auc = plan_of(M.roc_auc(hot_groups(spark), ["g"], buckets=16))
+        by_group = re.findall(r"Exchange hashpartitioning\(g#\d+L?, \d+\)[^\n]*\n[^\n]*", auc)
+        # what is left by group has a row per bucket
+        assert all("partial_sum" in step or "HashAggregate" in step or "Project" in step for step in by_group)
+        assert "SortMergeJoin" not in auc
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("bound", [10_000, 2])
+def test_groups_beyond_the_bound_are_salted(spark, monkeypatch, bound):
+    import inkprint.storage as storage
+
+    monkeypatch.setattr(storage, "MAX_BROADCAST_GROUPS", bound)
+    rows = hot_groups(spark).collect()
+    judged = M.median_predictions(hot_groups(spark), "score", ["g"]).select("g", "threshold").distinct()
+    got = {r.g: r.threshold for r in judged.collect()}
+    expected = {}
+    for r in rows:
+        expected.setdefault(r.g, []).append(r.score)
+    import statistics
+
+    assert got == pytest.approx({g: statistics.median(v) for g, v in expected.items()})
+    for buckets in (2, 16):
+        for r in M.roc_auc(hot_groups(spark), ["g"], buckets=buckets).collect():
+            own = [x for x in rows if x.g == r.g]
+            pos, neg = [x.score for x in own if x.label], [x.score for x in own if not x.label]
+            if not pos or not neg:
+                assert r.roc_auc is None
+                continue
+            wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg) if len(pos) * len(neg) < 40_000 else None
+            assert wins is None or r.roc_auc == pytest.approx(wins / (len(pos) * len(neg)))
+
+
+def test_transfer_scores_one_scan_without_copies(spark):
+    from inkprint.operators import transfer as TR
+
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("id"),
+        (F.col("id") % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 2 == 0, "human").otherwise(F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))).alias("source_model"),
+        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"),
+        (F.col("id") % 7 + F.col("id") % 2).cast("double").alias("a"),
+    )
+    plan = plan_of(TR.training_rows(rows))
+    assert len(re.findall(r"\+- \*?\(?\d*\)? ?Range|Range \(", plan)) <= 2
+
+
+def test_stored_tables_go_when_the_session_ends(spark):
+    from inkprint.storage import stored
+
+    table = stored(spark.range(3).toDF("x"), "probe")
+    assert table.count() == 3 and table.inputFiles()

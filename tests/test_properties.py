@@ -262,7 +262,7 @@ def brute_likelihood(train, code):
             pairs[a, b] += 1
             firsts[a] += 1
     n, v = sum(words.values()), len(words)
-    tokens = code.split()[:512]
+    tokens = code.split()
     logs = [
         math.log((pairs[a, b] + (words[b] + 1) / (n + v + 1)) / (firsts[a] + 1))
         for a, b in zip(tokens, tokens[1:])
@@ -276,7 +276,7 @@ def test_likelihood_with_a_hot_pair(spark, hot_pairs):
     vocabulary = ["the", "the", "the", "of", "a", "b", "c", "dd"]
     train = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(60)]
     scored = [" ".join(rng.choices([*vocabulary, "new"], k=rng.randint(0, 30))) for _ in range(60)]
-    scored += ["", "one", "the " * 2000]
+    scored += ["", "one", "the " * 2000, "the " * 600 + "rare", "the " * 600 + "of"]
     model = L.fit_bigrams(spark.createDataFrame([(t,) for t in train], "code string"))
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(scored)], "id string, code string")
     rows = L.log_likelihood(df, model, hot_pairs=hot_pairs).collect()
