@@ -4,11 +4,12 @@ classifier on token n-grams. All fits are MLlib jobs over the training partition
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -34,6 +35,8 @@ VECTOR = "features"
 PROBABILITY = "score"
 # trees are cut from their lineage of prediction columns this often, on reliable storage
 _CHECKPOINT_EVERY = 10
+# rows of random features that one task of a kernel fit holds, about
+_ROWS_PER_TASK = 4096
 
 
 def assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -145,9 +148,11 @@ def fit_kernel_machine(
         seed=seed,
     )
     front = PipelineModel([assembler(columns), features])
-    rows = front.transform(train).select("id", "label", "kernel").persist()
+    n = train.count()
+    # each step of a fit is a job over these partitions: few rows in many tasks would cost more than the work
+    dealt = train.coalesce(n // _ROWS_PER_TASK + 1)
+    rows = front.transform(dealt).select("id", "label", "kernel").persist()
     try:
-        n = rows.count()
 
         def fit(part: DataFrame):
             return LinearSVC(
@@ -160,14 +165,17 @@ def fit_kernel_machine(
             ).fit(part)
 
         fold = F.pmod(F.xxhash64("id"), F.lit(folds))
-        held_out = [
-            fit(rows.where(fold != k)).transform(rows.where(fold == k)) for k in range(folds)
-        ]
+        parts = [*(rows.where(fold != k) for k in range(folds)), rows]
+        # fits of many short jobs that do not depend on each other: side by side they share the cores
+        with ThreadPoolExecutor(len(parts)) as pool:
+            running = [pool.submit(inheritable_thread_target(partial(fit, part))) for part in parts]
+            *of_folds, whole = [future.result() for future in running]
+        held_out = [model.transform(rows.where(fold == k)) for k, model in enumerate(of_folds)]
         margins = reduce(DataFrame.unionByName, held_out).select("label", "margin")
         calibration = LogisticRegression(
             featuresCol="margin", probabilityCol="probability", rawPredictionCol="raw_calibrated"
         ).fit(margins)
-        return PipelineModel([*front.stages, fit(rows), calibration])
+        return PipelineModel([*front.stages, whole, calibration])
     finally:
         rows.unpersist()
 

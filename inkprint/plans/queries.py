@@ -626,7 +626,7 @@ def attack_registry(spark, sf):
 def train_baselines(spark, sf):
     features = _planted_features(spark, sf)
     estimators = {"boosted_trees": D.boosted_trees(_ROUNDS, _DEPTH), "random_forest": D.forest()}
-    _, metrics = D.train_baselines(features, FE.FEATURES, estimators)
+    _, metrics = D.train_baselines(features, FE.FEATURES, estimators, kernel={})
     return rounded(metrics.withColumn("confusion_matrix", _matrix_text()))
 
 

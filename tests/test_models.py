@@ -311,3 +311,18 @@ def test_lexical_classifier_learns_tokens(spark):
     assert {r.split for r in metrics.collect()} == {"val", "test"}
     assert all(r.roc_auc > 0.95 for r in metrics.collect())
     assert D.score_lexical(model, df).count() == 300
+
+
+def test_the_query_fits_every_baseline(spark, sf, monkeypatch):
+    asked = []
+
+    def fit(train, columns, **options):
+        asked.append(options)
+        return D.fit_pipeline(LogisticRegression(featuresCol=D.VECTOR, maxIter=1), columns, train)
+
+    # the kernel machine is asked for at its defaults; the stand-ins only keep the test short
+    monkeypatch.setattr(D, "fit_kernel_machine", fit)
+    monkeypatch.setattr(D, "forest", lambda: LogisticRegression(featuresCol=D.VECTOR, maxIter=1))
+    rows = Q.train_baselines(spark, sf).collect()
+    models = ("boosted_trees", "random_forest", "kernel_machine")
+    assert asked == [{}] and sorted((r.model, r.split) for r in rows) == sorted((m, s) for m in models for s in ("val", "test"))
