@@ -127,37 +127,69 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = NGRAM) -> DataFrame:
     return pairs.join(side, "a").join(other, "b").mapInPandas(run, "a long, b long, jaccard double")
 
 
+def _root(parent: np.ndarray, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _likely(group: pd.DataFrame, threshold: float) -> list[tuple[float, int, int]]:
+    """(-share, x, y) of the places in a block pair whose signatures may agree enough, the likeliest first."""
+    marks = np.frombuffer(b"".join(group["signature"]), dtype="<u2").reshape(len(group), -1)
+    first, second = group["_i"].iat[0], group["_j"].iat[0]
+    block = group["_block"].to_numpy()
+    likely = []
+    for x in np.flatnonzero(block == first):
+        others = np.flatnonzero(block == second)
+        others = others[others > x] if first == second else others
+        share = (marks[others] == marks[x]).mean(axis=1)
+        likely += [(-s, x, y) for s, y in zip(share, others, strict=True) if s >= threshold - MARGIN]
+    return sorted(likely)
+
+
 def _similar_within(threshold: float):
-    """Pairs of a block pair whose signatures may agree enough; pairs that surer pairs connect anyway are left out."""
+    """(bucket, _i, _j, a, b, sure) of likely pairs of a block pair; those that sure pairs would connect are left out.
+
+    A sure pair is one that signatures alone speak for: where its sets turn out otherwise, the block pair is to be met again.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("row")
-        ids = group["row"].to_numpy()
-        marks = np.frombuffer(b"".join(group["signature"]), dtype="<u2").reshape(len(ids), -1)
-        first, second = group["_i"].iat[0], group["_j"].iat[0]
-        block = group["_block"].to_numpy()
-        parent = np.arange(len(ids))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        likely = []
-        for x in np.flatnonzero(block == first):
-            others = np.flatnonzero(block == second)
-            others = others[others > x] if first == second else others
-            share = (marks[others] == marks[x]).mean(axis=1)
-            likely += [(-s, x, y) for s, y in zip(share, others, strict=True) if s >= threshold - MARGIN]
-        out = []
-        for share, x, y in sorted(likely):
-            rx, ry = root(x), root(y)
+        ids, parent, out = group["row"].to_numpy(), np.arange(len(group)), []
+        place = tuple(group[c].iat[0] for c in ("bucket", "_i", "_j"))
+        for share, x, y in _likely(group, threshold):
+            rx, ry = _root(parent, x), _root(parent, y)
             if rx == ry:
                 continue
-            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-            if -share >= threshold + MARGIN / 2:
+            sure = -share >= threshold + MARGIN / 2
+            out.append((*place, min(ids[x], ids[y]), max(ids[x], ids[y]), sure))
+            if sure:
                 parent[rx] = ry
+        return pd.DataFrame(out, columns=["bucket", "_i", "_j", "a", "b", "sure"])
+
+    return run
+
+
+def _linked_within(n: int, threshold: float):
+    """(a, b) of links in a block pair that connect its components (_own): pairs count as connected only by their sets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("row")
+        ids, texts, parent = group["row"].to_numpy(), group["text"].array, np.arange(len(group))
+        for places in group.reset_index(drop=True).groupby("_own").indices.values():
+            parent[places] = places[0]
+        hashes, sets, out = _WordHashes(), {}, []
+        for _, x, y in _likely(group, threshold):
+            rx, ry = _root(parent, x), _root(parent, y)
+            if rx == ry:
+                continue
+            for i in (x, y):
+                if i not in sets:
+                    sets[i] = gram_set(texts[i], hashes, n)
+            if _jaccard(sets[x], sets[y]) >= threshold:
+                parent[rx] = ry
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -237,7 +269,8 @@ def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM
     members. A member that is not in the leader's component after that stays open, and may still link to one that is: it is put
     down as a newcomer to that component. What is open after the rounds is compared by signature, block against
     block, and pairs that may be similar are verified. At last every newcomer that nothing has connected to its component
-    meets the members of it. No bucket is cut and no pair of one is passed over. Between the steps links are contracted to one
+    meets the members of it. Pairs that surer pairs seemed to connect are met again, by their sets, wherever one of
+    those failed. No bucket is cut and no likely pair of one is passed over. Between the steps links are contracted to one
     for each node.
     """
     edges, classes, newcomers = None, None, []
@@ -265,8 +298,19 @@ def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM
         still = still.select("bucket", "row", "_own")
     several = still.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     rest = _block_pairs(still.join(several, "bucket"), "bucket", BLOCK).join(marks.select("row", "signature"), "row")
-    likely = rest.groupBy("bucket", "_i", "_j").applyInPandas(_similar_within(threshold), "a long, b long").distinct()
-    classes, edges = connected(likely)
+    place = ["bucket", "_i", "_j"]
+    offered = rest.groupBy(*place).applyInPandas(_similar_within(threshold), "bucket long, _i int, _j int, a long, b long, sure boolean")
+    offered = stored(offered, "likely-pairs")
+    classes, edges = connected(offered.select("a", "b").distinct())
+    own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
+    ends = [own.select(F.col("row").alias(x), F.col("_own").alias(f"_{x}")) for x in ("a", "b")]
+    apart = offered.where("sure").join(ends[0], "a", "left").join(ends[1], "b", "left").where("NOT coalesce(_a = _b, false)")
+    again = stored(apart.select(*place).distinct(), "failed-blocks")
+    if not again.isEmpty():
+        held = rest.drop("_own").join(again, place, "left_semi").join(own, "row", "left").join(texts, "row")
+        found = held.groupBy(*place).applyInPandas(_linked_within(n, threshold), "a long, b long")
+        edges = edges.unionByName(stored(found, "block-links"))
+        classes = stored(components(edges), "components")
     own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
     theirs = classes.select(F.col("node").alias("leader"), "component")
     waiting = reduce(DataFrame.unionByName, newcomers).distinct().join(theirs, "leader").join(own, "row", "left")

@@ -70,6 +70,17 @@ def test_open_members_are_compared_without_leaders(spark, monkeypatch, similar_t
     assert {r.doc_id: r.class_id for r in found} == dict(enumerate(classes))
 
 
+def test_pairs_behind_a_failed_pair_are_met_again(spark, monkeypatch):
+    # equal signatures promise that all are similar; the sets of four groups say otherwise
+    monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 1)
+    base = sentences(8, 4, 100, vocabulary=3000)
+    texts = [edited(base[i % 4], i, 1) for i in range(16)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    marks = rows.select("row", F.lit(bytes(252)).alias("signature"))
+    found = near_duplicates.links(rows.select(F.lit(1).cast("long").alias("bucket"), "row"), marks, rows).collect()
+    assert {r.node: r.component for r in found} == {i: i % 4 for i in range(16)}
+
+
 def test_one_of_each_class_stays(spark, similar_texts):
     docs = docs_of(spark, similar_texts, row="r", _row="s", _all="t")
     kept = near_duplicates.deduplicate(docs)
