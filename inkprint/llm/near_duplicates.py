@@ -36,6 +36,8 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
     """The least number of bands of ``rows`` hashes with 1 - (1 - threshold**rows)**bands >= recall."""
+    if threshold >= 1:
+        return 1
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
@@ -325,7 +327,8 @@ def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: float = T
     n-gram set, ``class_row`` that of all documents that chains of links connect. Documents without words have no set: each is alone. A
     document links to another if the Jaccard similarity of their sets of word n-grams is ``threshold`` at least.
     """
-    marks = stored(sketches(docs, n), "minhash")
+    # never fewer bands than at the default: MARGIN is for that many hashes
+    marks = stored(sketches(docs, n, max(bands_for(), bands_for(threshold))), "minhash")
     copies = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("copy_row"))
     copies = stored(copies, "copies")
     banded = marks.join(copies.select(F.col("copy_row").alias("row")), "row", "left_semi").select("row", F.explode("bands").alias("bucket"))

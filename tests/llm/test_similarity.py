@@ -81,6 +81,15 @@ def test_pairs_behind_a_failed_pair_are_met_again(spark, monkeypatch):
     assert {r.node: r.component for r in found} == {i: i % 4 for i in range(16)}
 
 
+def test_a_lower_threshold_has_bands_for_it(spark):
+    base = sentences(31, 30, 160, vocabulary=3000)
+    texts = base + [edited(t, 50 + i, 9) for i, t in enumerate(base)]
+    links = brute_links(texts, 0.5)
+    found = near_duplicates.similarity_join(docs_of(spark, texts), threshold=0.5).collect()
+    assert sum(map(len, links)) >= 40
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {i: (c, len(links[i])) for i, c in enumerate(brute_classes(links))}
+
+
 def test_one_of_each_class_stays(spark, similar_texts):
     docs = docs_of(spark, similar_texts, row="r", _row="s", _all="t")
     kept = near_duplicates.deduplicate(docs)
