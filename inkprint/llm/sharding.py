@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.storage import stored
+from inkprint.storage import broadcast_bounded, stored
 
 # Items that one packing run sees at most: this many chunks of small groups, and as many large groups.
 MAX_CHUNKS = 4096
+# With a capacity: chunks of small groups are this part of it on average, larger groups than a SMALL-th are packed alone.
+PER_SHARD, SMALL = 128, 64
+# Items that one run packs then, for each of max_chunks.
+RUN_PER_CHUNK = 16
 # Rows that one slot window numbers, about.
 SLOT_ROWS = 4096
 
@@ -154,17 +159,73 @@ def pack_into(sizes: list[int], n_shards: int) -> list[int]:
     return placed
 
 
+def _filled_shards(groups: DataFrame, total: int, capacity: int, run_items: int) -> tuple[DataFrame, DataFrame, int]:
+    """(group, _alone) and (_chunk, _shared) with shards of ``capacity``, and the number of chunks.
+
+    Up to ``run_items`` groups are packed one by one in one run. More are packed in as many runs as it takes, each over a hashed
+    range of the items: groups above a SMALL-th of the capacity, and chunks of smaller ones. The groups of a chunk that
+    comes out above the capacity are packed one by one. A run costs one underfull shard.
+    """
+    groups = stored(groups, "shard-groups")
+    n_chunks = total * PER_SHARD // capacity + 1
+    gathered = (F.col("bytes") * SMALL <= capacity) if groups.count() > run_items else F.lit(False)
+    chunks = groups.where(gathered).groupBy(F.pmod(F.xxhash64("group"), F.lit(n_chunks)).alias("_chunk")).agg(F.sum("bytes").alias("bytes"))
+    chunks = stored(chunks, "shard-chunks")
+    heavy = chunks.where(F.col("bytes") > capacity).select("_chunk", F.lit(True).alias("_heavy"))
+    dealt = groups.withColumn("_chunk", F.when(gathered, F.pmod(F.xxhash64("group"), F.lit(n_chunks)))).join(heavy, "_chunk", "left")
+    single = dealt.where("_chunk IS NULL OR _heavy").select("group", F.lit(None).cast("long").alias("_chunk"), "bytes")
+    items = single.unionByName(chunks.where(F.col("bytes") <= capacity).select(F.lit(None).cast("string").alias("group"), "_chunk", "bytes"))
+    items = stored(items, "shard-items")
+    runs = items.count() // run_items + 1
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["group", "_chunk"])
+        return part.assign(_bin=best_fit_decreasing(part["bytes"].tolist(), capacity))[["group", "_chunk", "_run", "_bin"]]
+
+    schema = "group string, _chunk long, _run int, _bin int"
+    run = F.pmod(F.xxhash64(F.coalesce("group", F.col("_chunk").cast("string")), F.lit(1)), F.lit(runs)).cast("int")
+    packed = stored(items.withColumn("_run", run).groupBy("_run").applyInPandas(pack, schema), "shard-runs")
+    # a row for each run
+    starts = packed.groupBy("_run").agg((F.max("_bin") + 1).alias("_n"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = packed.join(F.broadcast(starts), "_run").withColumn("shard", (F.col("_start") + F.col("_bin")).cast("int"))
+    by_group = placed.where("group IS NOT NULL").select("group", F.col("shard").alias("_alone"))
+    by_chunk = placed.where("group IS NULL").select("_chunk", F.col("shard").alias("_shared"))
+    return broadcast_bounded(by_group, MAX_CHUNKS), broadcast_bounded(by_chunk, MAX_CHUNKS), n_chunks
+
+
+def _even_shards(groups: DataFrame, total: int, n_shards: int, max_chunks: int) -> tuple[DataFrame, DataFrame, int]:
+    """(group, _alone) and (_chunk, _shared) with ``n_shards`` shards of near equal bytes, and the number of chunks."""
+    spark = groups.sparkSession
+    chunk = F.pmod(F.xxhash64("group"), F.lit(max_chunks))
+    alone = F.col("bytes") > F.lit(total // max_chunks)
+    items = (
+        groups.select(F.when(alone, F.col("group")).alias("group"), F.when(~alone, chunk).alias("chunk"), "bytes")
+        .groupBy("group", "chunk")
+        .agg(F.sum("bytes").alias("bytes"))
+        .orderBy("group", "chunk")
+        .collect()  # at most 2 x max_chunks rows
+    )
+    bins = pack_into([r["bytes"] for r in items], n_shards)
+    large = [(r["group"], b) for r, b in zip(items, bins, strict=True) if r["group"] is not None]
+    small = [(r["chunk"], b) for r, b in zip(items, bins, strict=True) if r["group"] is None]
+    by_group = F.broadcast(spark.createDataFrame(large, "group string, _alone int"))
+    return by_group, F.broadcast(spark.createDataFrame(small, "_chunk long, _shared int")), max_chunks
+
+
 def shard_documents(
     docs: DataFrame, n_shards: int | None = 8, capacity: int | None = None, max_chunks: int = MAX_CHUNKS
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): equal texts stay together, shards stay near equal.
 
     ``size`` is the UTF-8 bytes of the text plus 1; a null text counts as an empty one and
-    shares its group. Groups larger than a ``max_chunks``-th of all bytes are packed one by
+    shares its group. For ``n_shards``, groups larger than a ``max_chunks``-th of all bytes are packed one by
     one; there are fewer than ``max_chunks`` of them. Smaller groups are first gathered by hash
     into ``max_chunks`` chunks. So the packing sees a bounded number of items whatever the
     corpus, and no group is ever split. With ``capacity`` shards of that many bytes are opened as
-    needed (a group above it gets one of its own); else there are ``n_shards`` of near equal bytes: groups above an even
+    needed, and only a group above it has a larger shard, of its own; chunks are a small part of the capacity, and items beyond 16 x
+    ``max_chunks`` are packed in several runs. Else there are ``n_shards`` of near equal bytes: groups above an even
     share get one each, and the others are packed under the smallest capacity that does. Slots number a shard's rows from 0, by hashed sub-ranges of
     bounded size. An empty table gives no rows; other columns are ignored.
     """
@@ -180,25 +241,14 @@ def shard_documents(
         ),
         "shard-sizes",
     )
-    spark = docs.sparkSession
     totals = rows.agg(F.sum("size"), F.count("*")).first()
     total, n_rows = totals[0] or 0, totals[1]
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    chunk = F.pmod(F.xxhash64("group"), F.lit(max_chunks))
-    alone = F.col("bytes") > F.lit(total // max_chunks)
-    items = (
-        groups.select(F.when(alone, F.col("group")).alias("group"), F.when(~alone, chunk).alias("chunk"), "bytes")
-        .groupBy("group", "chunk")
-        .agg(F.sum("bytes").alias("bytes"))
-        .orderBy("group", "chunk")
-        .collect()  # at most 2 x max_chunks rows
-    )
-    sizes = [r["bytes"] for r in items]
-    bins = pack_into(sizes, n_shards) if capacity is None else best_fit_decreasing(sizes, capacity)
-    large = [(r["group"], b) for r, b in zip(items, bins, strict=True) if r["group"] is not None]
-    small = [(r["chunk"], b) for r, b in zip(items, bins, strict=True) if r["group"] is None]
-    by_group = F.broadcast(spark.createDataFrame(large, "group string, _alone int"))
-    by_chunk = F.broadcast(spark.createDataFrame(small, "_chunk long, _shared int"))
+    if capacity is None:
+        by_group, by_chunk, n_chunks = _even_shards(groups, total, n_shards, max_chunks)
+    else:
+        by_group, by_chunk, n_chunks = _filled_shards(groups, total, capacity, RUN_PER_CHUNK * max_chunks)
+    chunk = F.pmod(F.xxhash64("group"), F.lit(n_chunks))
     placed = (
         rows.join(by_group, "group", "left")
         .withColumn("_chunk", chunk)

@@ -100,6 +100,20 @@ def test_shards_of_fixed_capacity_and_of_nothing(spark):
     assert sharding.shard_documents(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("per_chunk", [200, 16])
+def test_no_shard_exceeds_the_capacity(spark, monkeypatch, per_chunk):
+    # many more groups than max_chunks, in one run or in many, gathered by hash where they are small
+    monkeypatch.setattr(sharding, "RUN_PER_CHUNK", per_chunk, raising=False)
+    texts = [f"{i:05d}" + "x" * (i * 7 % 60) for i in range(1500)] + ["y" * 6_000, "z" * 300] + ["same"] * 40
+    placed = sharding.shard_documents(docs_of(spark, texts), n_shards=None, capacity=4_000, max_chunks=10).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(len(texts)))
+    sizes = np.bincount([r.shard for r in placed], weights=[r["size"] for r in placed])
+    assert sorted(sizes)[-1] == 6_001 and sorted(sizes)[-2] <= 4_000
+    # one underfull shard for each run of 160 or 2,000 items
+    assert len(sizes) <= 1 + -(-(sizes.sum() - 6_001) // 4_000) + 1600 // (10 * per_chunk) + 1
+    assert len({r.shard for r in placed if texts[r.doc_id] == "same"}) == 1
+
+
 def reference_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
