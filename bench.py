@@ -54,7 +54,7 @@ def headline(spark: SparkSession):
     def fit():
         train = in_split(q._code_features(spark, SF_DIR), "train")
         trees = detectors.boosted_trees(20, 6)
-        return detectors.top_importances(detectors.fit_pipeline(trees, features.FEATURES, train))
+        return detectors.top_importances(detectors.fit_pipeline(trees, features.FEATURES, train), spark)
 
     runs = {
         "style_features_jvm": lambda: style("space"),

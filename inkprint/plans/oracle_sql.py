@@ -552,7 +552,7 @@ FROM ({auc('SELECT * FROM judged', 'g')})"""
     matrix = "'[[' || count(*) FILTER (label = 0) || ',0],[0,' || count(*) FILTER (label = 1) || ']]' AS confusion_matrix"
     held_out = f"SELECT * FROM ({dataset}) WHERE split IN ('val', 'test')"
     sql["train_baselines"] = f"""
-SELECT model, split, {perfect}, {matrix} FROM ({held_out}), (VALUES ('boosted_trees'), ('random_forest')) AS m(model)
+SELECT model, split, {perfect}, {matrix} FROM ({held_out}), (VALUES ('boosted_trees'), ('kernel_machine'), ('random_forest')) AS m(model)
 GROUP BY model, split"""
     sql["lexical_classifier"] = f"SELECT split, {perfect}, {matrix} FROM ({held_out}) GROUP BY split"
     sql["stack_ensemble"] = f"SELECT {perfect}, {matrix} FROM ({dataset}) WHERE split = 'val'"
