@@ -13,6 +13,7 @@ from inkprint.llm import (
     lines,
     near_duplicates,
     packing,
+    reputation,
     secrets,
     sharding,
     suffixes,
@@ -91,6 +92,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+RULES = (
+    reputation.Rule("block", "net"),
+    reputation.Rule("allow", "example.net", "/en/"),
+    reputation.Rule("block", "example.com", "/de/"),
+    reputation.Rule("allow", "org", "/fr/"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document that its address numbers; it is bad where this is labelled toxic or of no quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(reputation.url_path(F.col("url")), r"/([0-9]{1,18})(?:\.html|/)?\z", 1)
+    shown = pages.select("url", number.try_cast("long").alias("doc_id"))
+    known = labels.groupBy("doc_id").agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return reputation.judge_urls(pages, shown.join(known, "doc_id"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -104,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_secrets,
         op10_line_dedup,
+        op11_url_filter,
     )
 }
