@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions.text import let
 from inkprint.llm import (
     decontamination,
     language,
     lines,
     near_duplicates,
     packing,
+    periodic,
     reputation,
     secrets,
     sharding,
@@ -109,6 +111,51 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(pages, shown.join(known, "doc_id"), RULES)
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where each tenth document, by crc32 of its id, goes on in periods of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.pmod(h, F.lit(10)) == 0
+
+    def planted(words: Column) -> Column:
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return let(
+            F.struct(words.alias("w"), a.alias("a"), p.alias("p")),
+            lambda s: F.array_join(
+                F.transform(
+                    s["w"],
+                    lambda _, i: F.get(s["w"], F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int")),
+                ),
+                " ",
+            ),
+        )
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")
+    text = F.when(chosen & F.col("text").isNotNull(), let(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise("")))
+    return docs.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(_with_planted_periods(table(spark, sf_dir, "documents")))
+    # longer in periods, compared exactly; the first of equals stays
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -123,5 +170,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_line_dedup,
         op11_url_filter,
+        op13_periodic_runs,
     )
 }
