@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.text import let
 from inkprint.llm import (
+    alignment,
     decontamination,
     language,
     lines,
@@ -111,6 +112,15 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(pages, shown.join(known, "doc_id"), RULES)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    # digests first: no text moves for the join
+    documents = aligned.select("_row", "doc_id", "n_a", "n_b", "n_groups", digest)
+    sums = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return documents.join(alignment.link_scores(aligned), "_row", "left").select(*documents.columns[1:], *sums)
+
+
 def _with_planted_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where each tenth document, by crc32 of its id, goes on in periods of its own words from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -170,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_line_dedup,
         op11_url_filter,
+        op12_alignment,
         op13_periodic_runs,
     )
 }
