@@ -1,5 +1,5 @@
 """Trained detectors: boosted trees, forest and kernel machine on features, and a lexical
-classifier on token n-grams. All fits are MLlib jobs over the training partitions."""
+classifier on token n-grams. All fits are jobs over the training partitions."""
 
 from __future__ import annotations
 
@@ -12,12 +12,11 @@ import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -26,15 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.functions.pysyntax import py_tokens
+from inkprint.operators.boosting import NewtonTrees
 from inkprint.operators.corpus import in_split
+from inkprint.operators.epochs import LexicalModel, train_lexical  # noqa: F401
 from inkprint.operators.metrics import evaluate
-from inkprint.storage import shared_dir, stored
 
 VECTOR = "features"
 PROBABILITY = "score"
-# trees are cut from their lineage of prediction columns this often, on reliable storage
-_CHECKPOINT_EVERY = 10
 # rows of random features that one task of a kernel fit holds, about
 _ROWS_PER_TASK = 4096
 
@@ -44,8 +41,7 @@ def assembler(columns: Sequence[str]) -> VectorAssembler:
 
 
 def fit_pipeline(estimator: Estimator, columns: Sequence[str], train: DataFrame) -> PipelineModel:
-    """Assemble the columns and fit; boosting cuts its lineage in the shared folder."""
-    shared_dir(train.sparkSession)
+    """Assemble the columns and fit."""
     return Pipeline(stages=[assembler(columns), estimator]).fit(train)
 
 
@@ -56,18 +52,8 @@ def boosted_trees(
     rows: float = 0.9,
     columns: float = 0.9,
     seed: int = 42,
-) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol=VECTOR,
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=rate,
-        subsamplingRate=rows,
-        featureSubsetStrategy=str(columns) if columns < 1 else "all",
-        maxBins=256,
-        checkpointInterval=_CHECKPOINT_EVERY,
-        seed=seed,
-    )
+) -> NewtonTrees:
+    return NewtonTrees(featuresCol=VECTOR, rounds=rounds, depth=depth, rate=rate, rows=rows, columns=columns, seed=seed)
 
 
 def forest(trees: int = 300, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
@@ -195,18 +181,19 @@ def train_baselines(
     columns: Sequence[str],
     estimators: dict[str, Estimator] | None = None,
     kernel: dict | None = None,
+    fitted: dict[str, PipelineModel] | None = None,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every baseline on the train split; one metrics row per model and held-out split.
 
     ``features`` is read for training and once per model for scoring: pass a stored matrix.
     ``kernel`` holds options of the kernel machine; ``{}`` takes the defaults and None
-    leaves it out. All models are evaluated in one job over the union of their scores.
+    leaves it out. ``fitted`` holds models by name that are taken as they are. All models are evaluated in one job over the union of their scores.
     """
     estimators = baseline_estimators() if estimators is None else estimators
     train = in_split(features, "train").persist()
     try:
         models = {
-            name: fit_pipeline(estimator, columns, train)
+            name: (fitted or {}).get(name) or fit_pipeline(estimator, columns, train)
             for name, estimator in estimators.items()
         }
         if kernel is not None:
@@ -229,7 +216,8 @@ def train_baselines(
 def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """(feature_ix, feature, importance) of a fitted tree model."""
     names = model.stages[0].getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.stages[-1].featureImportances
+    values = values if isinstance(values, np.ndarray) else values.toArray()
     rows = [(i, name, float(v)) for i, (name, v) in enumerate(zip(names, values))]
     return spark.createDataFrame(rows, "feature_ix int, feature string, importance double")
 
@@ -240,58 +228,7 @@ def top_importances(model: PipelineModel, spark: SparkSession, n: int = 20) -> D
 
 # --- lexical classifier -------------------------------------------------------------
 
-PATIENCE = 2
-# buckets that token n-grams are hashed to
-N_FEATURES = 1 << 16
-
-
-def lexical_tokens(df: DataFrame) -> DataFrame:
-    """All tokens of whole texts."""
-    return df.withColumn("tokens", py_tokens(F.col("code")))
-
 
-def lexical_features(ngram: int = 2, n_features: int = N_FEATURES) -> Pipeline:
-    return Pipeline(
-        stages=[
-            NGram(n=ngram, inputCol="tokens", outputCol="grams"),
-            HashingTF(inputCol="grams", outputCol="tf", numFeatures=n_features),
-            IDF(inputCol="tf", outputCol=VECTOR),
-        ]
-    )
-
-
-def train_lexical(
-    dataset: DataFrame,
-    strengths: Sequence[float] = (0.3, 0.1, 0.03, 0.01),
-    ngram: int = 2,
-    n_features: int = N_FEATURES,
-) -> tuple[PipelineModel, DataFrame]:
-    """The candidate with the best validation F1, and its metrics per held-out split.
-
-    Candidates are tried in order; after two in a row without improvement the rest are
-    skipped. They differ only in the last stage, so texts are tokenized and hashed once.
-    """
-    dataset = dataset.na.drop(subset=["code"]).select("id", "label", "split", "code")
-    tokens = stored(lexical_tokens(dataset).drop("code"), "lexical-tokens")
-    front = lexical_features(ngram, n_features).fit(in_split(tokens, "train"))
-    vectors = front.transform(tokens).select("id", "label", "split", VECTOR)
-    vectors = stored(vectors, "lexical-features")
-    train, val = in_split(vectors, "train"), in_split(vectors, "val")
-    best, best_f1, stale = None, -1.0, 0
-    for reg in strengths:
-        model = LogisticRegression(featuresCol=VECTOR, regParam=reg, maxIter=50).fit(train)
-        f1 = evaluate(with_probability(model.transform(val)), []).first()["f1"]
-        if f1 > best_f1:
-            best, best_f1, stale = model, f1, 0
-        else:
-            stale += 1
-        if stale >= PATIENCE:
-            break
-    held_out = vectors.where(F.col("split").isin("val", "test"))
-    metrics = evaluate(with_probability(best.transform(held_out)), ["split"])
-    return PipelineModel([*front.stages, best]), metrics
-
-
-def score_lexical(model: PipelineModel, df: DataFrame) -> DataFrame:
-    scored = with_probability(model.transform(lexical_tokens(df)))
+def score_lexical(model: LexicalModel, df: DataFrame) -> DataFrame:
+    scored = with_probability(model.transform(df))
     return scored.select("id", PROBABILITY)

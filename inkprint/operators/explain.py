@@ -1,14 +1,15 @@
 """Signed feature contributions of scores: of boosted trees and linear models in log-odds, of forests in probability.
 
-Path-dependent tree attributions (Lundberg et al. 2018), regrouped by leaf: a leaf with m
-distinct features on its path has 2^m ways to agree with a row, so its contributions are
-tabulated once per task and every row is a table lookup, vectorised over Arrow batches.
+Path-dependent tree attributions (Lundberg et al. 2018). The weight of a set of known features is a beta integral, so
+the share of feature j is, over the leaves, value * (o_j - z_j) times the integral over [0, 1] of the other path features'
+z (1 - t) + o t, with o whether the row agrees with a feature's bounds and z the share of training rows that do. The integrand is a
+polynomial: a few Gauss points give it exactly, and one walk through a tree serves all its leaves, at any depth.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -24,45 +25,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.storage import drop_at_end, new_path
+from inkprint.operators.boosting import NewtonTreesModel
+from inkprint.storage import drop_at_end, new_path, stored
 
 # MLlib's probability is the logistic of twice the margin
 _LOG_ODDS_PER_MARGIN = 2.0
-# trees are read and broadcast so many nodes at a time; a node takes some hundred bytes
+# models of up to so many nodes are sent to every task, some 60 bytes each; larger ones are dealt by trees
 MAX_NODES = 500_000
+# rows that meet a share of a large model's trees in one task
+ROWS_PER_PART = 4_096
+# rows that are walked through a tree together
+_ROWS_PER_WALK = 512
 LOG_ODDS, PROBABILITY = "log-odds", "probability"
 
-
-# (value, features, low, high, cover): one leaf and the bounds its path sets per feature;
-# a plain tuple, so that executors unpickle it without this module
-Leaf = tuple[float, tuple[int, ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]]
+# left, right, feature, threshold, missing_left, value, n of one tree's nodes by number; plain arrays, so that executors
+# unpickle them without this module
+Tree = tuple[np.ndarray, ...]
+_TREE = ["left", "right", "feature", "threshold", "missing_left", "value", "n"]
 
 
 def tree_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    """The fitted trees as rows: (tree, node, left, right, feature, threshold, value, share, n).
+    """The fitted trees as rows: (tree, node, left, right, feature, threshold, missing_left, value, n), root 0, leaves with left -1.
 
-    ``value`` is a regression tree's prediction, ``share`` the AI share of a classification tree's training rows.
+    ``value`` is what a leaf adds to the explained sum; ``n`` the training rows (or their curvature) that reached a node.
     """
+    fitted = model.stages[-1]
+    if isinstance(fitted, NewtonTreesModel):
+        return fitted.node_table(spark).select("tree", "node", *_TREE)
     path = new_path(spark, "trees")
-    model.stages[-1].write().save(path)
+    fitted.write().save(path)
     drop_at_end(spark, path)
-    nodes = spark.read.parquet(f"{path}/data")
     stats = F.col("nodeData.impurityStats")
-    return nodes.select(
+    if isinstance(fitted, RandomForestClassificationModel):
+        # votes are averaged
+        share = F.try_divide(F.get(stats, F.lit(1)), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x))
+        value = share / len(fitted.treeWeights)
+    else:
+        weights = F.array(*[F.lit(float(w)) for w in fitted.treeWeights])
+        value = F.col("nodeData.prediction") * F.get(weights, F.col("treeID")) * _LOG_ODDS_PER_MARGIN
+    return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"),
         F.col("nodeData.id").alias("node"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-        F.col("nodeData.prediction").alias("value"),
-        F.try_divide(F.get(stats, F.lit(1)), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("share"),
+        F.lit(False).alias("missing_left"),
+        value.alias("value"),
         F.col("nodeData.rawCount").cast("double").alias("n"),
     )
 
 
 def is_tree_model(model: PipelineModel) -> bool:
-    return isinstance(model.stages[-1], (GBTClassificationModel, RandomForestClassificationModel))
+    return isinstance(model.stages[-1], (NewtonTreesModel, GBTClassificationModel, RandomForestClassificationModel))
 
 
 def unit_of(model: PipelineModel) -> str | None:
@@ -70,141 +85,155 @@ def unit_of(model: PipelineModel) -> str | None:
     last = model.stages[-1]
     if isinstance(last, RandomForestClassificationModel):
         return PROBABILITY
-    explained = isinstance(last, GBTClassificationModel)
     # a calibrated kernel machine ends in a linear model of one margin: no feature has a share in it
     linear = isinstance(last, LogisticRegressionModel) and len(model.stages) == 2
-    return LOG_ODDS if explained or linear else None
-
-
-def leaves_of(model: PipelineModel, spark: SparkSession) -> list[Leaf]:
-    """The leaves of all trees, read a bounded number of nodes at a time."""
-    fitted, table = model.stages[-1], tree_nodes(model, spark)
-    forest = isinstance(fitted, RandomForestClassificationModel)
-    trees = len(fitted.treeWeights)
-    step = max(1, MAX_NODES * trees // max(1, fitted.totalNumNodes))
-    found: list[Leaf] = []
-    for first in range(0, trees, step):
-        rows = table.where((F.col("tree") >= first) & (F.col("tree") < first + step)).collect()
-        # votes are averaged; margins are added by weight
-        scales = {t: 1 / trees if forest else fitted.treeWeights[t] * _LOG_ODDS_PER_MARGIN for t in range(first, min(first + step, trees))}
-        found += _leaves(rows, scales, forest)
-    return found
-
-
-def _leaves(rows: list, scales: dict[int, float], forest: bool) -> list[Leaf]:
-    nodes = {(r.tree, r.node): r for r in rows}
-    found: list[Leaf] = []
-    # a path is {feature: (low, high, share of training rows that follow it)}
-    stack = [(nodes[t, 0], {}) for t in scales]
-    while stack:
-        node, path = stack.pop()
-        if node.left < 0:
-            bounds = list(zip(*path.values())) or [(), (), ()]
-            value = node.share if forest else node.value
-            found.append((value * scales[node.tree], tuple(path), *bounds))
-            continue
-        low, high, cover = path.get(node.feature, (-np.inf, np.inf, 1.0))
-        for child, side in ((node.left, "left"), (node.right, "right")):
-            below = nodes[node.tree, child]
-            step = cover * below.n / node.n
-            bound = (low, node.threshold, step) if side == "left" else (node.threshold, high, step)
-            stack.append((below, {**path, node.feature: bound}))
-    return found
-
-
-def base_value(leaves: list[Leaf]) -> float:
-    """Expected sum over the training rows."""
-    return float(sum(value * np.prod(cover) for value, _, _, _, cover in leaves))
-
-
-def _shares(agrees: np.ndarray, cover: np.ndarray) -> np.ndarray:
-    """Contribution of each path feature per unit of leaf value, for rows of agreement."""
-    rows, m = agrees.shape
-    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    out = np.empty((rows, m))
-    for j in range(m):
-        # polynomial in the number of agreeing features among the others
-        poly = np.zeros((rows, m))
-        poly[:, 0] = 1.0
-        for k in range(m):
-            if k != j:
-                raised = np.zeros_like(poly)
-                raised[:, 1:] = poly[:, :-1] * agrees[:, k : k + 1]
-                poly = poly * cover[k] + raised
-        out[:, j] = (agrees[:, j] - cover[j]) * (poly @ weight)
+    return LOG_ODDS if linear or is_tree_model(model) else None
+
+
+class TreeTable:
+    """A model's trees, read once: node table, its size and the expected sum over the training rows."""
+
+    def __init__(self, model: PipelineModel, spark: SparkSession) -> None:
+        fitted = model.stages[-1]
+        self.nodes = stored(tree_nodes(model, spark), "nodes")
+        # of a leaf, the shares of training rows along its path multiply to its own share
+        leaf = F.when(F.col("left") < 0, F.col("value") * F.col("n"))
+        of_trees = self.nodes.groupBy("tree").agg((F.sum(leaf) / F.max("n")).alias("mean"), F.count("*").alias("n_nodes"))
+        mean, self.n_nodes = of_trees.agg(F.sum("mean"), F.sum("n_nodes")).first()
+        self.base_value = mean + (fitted.getOrDefault(fitted.base) if isinstance(fitted, NewtonTreesModel) else 0.0)
+
+    def packed(self) -> DataFrame:
+        """(tree, nodes): one row per tree."""
+        node = F.struct("node", *_TREE)
+        return self.nodes.groupBy("tree").agg(F.collect_list(node).alias("nodes"))
+
+    def collected(self) -> list[Tree] | None:
+        """All trees, of a model of at most ``MAX_NODES`` nodes."""
+        if self.n_nodes > MAX_NODES:
+            return None
+        table = self.nodes.toPandas().sort_values(["tree", "node"])
+        return [_arrays(nodes) for _, nodes in table.groupby("tree")]
+
+
+def _arrays(nodes: pd.DataFrame) -> Tree:
+    kinds = (np.int64, np.int64, np.int64, float, bool, float, float)
+    return tuple(nodes[c].fillna(0).to_numpy(dtype=k) for c, k in zip(_TREE, kinds, strict=True))
+
+
+def _depth(left: np.ndarray, right: np.ndarray) -> int:
+    level, depth = np.array([0]), 0
+    while True:
+        level = level[left[level] >= 0]
+        if not len(level):
+            return depth
+        level, depth = np.concatenate([left[level], right[level]]), depth + 1
+
+
+def tree_shares(x: np.ndarray, tree: Tree) -> np.ndarray:
+    """Contributions of one tree to rows of features: (rows, features)."""
+    left, right, feature, threshold, missing_left, value, n = tree
+    out = np.zeros((x.shape[1], len(x)))
+    depth = _depth(left, right)
+    if not depth:
+        return out.T
+    # a path of m features needs m / 2 points
+    points, weights = np.polynomial.legendre.leggauss((min(depth, x.shape[1]) + 1) // 2)
+    t, weights = ((points + 1) / 2)[:, None], weights / 2
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * depth + 1_000))
+
+    def walk(node: int, product: np.ndarray, known: dict) -> np.ndarray:
+        """Sum over the leaves below of value times the product of all their path features' terms, at each point."""
+        if left[node] < 0:
+            return value[node] * product
+        f = feature[node]
+        goes_left = x[:, f] <= threshold[node]
+        if missing_left[node]:
+            goes_left |= np.isnan(x[:, f])
+        before = known.get(f)
+        total = 0.0
+        for child, side in ((left[node], goes_left), (right[node], ~goes_left)):
+            agrees, share, above = side.astype(float), n[child] / n[node], product
+            if before is not None:
+                agrees, share, above = agrees * before[0], share * before[1], product / before[2]
+            term = share * (1 - t) + agrees * t
+            below = walk(child, above * term, {**known, f: (agrees, share, term)})
+            out[f] += (agrees - share) * (weights @ (below / term))
+            if before is not None:
+                # these leaves have the feature's narrower bounds: take back what the wider ones will add
+                out[f] -= (before[0] - before[1]) * (weights @ (below / before[2]))
+            total = total + below
+        return total
+
+    walk(0, np.ones((len(t), len(x))), {})
+    return out.T
+
+
+def _shares_of_trees(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    out = np.zeros(x.shape)
+    for begin in range(0, len(x), _ROWS_PER_WALK):
+        for tree in trees:
+            out[begin : begin + _ROWS_PER_WALK] += tree_shares(x[begin : begin + _ROWS_PER_WALK], tree)
     return out
 
 
-_TABLE_BITS = 10
-
-
-class Attributor:
-    """Contributions of a batch of rows; built once per task from the broadcast leaves."""
-
-    def __init__(self, leaves: list[Leaf], n_features: int):
-        self.n_features = n_features
-        self.leaves = []
-        for value, features, low, high, cover in leaves:
-            m = len(features)
-            if m == 0:
-                continue
-            cover = np.array(cover)
-            table = None
-            if m <= _TABLE_BITS:
-                patterns = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
-                table = (_shares(patterns.astype(float), cover) * value).T.copy()
-            self.leaves.append((value, features, low, high, cover, table))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        columns = np.ascontiguousarray(x.T)
-        total = np.zeros((self.n_features, len(x)))
-        for value, features, low, high, cover, table in self.leaves:
-            agrees = [
-                ~(columns[f] <= lo) & ((columns[f] <= hi) | np.isinf(hi))
-                for f, lo, hi in zip(features, low, high)
-            ]
-            if table is not None:
-                code = np.zeros(len(x), dtype=np.intp)
-                for bit, a in enumerate(agrees):
-                    code |= a.astype(np.intp) << bit
-                shares = table[:, code]
-            else:
-                seen, code = np.unique(np.stack(agrees, 1), axis=0, return_inverse=True)
-                shares = (_shares(seen.astype(float), cover) * value).T[:, code.ravel()]
-            for f, share in zip(features, shares):
-                total[f] += share
-        return total.T
-
-
 def with_attributions(
-    df: DataFrame, model: PipelineModel, out: str = "shap", leaves: list[Leaf] | None = None
+    df: DataFrame, model: PipelineModel, out: str = "shap", trees: TreeTable | None = None
 ) -> DataFrame:
     """Append one contribution per feature column, ``base_value`` and ``unit``.
 
     Contributions and base value sum to the row's log-odds for boosted trees and linear models, and to its probability for
-    forests; a model without shares of features has nulls. ``df`` holds the assembled vector; ``leaves`` saves reading
-    a tree model again when it is applied many times.
+    forests; a model without shares of features has nulls. ``df`` holds the assembled vector; ``trees`` saves reading
+    a tree model again when it is applied many times. A model of up to ``MAX_NODES`` nodes goes to every task and no row
+    moves. Of a larger one, groups of trees meet parts of the rows in tasks, and a row's shares are summed.
     """
     unit = F.lit(unit_of(model)).alias("unit")
-    names = model.stages[0].getInputCols()
     vector = vector_to_array(model.stages[0].getOutputCol())
     if unit_of(model) is None:
         nothing = {out: F.lit(None).cast("array<double>"), "base_value": F.lit(None).cast("double")}
         return df.withColumns({**nothing, "unit": unit.cast("string")})
     if not is_tree_model(model):
         return _linear_attributions(df, model, out).withColumn("unit", unit)
-    leaves = leaves_of(model, df.sparkSession) if leaves is None else leaves
-    width = len(names)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        attributor = Attributor(shared.value, width)
-        for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, width))
-            yield pd.Series(list(attributor(x)))
-
-    return df.withColumns({out: attribute(vector), "base_value": F.lit(base_value(leaves)), "unit": unit})
+    trees = trees or TreeTable(model, df.sparkSession)
+    collected = trees.collected()
+    if collected is None:
+        explained = _dealt_attributions(df, vector, trees, out)
+    else:
+        width = len(model.stages[0].getInputCols())
+        shared = df.sparkSession.sparkContext.broadcast(collected)
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, width))
+                yield pd.Series(list(_shares_of_trees(x, shared.value)))
+
+        explained = df.withColumn(out, attribute(vector))
+    return explained.withColumns({"base_value": F.lit(trees.base_value), "unit": unit})
+
+
+def _dealt_attributions(df: DataFrame, vector: Column, trees: TreeTable, out: str) -> DataFrame:
+    """Every part of the rows meets every group of trees in one task; no task holds all of either."""
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "explained")
+    n_parts = rows.count() // ROWS_PER_PART + 1
+    n_groups = trees.n_nodes // MAX_NODES + 1
+    part, group = F.pmod(F.xxhash64("_row"), F.lit(n_parts)), F.pmod(F.xxhash64("tree"), F.lit(n_groups))
+    groups, parts = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_groups, n_parts))
+    some_rows = rows.select("_row", vector.alias("x"), part.cast("int").alias("part"), groups.alias("group"))
+    some_trees = trees.packed().select("tree", "nodes", group.cast("int").alias("group"), parts.alias("part"))
+
+    def meet(x: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({"_row": [], "shares": []})
+        values = np.stack(x["x"].to_numpy())
+        total = np.zeros(values.shape)
+        for nodes in packed.sort_values("tree")["nodes"]:
+            total += _shares_of_trees(values, [_arrays(pd.DataFrame(list(nodes)).sort_values("node"))])
+        return pd.DataFrame({"_row": x["_row"], "shares": list(total)})
+
+    met = some_rows.groupBy("part", "group").cogroup(some_trees.groupBy("part", "group"))
+    shares = met.applyInPandas(meet, "_row long, shares array<double>")
+    summed = shares.groupBy("_row").agg(vector_to_array(Summarizer.sum(array_to_vector("shares"))).alias(out))
+    return rows.join(summed, "_row", "left").drop("_row")
 
 
 def _linear_attributions(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:

@@ -28,11 +28,6 @@ from inkprint.storage import new_path, stored
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# rounds of the boosted fits behind the registered queries; the library's defaults are
-# the full-size models
-_ROUNDS, _DEPTH = 8, 4
-
-
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -71,7 +66,7 @@ def _code_features(spark, sf):
 def _code_model(spark, sf):
     def fit():
         train = C.in_split(_code_features(spark, sf), "train")
-        return D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH), FE.FEATURES, train)
+        return D.fit_pipeline(D.boosted_trees(), FE.FEATURES, train)
 
     return _once(spark, sf, "model", fit)
 
@@ -88,7 +83,7 @@ def _planted_features(spark, sf):
 def _planted_model(spark, sf):
     def fit():
         train = C.in_split(_planted_features(spark, sf), "train")
-        return D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH), FE.FEATURES, train)
+        return D.fit_pipeline(D.boosted_trees(), FE.FEATURES, train)
 
     return _once(spark, sf, "planted-model", fit)
 
@@ -625,8 +620,8 @@ def attack_registry(spark, sf):
 @query
 def train_baselines(spark, sf):
     features = _planted_features(spark, sf)
-    estimators = {"boosted_trees": D.boosted_trees(_ROUNDS, _DEPTH), "random_forest": D.forest()}
-    _, metrics = D.train_baselines(features, FE.FEATURES, estimators, kernel={})
+    fitted = {"boosted_trees": _planted_model(spark, sf)}
+    _, metrics = D.train_baselines(features, FE.FEATURES, kernel={}, fitted=fitted)
     return rounded(metrics.withColumn("confusion_matrix", _matrix_text()))
 
 
@@ -674,8 +669,7 @@ def robustness_eval(spark, sf):
 @query
 def cross_model_matrix(spark, sf):
     features = _planted_features(spark, sf)
-    estimator = D.boosted_trees(_ROUNDS, _DEPTH, rate=0.3, rows=1.0, columns=1.0)
-    return rounded(TR.transfer_auc(features, FE.FEATURES, estimator))
+    return rounded(TR.transfer_auc(features, FE.FEATURES))
 
 
 @query

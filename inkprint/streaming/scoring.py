@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from inkprint.operators.explain import is_tree_model, leaves_of
+from inkprint.operators.explain import TreeTable, is_tree_model
 from inkprint.operators.score import score_snippets
 
 
@@ -18,10 +18,10 @@ def score_stream(
     A batch is written under its own number, so a batch replayed after a failure replaces
     itself instead of appearing twice.
     """
-    leaves = leaves_of(model, snippets.sparkSession) if is_tree_model(model) else None
+    trees = TreeTable(model, snippets.sparkSession) if is_tree_model(model) else None
 
     def write(batch: DataFrame, number: int) -> None:
-        scored = score_snippets(batch, model, top_k, leaves)
+        scored = score_snippets(batch, model, top_k, trees)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (

@@ -95,6 +95,22 @@ def test_kernel_width(spark):
 # --- attributions -------------------------------------------------------------------
 
 
+def leaves_of(model, spark):
+    """(value, features, low, high, cover) of every leaf: the bounds its path sets, and the share of rows within them."""
+    nodes = {(r.tree, r.node): r for r in X.tree_nodes(model, spark).collect()}
+    found, stack = [], [(nodes[key], {}) for key in nodes if key[1] == 0]
+    while stack:
+        node, path = stack.pop()
+        if node.left < 0:
+            found.append((node.value, tuple(path), *(zip(*path.values(), strict=True) if path else [(), (), ()])))
+            continue
+        low, high, cover = path.get(node.feature, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((node.left, (low, node.threshold)), (node.right, (node.threshold, high))):
+            below = nodes[node.tree, child]
+            stack.append((below, {**path, node.feature: (*bounds, cover * below.n / node.n)}))
+    return found
+
+
 def conditional_value(leaves, row, known):
     """Expected log-odds when only the known features are looked at."""
     total = 0.0
@@ -121,7 +137,7 @@ def brute_shapley(leaves, row, n):
 def test_attributions_equal_brute_force_and_add_up(rings, trees):
     scored = X.with_attributions(D.with_probability(trees.transform(C.in_split(rings, "test"))), trees)
     rows = scored.select("score", "shap", "base_value", *COLUMNS).collect()
-    leaves = X.leaves_of(trees, rings.sparkSession)
+    leaves = leaves_of(trees, rings.sparkSession)
     for r in rows[:10]:
         expected = brute_shapley(leaves, [r[c] for c in COLUMNS], 4)
         assert r.shap == pytest.approx(expected, abs=1e-9)
@@ -132,11 +148,13 @@ def test_attributions_equal_brute_force_and_add_up(rings, trees):
 
 @pytest.mark.parametrize("nodes", [50, 500_000])
 def test_forest_attributions_add_up_to_the_probability(rings, monkeypatch, nodes):
+    # beyond the bound, groups of trees meet parts of the rows
     monkeypatch.setattr(X, "MAX_NODES", nodes)
+    monkeypatch.setattr(X, "ROWS_PER_PART", 300)
     model = D.fit_pipeline(D.forest(8, 5), COLUMNS, C.in_split(rings, "train"))
     scored = X.with_attributions(D.with_probability(model.transform(rings)), model)
     rows = scored.select("score", "shap", "base_value", "unit", *COLUMNS).collect()
-    leaves = X.leaves_of(model, rings.sparkSession)
+    leaves = leaves_of(model, rings.sparkSession)
     assert {r.unit for r in rows} == {X.PROBABILITY}
     assert [sum(r.shap) + r.base_value for r in rows] == pytest.approx([r.score for r in rows], abs=1e-9)
     for r in rows[:5]:
@@ -156,12 +174,55 @@ def test_a_kernel_machine_gives_no_reasons(rings):
     assert row.shap is None and row.unit is None and 0 <= row.score <= 1
 
 
-def test_long_paths_take_the_pattern_route(rings, trees, monkeypatch):
-    x = np.array([[r[c] for c in COLUMNS] for r in rings.limit(50).collect()])
-    leaves = X.leaves_of(trees, rings.sparkSession)
-    tabled = X.Attributor(leaves, 4)(x)
-    monkeypatch.setattr(X, "_TABLE_BITS", 0)
-    assert np.allclose(X.Attributor(leaves, 4)(x), tabled)
+def chain(depth, rng):
+    """A tree that splits off one leaf at each of ``depth`` levels, features taken in turn."""
+    left, right, feature, threshold, value, n = [], [], [], [], [], []
+    rest = 2.0 * depth + 1
+    for d in range(depth):
+        left += [2 * d + 1, -1]
+        right += [2 * d + 2, -1]
+        feature += [d % 7, 0]
+        threshold += [float(rng.normal()), 0.0]
+        value += [0.0, float(rng.normal())]
+        n += [rest, 2.0]
+        rest -= 2
+    parts = [*zip(left, right, feature, threshold, value, n, strict=True), (-1, -1, 0, 0.0, 1.5, rest)]
+    left, right, feature, threshold, value, n = map(np.array, zip(*parts, strict=True))
+    return left, right, feature, threshold, np.arange(len(left)) % 3 == 0, value, n
+
+
+@pytest.mark.parametrize("depth", [1, 2, 9, 60, 1500])
+def test_deep_trees_are_walked_exactly(depth):
+    rng = np.random.default_rng(depth)
+    tree = chain(depth, rng)
+    left, right, feature, threshold, missing_left, value, n = tree
+    x = rng.normal(size=(6, 8))
+    x[5, 2] = np.nan
+    shares = X.tree_shares(x, tree)
+    assert not shares[:, 7].any()
+
+    def goes_left(row, node):
+        v = row[feature[node]]
+        return bool(missing_left[node]) if np.isnan(v) else v <= threshold[node]
+
+    def expected(row, known):
+        total, weight, node = 0.0, 1.0, 0
+        while left[node] >= 0:  # each left child is a leaf
+            portion = float(goes_left(row, node)) if feature[node] in known else n[left[node]] / n[node]
+            total += weight * portion * value[left[node]]
+            weight, node = weight * (1 - portion), right[node]
+        return total + weight * value[node]
+
+    for row, share in zip(x, shares, strict=True):
+        assert share.sum() == pytest.approx(expected(row, range(8)) - expected(row, ()), abs=1e-9)
+        for j in range(7 if depth < 1000 else 1):
+            others = [f for f in range(7) if f != j]
+            brute = sum(
+                factorial(size) * factorial(6 - size) / factorial(7) * (expected(row, {*known, j}) - expected(row, {*known}))
+                for size in range(7)
+                for known in combinations(others, size)
+            )
+            assert share[j] == pytest.approx(brute, abs=1e-9)
 
 
 def test_global_importance_ranks_the_signal(rings, trees):
@@ -307,7 +368,7 @@ def test_streamed_scores_equal_batch_scores(spark, sf, code_model, tmp_path):
 def test_lexical_classifier_learns_tokens(spark):
     rows = [(str(i), i % 2, f"def f{i}(x):\n    return x {'+' if i % 2 else '-'} {i}\n") for i in range(300)]
     df = stratified_split(spark.createDataFrame(rows, "id string, label int, code string"))
-    model, metrics = D.train_lexical(df, (0.1, 0.01, 0.001), ngram=1)
+    model, metrics = D.train_lexical(df, ngram=1)
     assert {r.split for r in metrics.collect()} == {"val", "test"}
     assert all(r.roc_auc > 0.95 for r in metrics.collect())
     assert D.score_lexical(model, df).count() == 300
