@@ -180,20 +180,22 @@ class _Splits:
     starts: np.ndarray
     l2: float
     least_cover: float
+    scale: float
 
     def best(self, table: np.ndarray, allowed: np.ndarray) -> tuple[float, int, int, bool, np.ndarray] | None:
         """(gain, column, bin, missing go left, sums of the left side) of the first best cut; None without a gain."""
-        total = table[self.starts[0] : self.starts[1]].sum(axis=0)
+        total = table[self.starts[0] : self.starts[1]].sum(axis=0) / self.scale
         column = np.repeat(np.arange(len(allowed)), np.diff(self.starts))
+        # whole numbers: columns that cut alike gain alike; what overflows on the way is subtracted again
         running = np.cumsum(table, axis=0)
-        begun = np.r_[np.zeros((1, 2)), running][self.starts[:-1]][column]
+        begun = np.r_[np.zeros((1, 2), dtype=np.int64), running][self.starts[:-1]][column]
         missing = table[self.starts[1:] - 1][column]
         # cuts end at any bin but the last and the one for missing values
         cuts = np.arange(len(table)) < (self.starts[1:] - 2)[column]
         cuts &= allowed[column]
         best = None
         for goes_left in (False, True):
-            left = running - begun + (missing if goes_left else 0)
+            left = (running - begun + (missing if goes_left else 0)) / self.scale
             right = total - left
             fine = cuts & (left[:, 1] >= self.least_cover) & (right[:, 1] >= self.least_cover)
             gain = np.where(fine, self._score(left) + self._score(right) - self._score(total), -np.inf)
@@ -225,7 +227,7 @@ class _Grower:
         allowed = np.zeros(width, dtype=bool)
         draws = np.argsort(_drawn(np.arange(width), self.seed + 1, turn), kind="stable")
         allowed[draws[: max(1, round(width * self.columns))]] = True
-        splits = _Splits(starts, self.l2, self.least_cover)
+        splits = _Splits(starts, self.l2, self.least_cover, scale)
         tree = Tree()
 
         def tables_of(nodes: list[int]) -> np.ndarray:
@@ -244,7 +246,7 @@ class _Grower:
         for depth in range(self.depth):
             pairs = []
             for node, table in tables.items():
-                found = splits.best(table / scale, allowed)
+                found = splits.best(table, allowed)
                 if found is None:
                     continue
                 tree.gain[node], tree.feature[node], tree.bin[node], tree.missing_left[node], left = found

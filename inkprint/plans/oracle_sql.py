@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from collections import Counter
 
 from inkprint.operators.features import FEATURES
@@ -155,7 +157,7 @@ def without_rank(view: str) -> str:
 
 _TOKENS = f"list_filter(regexp_split_to_array(code, '[{WS}]+'), lambda x: x <> '')"
 _STAGED = rf"""
-SELECT id, code, str_split(code, chr(10)) AS ls, {_TOKENS} AS toks,
+SELECT *, str_split(code, chr(10)) AS ls, {_TOKENS} AS toks,
        list_filter(regexp_split_to_array(code, '[^\p{{L}}\p{{N}}_]+'),
                    lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*')) AS ids,
        list_filter(str_split(code, chr(10)), lambda l: starts_with({strip('l')}, '#')) AS cs
@@ -280,6 +282,39 @@ SELECT id, node_type, n::BIGINT AS n, {r('fraction')} AS fraction
 FROM ({CORPUS}) JOIN (VALUES {_node_rows()}) AS t(k, node_type, n, fraction) USING (k)"""
 
 
+# --- feature matrix -----------------------------------------------------------------
+
+
+def _token_lists() -> list[str]:
+    """Per program its tokens as a SQL list, the last comment with the row's id; a program that has none splits at blanks."""
+    lists = []
+    for program in PROGRAMS:
+        try:
+            found = [t.string for t in tokenize.generate_tokens(io.StringIO(program + "\n# id 0").readline)]
+        except (tokenize.TokenError, IndentationError):
+            lists.append(_TOKENS)
+            continue
+        tokens = [text_lit(t) + (" || id" if t == "# id " else "") for t in (x.removesuffix("0") if x == "# id 0" else x for x in found) if t.strip()]
+        lists.append(f"[{', '.join(tokens)}]")
+    return lists
+
+
+def feature_columns(view: str, keep: str) -> str:
+    """``keep`` and all features of programs, by the tokenizer where it accepts them."""
+    by_name: dict[str, list[str]] = {}
+    for k, program in enumerate(PROGRAMS):
+        try:
+            kinds = Counter(type(n).__name__ for n in ast.walk(ast.parse(program)))
+        except SyntaxError:
+            kinds = Counter()
+        for kind, n in kinds.items():
+            by_name.setdefault(f"ast_frac_{kind}", ["0"] * len(PROGRAMS))[k] = f"{n / kinds.total()!r}"
+    exact = {**STYLE, **{n: case_k(v) for n, v in GOLDEN_AST.items()}, **{n: case_k(v) for n, v in by_name.items()}}
+    columns = ", ".join(f"{r(exact.get(n, '0'))} AS {n}" for n in FEATURES)
+    staged = _STAGED.replace(_TOKENS, case_k(_token_lists())).replace("{view}", view)
+    return f"SELECT {keep}, {columns} FROM ({staged})"
+
+
 # --- attacks ------------------------------------------------------------------------
 
 
@@ -569,11 +604,26 @@ FROM ({without_rank(f'SELECT id, label FROM ({CORPUS})')}) WHERE split = 'test'"
     sql["score_snippets"] = f"""
 SELECT id, label AS prediction, CASE WHEN label = 1 THEN 'Likely AI-generated' ELSE 'Likely human-written' END AS verdict,
        true AS confidence_fits, 6::INTEGER AS n_reasons, 'log-odds' AS unit FROM ({planted}) WHERE {strip('code')} <> ''"""
-    named = ["n_tokens", *[x for x in FEATURES if x != "n_tokens"]][:20]
-    ranked = ", ".join(f"({FEATURES.index(x)}, {lit(x)}, {float(x == 'n_tokens')})" for x in named)
+    sql["feature_matrix"] = feature_columns(without_rank(CORPUS), "id, label, split, source_model, language")
+    # the first column whose values of one label all lie below those of the other
+    matrix_of = feature_columns(f"SELECT * FROM ({without_rank(planted)}) WHERE split = 'train'", "label")
+    apart = "max({0}) FILTER (label = {1}) < min({0}) FILTER (label = {2})"
+    columns = [
+        f"{{feature_ix: {i}::INTEGER, feature: {lit(n)}, splits: {apart.format(n, 0, 1)} OR {apart.format(n, 1, 0)}}}" for i, n in enumerate(FEATURES)
+    ]
     sql["top_importances"] = f"""
-SELECT feature_ix::INTEGER AS feature_ix, feature, importance::DOUBLE AS importance
-FROM (VALUES {ranked}) AS t(feature_ix, feature, importance)"""
+SELECT feature_ix, feature, (feature_ix = min(feature_ix) FILTER (splits) OVER ())::INTEGER::DOUBLE AS importance
+FROM (SELECT unnest([{', '.join(columns)}], recursive := true) FROM ({matrix_of}))
+ORDER BY importance DESC, feature_ix LIMIT 20"""
+    # one cut, halfway between the labels, of the first such style column; names are shorter where it says human
+    attacked = style(attack_rows(f"SELECT * FROM ({without_rank(CORPUS)}) WHERE split = 'test'"), ("name_avg_len",), "id, label, attack, ")
+    cut = style(f"SELECT * FROM ({without_rank(planted)}) WHERE split = 'train'", ("name_avg_len",), "label, ")
+    judged = f"""
+SELECT attack, label, (name_avg_len > (SELECT (max(name_avg_len) FILTER (label = 0) + min(name_avg_len) FILTER (label = 1)) / 2 FROM ({cut})))::INTEGER
+  AS score FROM ({attacked})"""
+    sql["robustness_eval"] = f"""
+SELECT attack, {r('avg((score = label)::INTEGER)')} AS accuracy, any_value(roc_auc) AS roc_auc
+FROM ({judged}) JOIN ({auc(judged, 'attack')}) USING (attack) GROUP BY attack"""
     sql["prepare_dataset"] = f"SELECT id, label, source_model, split, code FROM ({PREPARED})"
     sql["generate_requests"] = f"SELECT id, problem_id, language, source_model, prompt FROM ({REQUESTS})"
     return sql
@@ -583,6 +633,6 @@ def flagship() -> str:
     """Average style features per split and label of the prepared dataset."""
     averages = ", ".join(f"{r(f'avg({n})')} AS {n}" for n in STYLE)
     raw = ", ".join(f"({x})::DOUBLE AS {n}" for n, x in STYLE.items())
-    staged = _STAGED.replace("{view}", PREPARED).replace("SELECT id, code,", "SELECT id, code, split, label,", 1)
+    staged = _STAGED.replace("{view}", PREPARED)
     return f"""
 SELECT split, label, count(*) AS n, {averages} FROM (SELECT split, label, {raw} FROM ({staged})) GROUP BY split, label"""

@@ -503,11 +503,9 @@ def seeded_sample(spark, sf):
 
 @query
 def top_importances(spark, sf):
-    # one column decides the label and the others say nothing
-    features = _planted_features(spark, sf)
-    decided = [F.col("label").cast("double").alias(c) if c == "n_tokens" else F.lit(0.0).alias(c) for c in FE.FEATURES]
-    train = C.in_split(features, "train").select("id", "label", *decided)
-    model = D.fit_pipeline(D.boosted_trees(_ROUNDS, _DEPTH, rows=1.0, columns=1.0), FE.FEATURES, train)
+    # all rows and columns for each tree: the first column that tells the labels apart takes every split
+    train = C.in_split(_planted_features(spark, sf), "train")
+    model = D.fit_pipeline(D.boosted_trees(rows=1.0, columns=1.0), FE.FEATURES, train)
     return rounded(D.top_importances(model, spark))
 
 
@@ -662,8 +660,10 @@ def zero_shot_eval(spark, sf):
 
 @query
 def robustness_eval(spark, sf):
-    result = RB.robustness(_code_model(spark, sf), V.code_dataset(spark, sf))
-    return rounded(result)
+    # fitted on style alone under the labels that programs decide; tested under labels some of which are turned around
+    train = C.in_split(_planted_features(spark, sf), "train")
+    model = D.fit_pipeline(D.boosted_trees(rows=1.0, columns=1.0), text.STYLE_FEATURES, train)
+    return rounded(RB.robustness(model, V.code_dataset(spark, sf)))
 
 
 @query
