@@ -4,36 +4,24 @@ classifier on token n-grams. All fits are jobs over the training partitions."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkprint.operators.boosting import NewtonTrees
 from inkprint.operators.corpus import in_split
 from inkprint.operators.epochs import LexicalModel, train_lexical  # noqa: F401
+from inkprint.operators.kernel import fit_kernel_machine, kernel_width  # noqa: F401
 from inkprint.operators.metrics import evaluate
 
 VECTOR = "features"
 PROBABILITY = "score"
-# rows of random features that one task of a kernel fit holds, about
-_ROWS_PER_TASK = 4096
 
 
 def assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -63,109 +51,6 @@ def forest(trees: int = 300, depth: int = 30, seed: int = 42) -> RandomForestCla
     )
 
 
-class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Seeded random features whose inner products approximate an RBF kernel.
-
-    The projection is regenerated from its seed in each task, so only four numbers are
-    stored and nothing is broadcast.
-    """
-
-    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
-    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    width = Param(Params._dummy(), "width", "input length", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=VECTOR, outputCol="kernel", size=500, gamma=1.0, width=1, seed=42):
-        super().__init__()
-        self._setDefault(inputCol=VECTOR, outputCol="kernel", size=500, gamma=1.0, width=1, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        size, gamma, width, seed = (
-            self.getOrDefault(p) for p in (self.size, self.gamma, self.width, self.seed)
-        )
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(vectors: pd.Series) -> pd.Series:
-            rng = np.random.default_rng(seed)
-            weights = rng.normal(scale=np.sqrt(2 * gamma), size=(width, size))
-            shift = rng.uniform(0, 2 * np.pi, size)
-            x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, width))
-            return pd.Series(list(np.sqrt(2 / size) * np.cos(x @ weights + shift)))
-
-        source = vector_to_array(self.getOrDefault(self.inputCol))
-        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(project(source)))
-
-
-def kernel_width(df: DataFrame, columns: Sequence[str]) -> float:
-    """1 / (d * variance over all entries of the feature matrix)."""
-    row = (
-        assembler(columns)
-        .transform(df)
-        .select(Summarizer.metrics("mean", "normL2", "count").summary(F.col(VECTOR)).alias("s"))
-        .select("s.*")
-        .first()
-    )
-    mean_square = np.mean(np.square(row.normL2.toArray())) / row["count"]
-    variance = mean_square - np.mean(row.mean.toArray()) ** 2
-    return float(1 / (len(columns) * variance)) if variance > 0 else 1.0
-
-
-def fit_kernel_machine(
-    train: DataFrame,
-    columns: Sequence[str],
-    c: float = 2.0,
-    size: int = 500,
-    folds: int = 5,
-    max_iter: int = 100,
-    seed: int = 42,
-) -> PipelineModel:
-    """RBF machine: Fourier features, a linear margin, and a logistic calibration fitted on
-    out-of-fold margins."""
-    features = RandomFourierFeatures(
-        inputCol=VECTOR,
-        outputCol="kernel",
-        size=size,
-        gamma=kernel_width(train, columns),
-        width=len(columns),
-        seed=seed,
-    )
-    front = PipelineModel([assembler(columns), features])
-    n = train.count()
-    # each step of a fit is a job over these partitions: few rows in many tasks would cost more than the work
-    dealt = train.coalesce(n // _ROWS_PER_TASK + 1)
-    rows = front.transform(dealt).select("id", "label", "kernel").persist()
-    try:
-
-        def fit(part: DataFrame):
-            return LinearSVC(
-                featuresCol="kernel",
-                rawPredictionCol="margin",
-                predictionCol="svm_prediction",
-                standardization=False,
-                regParam=1 / (c * n),
-                maxIter=max_iter,
-            ).fit(part)
-
-        fold = F.pmod(F.xxhash64("id"), F.lit(folds))
-        parts = [*(rows.where(fold != k) for k in range(folds)), rows]
-        # fits of many short jobs that do not depend on each other: side by side they share the cores
-        with ThreadPoolExecutor(len(parts)) as pool:
-            running = [pool.submit(inheritable_thread_target(partial(fit, part))) for part in parts]
-            *of_folds, whole = [future.result() for future in running]
-        held_out = [model.transform(rows.where(fold == k)) for k, model in enumerate(of_folds)]
-        margins = reduce(DataFrame.unionByName, held_out).select("label", "margin")
-        calibration = LogisticRegression(
-            featuresCol="margin", probabilityCol="probability", rawPredictionCol="raw_calibrated"
-        ).fit(margins)
-        return PipelineModel([*front.stages, whole, calibration])
-    finally:
-        rows.unpersist()
-
-
 def with_probability(scored: DataFrame, out: str = PROBABILITY) -> DataFrame:
     """Probability of the AI class as a plain column."""
     return scored.withColumn(out, vector_to_array("probability")[1])

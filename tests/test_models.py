@@ -50,7 +50,7 @@ def test_baselines_find_the_rings(rings):
         rings,
         COLUMNS,
         {"boosted_trees": D.boosted_trees(8, 4, rate=0.3), "random_forest": D.forest(10, 8)},
-        {"folds": 2, "size": 200, "max_iter": 50},
+        {"folds": 2},
     )
     rows = {(r.model, r.split): r for r in metrics.collect()}
     assert set(rows) == {(m, s) for m in models for s in ("val", "test")}
@@ -63,7 +63,7 @@ def test_baselines_find_the_rings(rings):
 
 
 def test_models_survive_storage(rings, trees, tmp_path):
-    kernel = D.fit_kernel_machine(C.in_split(rings, "train"), COLUMNS, size=50, folds=2, max_iter=10)
+    kernel = D.fit_kernel_machine(C.in_split(rings, "train"), COLUMNS, folds=2)
     for model in (trees, kernel):
         files.save_model(model, str(tmp_path / "m"))
         again = files.load_model(str(tmp_path / "m"))
@@ -74,24 +74,6 @@ def test_models_survive_storage(rings, trees, tmp_path):
         assert before == pytest.approx(after)
 
 
-def test_fourier_features_approximate_the_kernel(spark):
-    x = np.random.default_rng(0).normal(size=(30, 3))
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
-    vectors = D.assembler(["a", "b", "c"]).transform(df)
-    mapped = D.RandomFourierFeatures(size=4000, gamma=0.3, width=3).transform(vectors)
-    rows = mapped.select("a", "b", "c", "kernel").collect()
-    z = np.array([r.kernel.toArray() for r in rows])
-    p = np.array([(r.a, r.b, r.c) for r in rows])
-    exact = np.exp(-0.3 * ((p[:, None] - p[None]) ** 2).sum(-1))
-    assert np.abs(z @ z.T - exact).max() < 0.12
-
-
-def test_kernel_width(spark):
-    x = np.random.default_rng(0).normal(3, 2, size=(200, 2))
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
-    assert D.kernel_width(df, ["a", "b"]) == pytest.approx(1 / (2 * x.var()))
-
-
 # --- attributions -------------------------------------------------------------------
 
 
@@ -169,7 +151,7 @@ def test_linear_attributions_add_up_to_the_log_odds(rings):
 
 
 def test_a_kernel_machine_gives_no_reasons(rings):
-    model = D.fit_kernel_machine(C.in_split(rings, "train"), COLUMNS, size=50, folds=2, max_iter=5)
+    model = D.fit_kernel_machine(C.in_split(rings, "train"), COLUMNS, folds=2)
     row = X.with_attributions(D.with_probability(model.transform(rings)), model).first()
     assert row.shap is None and row.unit is None and 0 <= row.score <= 1
 
@@ -331,7 +313,7 @@ def test_custom_attack_and_extractor(spark, programs):
 def test_every_baseline_scores_snippets(spark, sf):
     features = Q._code_features(spark, sf)
     estimators = {"boosted_trees": D.boosted_trees(3, 3), "random_forest": D.forest(4, 4)}
-    models, _ = D.train_baselines(features, FE.FEATURES, estimators, {"folds": 2, "size": 20, "max_iter": 3})
+    models, _ = D.train_baselines(features, FE.FEATURES, estimators, {"folds": 2})
     snippets = V.code_corpus(spark, sf).select("id", "code").limit(20)
     for name, unit in (("boosted_trees", X.LOG_ODDS), ("random_forest", X.PROBABILITY), ("kernel_machine", None)):
         rows = S.score_snippets(snippets, models[name]).collect()
