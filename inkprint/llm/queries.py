@@ -58,7 +58,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # what is left need not be whole characters
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans", text)
 
 
 LANGUAGES = ("de", "en", "es", "fr")
