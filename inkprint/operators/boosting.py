@@ -32,24 +32,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.storage import shared_dir, stored
+from inkprint.storage import stored
 
 # rows of a block, and of a task, about; a fit of no more rows runs in one task
-_ROWS_PER_BLOCK = 16_384
+ROWS_PER_BLOCK = 16_384
 # margins are brought up to date after so many trees; until then jobs add the newer trees' themselves
 _TREES_PER_STATE = 25
 _MAX_BINS = 255  # the 256th is for missing values
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, missing_left boolean, value double, n double, gain double"
 
 
-def _param(name: str, doc: str, kind=TypeConverters.toFloat) -> Param:
+def param(name: str, doc: str, kind=TypeConverters.toFloat) -> Param:
     return Param(Params._dummy(), name, doc, kind)
 
 
-class _Columns(Params):
-    featuresCol = _param("featuresCol", "vector column", TypeConverters.toString)
-    probabilityCol = _param("probabilityCol", "vector of both classes' probabilities", TypeConverters.toString)
-    predictionCol = _param("predictionCol", "1 where the second class is likelier", TypeConverters.toString)
+class ModelColumns(Params):
+    featuresCol = param("featuresCol", "vector column", TypeConverters.toString)
+    probabilityCol = param("probabilityCol", "vector of both classes' probabilities", TypeConverters.toString)
+    predictionCol = param("predictionCol", "1 where the second class is likelier", TypeConverters.toString)
 
     def __init__(self) -> None:
         super().__init__()
@@ -106,11 +106,11 @@ def _advanced(block: Block, trees: list[Tree], missing: np.ndarray) -> Block:
     return bins, labels, keys, margins
 
 
-def _blocks(rows: Iterator, base: float) -> Iterator[Block]:
+def blocks_of(rows: Iterator, base: float) -> Iterator[Block]:
     held = []
     for row in rows:
         held.append(row)
-        if len(held) == _ROWS_PER_BLOCK:
+        if len(held) == ROWS_PER_BLOCK:
             yield _block(held, base)
             held = []
     if held:
@@ -123,7 +123,7 @@ def _block(rows: list, base: float) -> Block:
     return bins, labels, keys, np.full(len(rows), base)
 
 
-def _drawn(keys: np.ndarray, seed: int, turn: int) -> np.ndarray:
+def drawn(keys: np.ndarray, seed: int, turn: int) -> np.ndarray:
     """A number in [0, 1) for each key, the same for a seed and a turn."""
     salt = (seed * 0x9E3779B97F4A7C15 + turn * 0xBF58476D1CE4E5B9) % 2**64
     x = keys.astype(np.uint64) ^ np.uint64(salt)
@@ -153,7 +153,7 @@ class _Level:
         slot_of = np.full(len(self.tree.left), -1)
         slot_of[self.nodes] = np.arange(len(self.nodes))
         slot = slot_of[self.tree.node_of(bins, missing)]
-        used = np.flatnonzero((slot >= 0) & (_drawn(keys, self.seed, self.turn) < self.rows))
+        used = np.flatnonzero((slot >= 0) & (drawn(keys, self.seed, self.turn) < self.rows))
         p = 1 / (1 + np.exp(-margins[used]))
         weights = [np.rint(x * self.scale) for x in (p - labels[used], p * (1 - p))]
         for f, (start, end) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
@@ -225,7 +225,7 @@ class _Grower:
     def grow(self, turn: int, newer: list[Tree], merge: Callable[[_Level], np.ndarray]) -> Tree:
         starts, scale, width = self.starts, self.scale, len(self.starts) - 1
         allowed = np.zeros(width, dtype=bool)
-        draws = np.argsort(_drawn(np.arange(width), self.seed + 1, turn), kind="stable")
+        draws = np.argsort(drawn(np.arange(width), self.seed + 1, turn), kind="stable")
         allowed[draws[: max(1, round(width * self.columns))]] = True
         splits = _Splits(starts, self.l2, self.least_cover, scale)
         tree = Tree()
@@ -273,7 +273,7 @@ class _Grower:
         yield [tuple(t.columns()) for t in trees]
 
 
-class NewtonTrees(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+class NewtonTrees(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsWritable):
     """Gradient boosting on logistic loss with second-order gains and leaves.
 
     A leaf is -G / (H + l2) times ``rate``, a split's gain what it adds to the sum of G^2 / (H + l2); a side needs a curvature of
@@ -281,16 +281,16 @@ class NewtonTrees(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
     side where they gain more. Labels are 0 and 1; rows with a null label or vector are left out. Rows of equal features and id are drawn together.
     """
 
-    labelCol = _param("labelCol", "0 or 1", TypeConverters.toString)
-    rounds = _param("rounds", "number of trees", TypeConverters.toInt)
-    depth = _param("depth", "levels of splits", TypeConverters.toInt)
-    rate = _param("rate", "shrinkage of leaves")
-    rows = _param("rows", "share of rows per tree")
-    columns = _param("columns", "share of columns per tree")
-    l2 = _param("l2", "added to a leaf's curvature")
-    leastCover = _param("leastCover", "least curvature of a side")
-    maxBins = _param("maxBins", "bins per column, at most 255", TypeConverters.toInt)
-    seed = _param("seed", "random seed", TypeConverters.toInt)
+    labelCol = param("labelCol", "0 or 1", TypeConverters.toString)
+    rounds = param("rounds", "number of trees", TypeConverters.toInt)
+    depth = param("depth", "levels of splits", TypeConverters.toInt)
+    rate = param("rate", "shrinkage of leaves")
+    rows = param("rows", "share of rows per tree")
+    columns = param("columns", "share of columns per tree")
+    l2 = param("l2", "added to a leaf's curvature")
+    leastCover = param("leastCover", "least curvature of a side")
+    maxBins = param("maxBins", "bins per column, at most 255", TypeConverters.toInt)
+    seed = param("seed", "random seed", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
@@ -304,15 +304,18 @@ class NewtonTrees(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> NewtonTreesModel:
-        rows, edges, base, n = self._binned(df)
+        label, vector = self.getOrDefault(self.labelCol), self.getOrDefault(self.featuresCol)
+        rows, edges, positive, n = binned_rows(df, label, vector, self.getOrDefault(self.maxBins))
+        share = float(np.clip((positive + 0.5) / (n + 1), 1e-9, 1 - 1e-9))
+        base = float(np.log(share / (1 - share)))
         starts = np.cumsum([0, *(len(e) + 2 for e in edges)])
         # sums of ``n`` numbers up to ``scale`` fit 63 bits, those of a block 53
         scale = float(2 ** min(62 - int(n).bit_length(), 38))
         names = (self.depth, self.rate, self.rows, self.columns, self.l2, self.leastCover, self.seed)
         grower = _Grower(starts, *(self.getOrDefault(p) for p in names), scale)
         rounds = self.getOrDefault(self.rounds)
-        blocks = rows.coalesce(-(-n // _ROWS_PER_BLOCK)).rdd.map(tuple).mapPartitions(partial(_blocks, base=base))
-        if n <= _ROWS_PER_BLOCK:
+        blocks = rows.coalesce(-(-n // ROWS_PER_BLOCK)).rdd.map(tuple).mapPartitions(partial(blocks_of, base=base))
+        if n <= ROWS_PER_BLOCK:
             # nothing to merge: the same steps in the one task that has the rows, without a job for each
             grown = blocks.mapPartitions(partial(grower.grow_all, rounds=rounds)).collect()[0]
             return self._copyValues(NewtonTreesModel(_node_rows([Tree(*t) for t in grown], edges), base, len(edges)))
@@ -335,37 +338,39 @@ class NewtonTrees(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
         model = NewtonTreesModel(_node_rows(trees, edges), base, len(edges))
         return self._copyValues(model)
 
-    def _binned(self, df: DataFrame) -> tuple[DataFrame, list[np.ndarray], float, int]:
-        """(label, key, bins) stored, each column's cuts, the prior's log-odds and the number of rows."""
-        shared_dir(df.sparkSession)
-        label, vector = self.getOrDefault(self.labelCol), self.getOrDefault(self.featuresCol)
-        named = [F.col("id")] if "id" in df.columns else []
-        rows = df.select(
-            F.col(label).cast("double").alias("label"), vector_to_array(vector).alias("x"), *[c.alias("_id") for c in named]
-        ).where("label IS NOT NULL AND x IS NOT NULL")
-        key = F.xxhash64("x", *["_id"] * len(named)).alias("key")
-        rows = stored(rows.select("label", key, "x"), "boosting-input")
-        n, positive, width = rows.agg(F.count("*"), F.sum("label"), F.max(F.size("x"))).first()
-        if not n:
-            raise ValueError("no labelled rows to fit")
-        bins = min(self.getOrDefault(self.maxBins), _MAX_BINS)
-        shares = ", ".join(f"{i / (bins - 1)!r}D" for i in range(bins))
-        found = rows.agg(*[F.expr(f"percentile_approx(if(isnan(x[{i}]), null, x[{i}]), array({shares}), 10000)").alias(f"q{i}") for i in range(width)]).first()
-        edges = []
-        for column in found:
-            values = np.unique(np.array(column or [], dtype=np.float64))
-            edges.append(values[:-1] + np.diff(values) / 2)
-
-        @F.pandas_udf(T.BinaryType())
-        def binned(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, width))
-            out = np.empty(x.shape, dtype=np.uint8)
-            for f, cuts in enumerate(edges):
-                out[:, f] = np.where(np.isnan(x[:, f]), len(cuts) + 1, np.searchsorted(cuts, x[:, f], side="left"))
-            return pd.Series([r.tobytes() for r in out])
 
-        share = float(np.clip((positive + 0.5) / (n + 1), 1e-9, 1 - 1e-9))
-        return stored(rows.select("label", "key", binned("x").alias("bins")), "bins"), edges, float(np.log(share / (1 - share))), n
+def binned_rows(df: DataFrame, label: str, vector: str, max_bins: int = _MAX_BINS) -> tuple[DataFrame, list[np.ndarray], float, int]:
+    """(label, key, bins) stored, each column's cuts between bins, the sum of labels and the number of rows.
+
+    Rows with a null label or vector are left out. ``key`` hashes the features, and the id where there is one.
+    """
+    named = [F.col("id").alias("_id")] if "id" in df.columns else []
+    rows = df.select(F.col(label).cast("double").alias("label"), vector_to_array(vector).alias("x"), *named)
+    rows = rows.where("label IS NOT NULL AND x IS NOT NULL")
+    key = F.xxhash64("x", *["_id"] * len(named)).alias("key")
+    rows = stored(rows.select("label", key, "x"), "binning-input")
+    n, positive, width = rows.agg(F.count("*"), F.sum("label"), F.max(F.size("x"))).first()
+    if not n:
+        raise ValueError("no labelled rows to fit")
+    bins = min(max_bins, _MAX_BINS)
+    shares = ", ".join(f"{i / (bins - 1)!r}D" for i in range(bins))
+    found = rows.agg(
+        *[F.expr(f"percentile_approx(if(isnan(x[{i}]), null, x[{i}]), array({shares}), 10000)").alias(f"q{i}") for i in range(width)]
+    ).first()
+    edges = []
+    for column in found:
+        values = np.unique(np.array(column or [], dtype=np.float64))
+        edges.append(values[:-1] + np.diff(values) / 2)
+
+    @F.pandas_udf(T.BinaryType())
+    def binned(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, width))
+        out = np.empty(x.shape, dtype=np.uint8)
+        for f, cuts in enumerate(edges):
+            out[:, f] = np.where(np.isnan(x[:, f]), len(cuts) + 1, np.searchsorted(cuts, x[:, f], side="left"))
+        return pd.Series([r.tobytes() for r in out])
+
+    return stored(rows.select("label", "key", binned("x").alias("bins")), "bins"), edges, float(positive), n
 
 
 def _node_rows(trees: list[Tree], edges: list[np.ndarray]) -> pd.DataFrame:
@@ -385,11 +390,12 @@ def _node_rows(trees: list[Tree], edges: list[np.ndarray]) -> pd.DataFrame:
     return pd.concat(tables, ignore_index=True)
 
 
-class NewtonTreesModel(Model, _Columns, MLReadable, MLWritable):
+class NewtonTreesModel(Model, ModelColumns, MLReadable, MLWritable):
     """Fitted trees as a table of nodes. The margin is ``base`` and the sum of one leaf of each tree, in log-odds."""
 
-    base = _param("base", "log-odds before any tree")
-    width = _param("width", "number of features", TypeConverters.toInt)
+    unit = "log-odds"
+    base = param("base", "log-odds before any tree")
+    width = param("width", "number of features", TypeConverters.toInt)
 
     def __init__(self, nodes: pd.DataFrame | None = None, base: float = 0.0, width: int = 0) -> None:
         super().__init__()
@@ -410,12 +416,12 @@ class NewtonTreesModel(Model, _Columns, MLReadable, MLWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         base = self.getOrDefault(self.base)
-        shared = df.sparkSession.sparkContext.broadcast(_scoring_arrays(self.nodes))
+        shared = df.sparkSession.sparkContext.broadcast(scoring_arrays(self.nodes))
 
         @F.pandas_udf(T.DoubleType())
         def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series(base + _leaf_sums(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
+                yield pd.Series(base + leaf_sums(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
 
         p = 1 / (1 + F.exp(-margin(vector_to_array(self.getOrDefault(self.featuresCol)))))
         probability, prediction = self.getOrDefault(self.probabilityCol), self.getOrDefault(self.predictionCol)
@@ -430,7 +436,7 @@ class NewtonTreesModel(Model, _Columns, MLReadable, MLWritable):
         return _Reader()
 
 
-def _scoring_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def scoring_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """Children (right and left of each node), features, thresholds, sides of missing values, values, roots; leaves lead to themselves."""
     nodes = nodes.sort_values(["tree", "node"])
     size = nodes.groupby("tree").size().sort_index().to_numpy()
@@ -442,7 +448,7 @@ def _scoring_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.stack(children, axis=1).ravel(), feature, nodes["threshold"].to_numpy(), missing_left, nodes["value"].to_numpy(), first, leaf
 
 
-def _leaf_sums(x: np.ndarray, arrays: tuple[np.ndarray, ...], rows: int = 256) -> np.ndarray:
+def leaf_sums(x: np.ndarray, arrays: tuple[np.ndarray, ...], rows: int = 256) -> np.ndarray:
     """Sum of a leaf of each tree for rows of features; all trees go down a level together."""
     children, feature, threshold, missing_left, value, first, leaf = arrays
     out = np.zeros(len(x))

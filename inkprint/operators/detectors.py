@@ -8,7 +8,6 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from inkprint.operators.boosting import NewtonTrees
 from inkprint.operators.corpus import in_split
 from inkprint.operators.epochs import LexicalModel, train_lexical  # noqa: F401
+from inkprint.operators.forest import DeepForest
 from inkprint.operators.kernel import fit_kernel_machine, kernel_width  # noqa: F401
 from inkprint.operators.metrics import evaluate
 
@@ -44,11 +44,9 @@ def boosted_trees(
     return NewtonTrees(featuresCol=VECTOR, rounds=rounds, depth=depth, rate=rate, rows=rows, columns=columns, seed=seed)
 
 
-def forest(trees: int = 300, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
-    """Depth 30 is the deepest tree MLlib grows."""
-    return RandomForestClassifier(
-        featuresCol=VECTOR, numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024
-    )
+def forest(trees: int = 300, seed: int = 42) -> DeepForest:
+    """Trees of any depth."""
+    return DeepForest(featuresCol=VECTOR, trees=trees, seed=seed)
 
 
 def with_probability(scored: DataFrame, out: str = PROBABILITY) -> DataFrame:
@@ -56,9 +54,9 @@ def with_probability(scored: DataFrame, out: str = PROBABILITY) -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1])
 
 
-def baseline_estimators(rounds: int = 300, trees: int = 300, forest_depth: int = 30) -> dict[str, Estimator]:
+def baseline_estimators(rounds: int = 300, trees: int = 300) -> dict[str, Estimator]:
     """Extension point: name -> estimator over the feature vector."""
-    return {"boosted_trees": boosted_trees(rounds), "random_forest": forest(trees, forest_depth)}
+    return {"boosted_trees": boosted_trees(rounds), "random_forest": forest(trees)}
 
 
 def train_baselines(

@@ -9,7 +9,7 @@ polynomial: a few Gauss points give it exactly, and one walk through a tree serv
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.operators.boosting import NewtonTreesModel
 from inkprint.storage import drop_at_end, new_path, stored
 
 # MLlib's probability is the logistic of twice the margin
@@ -50,7 +49,7 @@ def tree_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
     ``value`` is what a leaf adds to the explained sum; ``n`` the training rows (or their curvature) that reached a node.
     """
     fitted = model.stages[-1]
-    if isinstance(fitted, NewtonTreesModel):
+    if hasattr(fitted, "node_table"):
         return fitted.node_table(spark).select("tree", "node", *_TREE)
     path = new_path(spark, "trees")
     fitted.write().save(path)
@@ -77,12 +76,15 @@ def tree_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 
 def is_tree_model(model: PipelineModel) -> bool:
-    return isinstance(model.stages[-1], (NewtonTreesModel, GBTClassificationModel, RandomForestClassificationModel))
+    last = model.stages[-1]
+    return hasattr(last, "node_table") or isinstance(last, (GBTClassificationModel, RandomForestClassificationModel))
 
 
 def unit_of(model: PipelineModel) -> str | None:
     """What contributions add up to: log-odds, the probability itself, or None where there are none."""
     last = model.stages[-1]
+    if hasattr(last, "node_table"):
+        return last.unit
     if isinstance(last, RandomForestClassificationModel):
         return PROBABILITY
     # a calibrated kernel machine ends in a linear model of one margin: no feature has a share in it
@@ -100,12 +102,10 @@ class TreeTable:
         leaf = F.when(F.col("left") < 0, F.col("value") * F.col("n"))
         of_trees = self.nodes.groupBy("tree").agg((F.sum(leaf) / F.max("n")).alias("mean"), F.count("*").alias("n_nodes"))
         mean, self.n_nodes = of_trees.agg(F.sum("mean"), F.sum("n_nodes")).first()
-        self.base_value = mean + (fitted.getOrDefault(fitted.base) if isinstance(fitted, NewtonTreesModel) else 0.0)
+        self.base_value = mean + (fitted.getOrDefault(fitted.base) if hasattr(fitted, "base") else 0.0)
 
     def packed(self) -> DataFrame:
-        """(tree, nodes): one row per tree."""
-        node = F.struct("node", *_TREE)
-        return self.nodes.groupBy("tree").agg(F.collect_list(node).alias("nodes"))
+        return packed_trees(self.nodes)
 
     def collected(self) -> list[Tree] | None:
         """All trees, of a model of at most ``MAX_NODES`` nodes."""
@@ -115,6 +115,11 @@ class TreeTable:
         return [_arrays(nodes) for _, nodes in table.groupby("tree")]
 
 
+def packed_trees(nodes: DataFrame) -> DataFrame:
+    """(tree, nodes): one row per tree."""
+    return nodes.groupBy("tree").agg(F.collect_list(F.struct("node", *_TREE)).alias("nodes"))
+
+
 def _arrays(nodes: pd.DataFrame) -> Tree:
     kinds = (np.int64, np.int64, np.int64, float, bool, float, float)
     return tuple(nodes[c].fillna(0).to_numpy(dtype=k) for c, k in zip(_TREE, kinds, strict=True))
@@ -212,27 +217,32 @@ def with_attributions(
 
 
 def _dealt_attributions(df: DataFrame, vector: Column, trees: TreeTable, out: str) -> DataFrame:
-    """Every part of the rows meets every group of trees in one task; no task holds all of either."""
+    return dealt(df, vector, trees.packed(), trees.n_nodes, lambda x, tree: _shares_of_trees(x, [tree]), out)
+
+
+def dealt(df: DataFrame, vector: Column, packed: DataFrame, n_nodes: int, each: Callable[[np.ndarray, Tree], np.ndarray], out: str) -> DataFrame:
+    """``df`` with the sum over all trees of ``each(rows, tree)``, an array per row.
+
+    Every part of the rows meets every group of trees, of about ``MAX_NODES`` nodes, in one task; no task holds all of either.
+    """
     rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "explained")
     n_parts = rows.count() // ROWS_PER_PART + 1
-    n_groups = trees.n_nodes // MAX_NODES + 1
+    n_groups = n_nodes // MAX_NODES + 1
     part, group = F.pmod(F.xxhash64("_row"), F.lit(n_parts)), F.pmod(F.xxhash64("tree"), F.lit(n_groups))
     groups, parts = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_groups, n_parts))
     some_rows = rows.select("_row", vector.alias("x"), part.cast("int").alias("part"), groups.alias("group"))
-    some_trees = trees.packed().select("tree", "nodes", group.cast("int").alias("group"), parts.alias("part"))
+    some_trees = packed.select("tree", "nodes", group.cast("int").alias("group"), parts.alias("part"))
 
-    def meet(x: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"_row": [], "shares": []})
+    def meet(x: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(some):
+            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "sums": pd.Series(dtype=object)})
         values = np.stack(x["x"].to_numpy())
-        total = np.zeros(values.shape)
-        for nodes in packed.sort_values("tree")["nodes"]:
-            total += _shares_of_trees(values, [_arrays(pd.DataFrame(list(nodes)).sort_values("node"))])
-        return pd.DataFrame({"_row": x["_row"], "shares": list(total)})
+        trees = [_arrays(pd.DataFrame(list(nodes)).sort_values("node")) for nodes in some.sort_values("tree")["nodes"]]
+        return pd.DataFrame({"_row": x["_row"], "sums": list(sum(each(values, tree) for tree in trees))})
 
     met = some_rows.groupBy("part", "group").cogroup(some_trees.groupBy("part", "group"))
-    shares = met.applyInPandas(meet, "_row long, shares array<double>")
-    summed = shares.groupBy("_row").agg(vector_to_array(Summarizer.sum(array_to_vector("shares"))).alias(out))
+    sums = met.applyInPandas(meet, "_row long, sums array<double>")
+    summed = sums.groupBy("_row").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias(out))
     return rows.join(summed, "_row", "left").drop("_row")
 
 

@@ -81,7 +81,7 @@ def test_a_fit_does_not_depend_on_how_rows_are_dealt(spark, planted, monkeypatch
     df = table_of(spark, x, y)
     estimator = D.boosted_trees(30, 4, rate=0.2)
     model = D.fit_pipeline(estimator, NAMES, df.coalesce(1))
-    monkeypatch.setattr(B, "_ROWS_PER_BLOCK", 64)
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 64)
     monkeypatch.setattr(B, "_TREES_PER_STATE", 4)
     again = D.fit_pipeline(estimator, NAMES, df.repartition(7, "a"))
     assert again.stages[-1].nodes.equals(model.stages[-1].nodes)

@@ -6,7 +6,7 @@ from math import factorial
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from inkprint.functions.attacks import ATTACKS
@@ -49,7 +49,7 @@ def test_baselines_find_the_rings(rings):
     models, metrics = D.train_baselines(
         rings,
         COLUMNS,
-        {"boosted_trees": D.boosted_trees(8, 4, rate=0.3), "random_forest": D.forest(10, 8)},
+        {"boosted_trees": D.boosted_trees(8, 4, rate=0.3), "random_forest": D.forest(10)},
         {"folds": 2},
     )
     rows = {(r.model, r.split): r for r in metrics.collect()}
@@ -133,7 +133,8 @@ def test_forest_attributions_add_up_to_the_probability(rings, monkeypatch, nodes
     # beyond the bound, groups of trees meet parts of the rows
     monkeypatch.setattr(X, "MAX_NODES", nodes)
     monkeypatch.setattr(X, "ROWS_PER_PART", 300)
-    model = D.fit_pipeline(D.forest(8, 5), COLUMNS, C.in_split(rings, "train"))
+    forest = RandomForestClassifier(featuresCol=D.VECTOR, numTrees=8, maxDepth=5, seed=42)
+    model = D.fit_pipeline(forest, COLUMNS, C.in_split(rings, "train"))
     scored = X.with_attributions(D.with_probability(model.transform(rings)), model)
     rows = scored.select("score", "shap", "base_value", "unit", *COLUMNS).collect()
     leaves = leaves_of(model, rings.sparkSession)
@@ -312,7 +313,7 @@ def test_custom_attack_and_extractor(spark, programs):
 
 def test_every_baseline_scores_snippets(spark, sf):
     features = Q._code_features(spark, sf)
-    estimators = {"boosted_trees": D.boosted_trees(3, 3), "random_forest": D.forest(4, 4)}
+    estimators = {"boosted_trees": D.boosted_trees(3, 3), "random_forest": D.forest(4)}
     models, _ = D.train_baselines(features, FE.FEATURES, estimators, {"folds": 2})
     snippets = V.code_corpus(spark, sf).select("id", "code").limit(20)
     for name, unit in (("boosted_trees", X.LOG_ODDS), ("random_forest", X.PROBABILITY), ("kernel_machine", None)):
@@ -365,7 +366,7 @@ def test_the_query_fits_every_baseline(spark, sf, monkeypatch):
 
     # the kernel machine is asked for at its defaults; the stand-ins only keep the test short
     monkeypatch.setattr(D, "fit_kernel_machine", fit)
-    monkeypatch.setattr(D, "forest", lambda: LogisticRegression(featuresCol=D.VECTOR, maxIter=1))
+    monkeypatch.setattr(D, "forest", lambda trees: LogisticRegression(featuresCol=D.VECTOR, maxIter=1))
     rows = Q.train_baselines(spark, sf).collect()
     models = ("boosted_trees", "random_forest", "kernel_machine")
     assert asked == [{}] and sorted((r.model, r.split) for r in rows) == sorted((m, s) for m in models for s in ("val", "test"))
