@@ -380,6 +380,45 @@ ll_of AS (
     SELECT {keys}, count(*) AS n, round(sum(logp) / count(*), 12) AS ll FROM step GROUP BY {keys}) USING ({keys}))"""
 
 
+def kneser_ney(view: str) -> str:
+    """(id, n_predicted, ll) with three words, counts from the training snippets."""
+
+    def order(n: int, counts: str) -> str:
+        grown = ", ".join(f"count(*) FILTER (c = {k})::DOUBLE AS n{k}" for k in range(1, 5))
+        y = "(n1 / (n1 + 2 * n2))"
+        d = ", ".join(
+            f"""CASE WHEN n1 = 0 OR n2 = 0 OR n{k} = 0 THEN 0.5::DOUBLE * {k}
+              ELSE least(greatest({k} - {k + 1} * {y} * n{k + 1} / nullif(n{k}, 0), 0.1::DOUBLE * {k}), 0.9::DOUBLE * {k}) END AS d{k}"""
+            for k in (1, 2, 3)
+        )
+        return f"""
+c{n} AS MATERIALIZED ({counts}),
+d{n} AS (SELECT {d} FROM (SELECT {grown} FROM c{n})),
+g{n} AS MATERIALIZED (SELECT h, w, c, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS taken FROM c{n}, d{n}),
+h{n} AS MATERIALIZED (SELECT h, sum(c) AS n, sum(taken) / sum(c) AS b FROM g{n} GROUP BY h)"""
+
+    def windows(of: str) -> str:
+        padded = f"SELECT id, {_TOKENS} AS t, ['', ''] || {_TOKENS} AS p FROM ({of})"
+        return f"SELECT id, i, p[i] || ' ' || p[i + 1] AS h, p[i + 2] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM ({padded}))"
+
+    train = f"SELECT * FROM ({SPLIT_SNIPPETS}) WHERE split = 'train'"
+    orders = [
+        order(3, f"SELECT h, w, count(*) AS c FROM ({windows(train)}) GROUP BY h, w"),
+        order(2, "SELECT substr(h, instr(h, ' ') + 1) AS h, w, count(*) AS c FROM c3 GROUP BY ALL"),
+        order(1, "SELECT '' AS h, w, count(*) AS c FROM c2 GROUP BY w"),
+    ]
+    p = "1::DOUBLE / ((SELECT count(*) FROM g1) + 1)"
+    joins = ""
+    for n, h in ((1, "''"), (2, "substr(s.h, instr(s.h, ' ') + 1)"), (3, "s.h")):
+        joins += f" LEFT JOIN h{n} ON h{n}.h = {h} LEFT JOIN g{n} ON g{n}.h = {h} AND g{n}.w = s.w"
+        p = f"coalesce(greatest(g{n}.c - g{n}.taken, 0) / h{n}.n, 0) + coalesce(h{n}.b, 1) * ({p})"
+    return f"""
+WITH {', '.join(orders)},
+step AS (SELECT s.id, ln({p}) AS logp FROM ({windows(view)}) s {joins} WHERE s.i > 1)
+SELECT id, coalesce(n, 0)::BIGINT AS n_predicted, {r('ll')} AS ll FROM (SELECT id FROM ({view})) LEFT JOIN (
+  SELECT id, count(*) AS n, round(sum(logp) / count(*), 12) AS ll FROM step GROUP BY id) USING (id)"""
+
+
 def perturbed(view: str) -> str:
     """(id, round, code) for ten rounds of up to five swaps."""
     sql = f"""
@@ -565,6 +604,7 @@ SELECT id, node_type, n FROM ({NODE_COUNTS})"""
     sql["attack_registry"] = f"SELECT id, attack, code FROM ({attack_rows(CORPUS)})"
     sql["ngram_log_likelihood"] = f"""
 WITH {likelihood(SNIPPETS)} SELECT id, n_predicted, {r('ll')} AS ll FROM ll_of"""
+    sql["kneser_ney_likelihood"] = kneser_ney(SNIPPETS)
     sql["perplexity"] = f"""
 WITH {likelihood(SNIPPETS)} SELECT id, {r('exp(-ll)')} AS perplexity FROM ll_of"""
     sql["perturb"] = f"SELECT id, round::INTEGER AS round, code FROM ({perturbed(SNIPPETS)})"

@@ -14,6 +14,7 @@ from inkprint.operators import detectors as D
 from inkprint.operators import ensemble as E
 from inkprint.operators import explain as X
 from inkprint.operators import features as FE
+from inkprint.operators import kneser_ney as KN
 from inkprint.operators import likelihood as L
 from inkprint.operators import metrics as M
 from inkprint.operators import ranking as R
@@ -635,6 +636,12 @@ def ngram_log_likelihood(spark, sf):
     return rounded(L.log_likelihood(V.snippets(spark, sf), _bigrams(spark, sf)))
 
 
+@query
+def kneser_ney_likelihood(spark, sf):
+    model = KN.fit_ngrams(C.in_split(_split_snippets(spark, sf), "train"), order=3)
+    return rounded(KN.log_likelihood(V.snippets(spark, sf), model))
+
+
 @query
 def perplexity(spark, sf):
     scores = L.log_likelihood(V.snippets(spark, sf), _bigrams(spark, sf))
