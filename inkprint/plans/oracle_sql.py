@@ -580,6 +580,16 @@ FROM ({CORPUS}) WHERE k IN (1, 2)"""
 SELECT 'human_' || substr(md5(code), 1, 12) AS id, 'python' AS language, 'human' AS source_model, 0::INTEGER AS label, code, bucket, part
 FROM ({extracted})"""
     sql["extract_functions"] = f"SELECT id, language, source_model, label, code, bucket FROM ({human})"
+    functions = [
+        f"({k}, {text_lit(ast.get_source_segment(program, n))})"
+        for k, program in enumerate(PROGRAMS)
+        if k != 3  # does not parse
+        for n in ast.walk(ast.parse(program))
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))
+    ]
+    sql["extract_functions_lateral"] = f"""
+SELECT (id::BIGINT // 600) * 6 + k AS bucket, f.code FROM ({CORPUS}) c JOIN (VALUES {', '.join(functions)}) AS f(k, code) USING (k)"""
+    sql["ast_nodes_lateral"] = f"SELECT id, node_type, n FROM ({NODE_COUNTS})"
     sql["limit_snippets"] = f"""
 SELECT id, bucket FROM (SELECT *, lpad(bucket::VARCHAR, 9, '0') AS file FROM ({human})) ORDER BY file, part LIMIT 100"""
     sql["median_threshold"] = f"""

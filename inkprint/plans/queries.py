@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.functions import pysyntax, text
+from inkprint.functions import pysyntax, tables, text
 from inkprint.functions.attacks import reformat_whitespace, strip_comments
 from inkprint.operators import corpus as C
 from inkprint.operators import detectors as D
@@ -589,6 +589,22 @@ def extract_functions(spark, sf):
     )
 
 
+@query
+def ast_nodes_lateral(spark, sf):
+    """The node table by a table function in SQL."""
+    tables.register(spark)
+    V.code_corpus(spark, sf).createOrReplaceTempView("_snippets")
+    return spark.sql("SELECT id, node_type, count(*) AS n FROM _snippets, LATERAL ast_nodes(code) GROUP BY id, node_type")
+
+
+@query
+def extract_functions_lateral(spark, sf):
+    """The functions of source files by a table function in SQL."""
+    tables.register(spark)
+    _source_files(spark, sf).withColumn("bucket", _bucket("path")).createOrReplaceTempView("_sources")
+    return spark.sql("SELECT bucket, f.code FROM _sources, LATERAL extract_functions(source) AS f")
+
+
 @query
 def ast_node_table(spark, sf):
     return _nodes(spark, sf).groupBy("id", "node_type").agg(F.count("*").alias("n"))

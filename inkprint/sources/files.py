@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.pysyntax import decode_utf8
 from inkprint.operators.corpus import SNIPPET_SCHEMA
+from inkprint.sources.json_arrays import read_json_array
 
 PROBLEM_SCHEMA = "id string, statement string"
 # File suffix per language; an unknown language is read as Python.
@@ -30,9 +31,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_problems(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array of {id, statement}."""
-    reader = spark.read.schema(PROBLEM_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
-    return reader.option("recursiveFileLookup", True).json(path)
+    """Files that each hold one JSON array of {id, statement}, large ones in many tasks."""
+    return read_json_array(spark, path, PROBLEM_SCHEMA)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA) -> DataFrame:
