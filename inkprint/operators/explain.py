@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -255,6 +256,92 @@ def _linear_attributions(df: DataFrame, model: PipelineModel, out: str) -> DataF
     return df.withColumns({out: shares, "base_value": F.lit(float(fitted.intercept))})
 
 
+# --- models without trees -------------------------------------------------------------
+
+# rows that stand for absent features, and the sets of present features that are tried; all rows are explained with the same ones
+MAX_BACKGROUND = 64
+N_COALITIONS = 512
+
+
+def coalitions(width: int, n: int = N_COALITIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights): all sets of some but not all features if there are at most ``n``, else ``n`` drawn by the Shapley kernel.
+
+    Drawn sets come with their complements.
+    """
+    if width < 2:
+        return np.zeros((0, width), dtype=bool), np.zeros(0)
+    sizes = np.arange(1, width)
+    # a size's share of the kernel's weight; within a size all sets are alike
+    share = 1.0 / (sizes * (width - sizes))
+    if 2**width - 2 <= n:
+        masks = (np.arange(1, 2**width - 1)[:, None] >> np.arange(width)) % 2 == 1
+        size = masks.sum(axis=1)
+        return masks, share[size - 1] / np.array([comb(width, int(k)) for k in size])
+    rng = np.random.default_rng(seed)
+    drawn = np.zeros((n // 2, width), dtype=bool)
+    for row, size in zip(drawn, rng.choice(sizes, size=n // 2, p=share / share.sum()), strict=True):
+        row[rng.permutation(width)[:size]] = True
+    return np.concatenate([drawn, ~drawn]), np.ones(2 * (n // 2))
+
+
+def _least_squares(masks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(features, sets + 1): what turns the gains of the sets, and of all features, into shares that add up to the latter."""
+    width = masks.shape[1]
+    if width == 1:
+        return np.ones((1, 1))
+    # the last share is what the others leave: one column less
+    z = masks.astype(float)
+    design = z[:, :-1] - z[:, -1:]
+    fit = np.linalg.pinv(design * np.sqrt(weights)[:, None]) * np.sqrt(weights)
+    first = np.c_[fit, -fit @ z[:, -1]]
+    return np.r_[first, [np.r_[np.zeros(len(masks)), 1.0] - first.sum(axis=0)]]
+
+
+def sampled_attributions(
+    df: DataFrame, model: PipelineModel, background: DataFrame, out: str = "shap", n_coalitions: int = N_COALITIONS, seed: int = 42
+) -> DataFrame:
+    """Append one contribution per feature column to the probability, ``base_value`` and ``unit``, for any fitted model.
+
+    A set of features is worth the mean probability when all others are taken from ``background`` (its first ``MAX_BACKGROUND`` rows by id), less that
+    with none. Shares are the weighted least squares fit to the worth of all sets, or of seeded ones beyond ``n_coalitions`` (Lundberg and
+    Lee 2017); they add up to the probability less ``base_value``. ``df`` holds id and the feature columns; a row is scored once for each
+    set and background row, and only means come together.
+    """
+    names = list(model.stages[0].getInputCols())
+    vector = model.stages[0].getOutputCol()
+    rest = PipelineModel(model.stages[1:])
+    masks, weights = coalitions(len(names), n_coalitions, seed)
+    matrix = _least_squares(masks, weights)
+    fill = [[float(r[c]) for c in names] for r in background.orderBy("id").select(*names).limit(MAX_BACKGROUND).collect()]
+    if not fill:
+        raise ValueError("no background rows")
+    spark = df.sparkSession
+
+    def probability(rows: DataFrame, keys: list[str]) -> DataFrame:
+        scored = rest.transform(rows.select(*keys, array_to_vector("_x").alias(vector)))
+        return scored.groupBy(*keys).agg(F.avg(vector_to_array("probability")[1]).alias("_p"))
+
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "explained")
+    x = F.array(*[F.col(c).cast("double") for c in names])
+    # at most N_COALITIONS + 1 sets and MAX_BACKGROUND rows
+    sets = [(i, [bool(b) for b in m]) for i, m in enumerate([*masks, np.ones(len(names), dtype=bool)])]
+    sets = spark.createDataFrame(sets, "_set int, _mask array<boolean>")
+    others = spark.createDataFrame([(f,) for f in fill], "_fill array<double>")
+    grid = rows.select("_row", x.alias("_own")).crossJoin(F.broadcast(sets)).crossJoin(F.broadcast(others))
+    mixed = F.transform("_own", lambda v, i: F.when(F.get("_mask", i), v).otherwise(F.get("_fill", i)))
+    worth = probability(grid.withColumn("_x", mixed), ["_row", "_set"])
+    base = probability(others.withColumnRenamed("_fill", "_x").withColumn("_row", F.lit(0)), ["_row"]).first()["_p"]
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_set", "_p"))), lambda s: s["_p"] - F.lit(base))
+    gains = worth.groupBy("_row").agg(in_order.alias("_gains"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def shares(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(batch.to_numpy()) @ matrix.T)) if len(batch) else pd.Series(dtype=object)
+
+    explained = rows.join(gains.select("_row", shares("_gains").alias(out)), "_row", "left").drop("_row")
+    return explained.withColumns({"base_value": F.lit(base), "unit": F.lit(PROBABILITY)})
+
+
 # --- reading contributions ----------------------------------------------------------
 
 

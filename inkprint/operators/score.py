@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkprint.operators.corpus import nonblank
 from inkprint.operators.detectors import with_probability
-from inkprint.operators.explain import TreeTable, top_contributions, with_attributions
+from inkprint.operators.explain import TreeTable, sampled_attributions, top_contributions, unit_of, with_attributions
 from inkprint.operators.features import align_features, with_features
 from inkprint.operators.metrics import threshold_prediction
 
@@ -26,17 +26,20 @@ def confidence(probability: Column) -> Column:
 
 
 def score_snippets(
-    df: DataFrame, model: PipelineModel, top_k: int = 6, trees: TreeTable | None = None
+    df: DataFrame, model: PipelineModel, top_k: int = 6, trees: TreeTable | None = None, background: DataFrame | None = None
 ) -> DataFrame:
     """(id, score, prediction, verdict, confidence, reasons, unit) for one snippet or all of them.
 
     ``model`` is any fitted baseline; ``unit`` says what the reasons add up to, and both are null for one
-    whose score has no shares of features. Narrow from end to end: nothing is shuffled unless the model
+    whose score has no shares of features, unless ``background`` has rows of (id, features) to stand for absent ones (``sampled_attributions``). Narrow from end to end: nothing is shuffled unless the model
     is too large to send to every task (``with_attributions``).
     """
     names = list(model.stages[0].getInputCols())
     aligned = align_features(with_features(nonblank(df.select("id", "code"))), names, ["id"])
-    scored = with_attributions(with_probability(model.transform(aligned)), model, trees=trees)
+    if unit_of(model) is None and background is not None:
+        scored = with_probability(model.transform(sampled_attributions(aligned, model, background)))
+    else:
+        scored = with_attributions(with_probability(model.transform(aligned)), model, trees=trees)
     score = F.col("score")
     return scored.select(
         "id",
