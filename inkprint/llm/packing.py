@@ -126,15 +126,20 @@ def local_search(bins: Bins) -> None:
     """Move, one-for-one and two-for-one exchanges out of the emptiest underfull bins.
 
     Each step takes documents from a bin and makes a fuller one fuller still, so the sum of squared fills
-    rises; it ends when no such step is left. Bins that run empty are gone.
+    rises and the search ends. Passes over the underfull bins, sorted by fill anew each time, go on until one makes no step: then no
+    bin has a step left. Bins that run empty are gone; of equally good partners the one met first is taken.
     """
     lengths, capacity = bins.lengths, bins.capacity
-    waiting = sorted((b for b, f in enumerate(bins.fill) if 0 < f < capacity), key=lambda b: bins.fill[b])
-    for source in waiting:
-        while bins.items[source] and bins.fill[source] < capacity:
-            others = [b for b in waiting if b != source and bins.fill[source] <= bins.fill[b] < capacity]
-            if not others or not _step(bins, source, others, lengths, capacity):
-                break
+    stepped = True
+    while stepped:
+        stepped = False
+        waiting = sorted((b for b, f in enumerate(bins.fill) if 0 < f < capacity), key=lambda b: bins.fill[b])
+        for source in waiting:
+            while bins.items[source] and bins.fill[source] < capacity:
+                others = [b for b in waiting if b != source and bins.fill[source] <= bins.fill[b] < capacity]
+                if not others or not _step(bins, source, others, lengths, capacity):
+                    break
+                stepped = True
 
 
 def _step(bins: Bins, source: int, others: list[int], lengths: np.ndarray, capacity: int) -> bool:

@@ -166,3 +166,33 @@ def test_local_search_empties_bins():
     # best fit needs three bins here, an exchange empties one of them
     lengths = np.array([6, 5, 4, 3, 2])
     assert len(packing.pack_lengths(lengths, 10)) == 2
+
+
+def test_local_search_ends_only_where_no_step_is_left():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        lengths = rng.integers(100, 800, 60)
+        bins = packing.Bins(lengths, 1024)
+        for item in np.argsort(-lengths, kind="stable"):
+            bins.place(int(item))
+        packing.local_search(bins)
+        fills, held = list(bins.fill), [set(x) for x in bins.items]
+        packing.local_search(bins)
+        assert fills == bins.fill and held == bins.items
+        # no move, one-for-one or two-for-one exchange into a bin as full or fuller
+        open_bins = [b for b, f in enumerate(bins.fill) if 0 < f < 1024]
+        for a in open_bins:
+            own = [int(lengths[i]) for i in bins.items[a]]
+            out = own + [x + y for n, x in enumerate(own) for y in own[n + 1 :]]
+            for b in open_bins:
+                if a != b and bins.fill[a] <= bins.fill[b]:
+                    room = 1024 - bins.fill[b]
+                    assert not any(x <= room for x in own)
+                    assert not any(0 < x - int(lengths[i]) <= room for x in out for i in bins.items[b])
+
+
+def test_bins_of_equal_lengths_are_packed_alike():
+    lengths = np.array([300] * 10 + [424] * 5 + [1023, 1])
+    first, second = packing.pack_lengths(lengths, 1024), packing.pack_lengths(lengths, 1024)
+    assert first == second and sorted(i for held in first for i in held) == list(range(17))
+    assert len(first) == 6 and [15, 16] in first
