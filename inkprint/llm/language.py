@@ -10,13 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count, slices
+from inkprint.llm.reputation import site_parts
+from inkprint.llm.tables import slices
 from inkprint.storage import broadcast_bounded, stored
 
 # Buckets that byte trigrams are hashed to.
 BUCKETS = 1 << 15
-# Labelled rows the text model is fitted on, about; all rows are scored and counted.
+# Labelled rows the text model is fitted on, about, dealt evenly over the languages; all rows are scored and counted.
 FIT_ROWS = 8_000
+# A value that fewer rows declare names no language of its own.
+MIN_DECLARED = 5
+# Scores and priors are arrays with a place for each language; a table that declares more of them is refused.
+MAX_LANGUAGES = 1_000
 # Trigrams of a long text are not independent: their evidence grows to that of this many.
 SATURATION = 200.0
 # Pseudo-counts that a host borrows from its domain, and a domain from all pages.
@@ -47,10 +52,30 @@ class TextModel:
     log_probability: np.ndarray
 
 
-def fit_text_model(labelled: DataFrame, languages: tuple[str, ...], fit_rows: int = FIT_ROWS) -> TextModel:
-    """From (id, text, lang): trigram counts of a hash sample of about ``fit_rows`` rows, whole texts."""
-    share = min(1.0, fit_rows / max(1, row_count(labelled)))
-    sample = labelled.where(F.col("lang").isin(*languages)).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+def declared_languages(labelled: DataFrame, min_rows: int = MIN_DECLARED) -> dict[str, int]:
+    """Rows of each value of ``lang`` that ``min_rows`` rows or more declare, by a grouped count of all rows."""
+    named = labelled.where(F.col("lang").isNotNull() & ~F.col("lang").isin("", UNDETERMINED))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
+    # one row a language, and no more than are allowed
+    found = counts.orderBy("lang").take(MAX_LANGUAGES + 1)
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} declared languages; a larger min_rows leaves out the rarest")
+    return {r["lang"]: r["n"] for r in found}
+
+
+def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, min_rows: int = MIN_DECLARED) -> TextModel:
+    """From (id, text, lang): trigram counts of a hash sample of about ``fit_rows`` rows, whole texts.
+
+    The languages are those of ``declared_languages``; each has the same share of the sample, or all its rows if it has fewer, so a rare
+    language is fitted beside a frequent one. Rows of equal ids are taken or left together; null and empty texts count nothing. Without any
+    language every text is undetermined.
+    """
+    declared = declared_languages(labelled, min_rows)
+    languages = tuple(declared)
+    # the id's hash as a number from 0 to 1: shares of any size are met
+    place = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
+    shares = [F.when(F.col("lang") == lang, F.lit(fit_rows / len(declared) / n)) for lang, n in declared.items()]
+    sample = labelled.where(place < F.coalesce(*shares, F.lit(0.0)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -107,6 +132,8 @@ def identify(df: DataFrame, model: TextModel, carry: tuple[str, ...] = ()) -> Da
     the language, smoothed towards the overall share; the prior of a host is smoothed towards that of its domain, and this
     towards that of all rows. All counts are grouped aggregations over all rows. A null declaration, suffix or host says nothing. A row
     is kept if its best language has ``MIN_POSTERIOR`` at least and is not "und"; without any letters it is "und" with posterior 1.
+    Of equally likely languages the first in the model's order is named. Texts are read whole, long ones in slices. Every row is judged, also
+    where ids repeat; an empty table gives no rows. Columns other than ``carry`` are left out, so they cannot clash.
     """
     languages = [*model.languages, UNDETERMINED]
     k = len(languages)
@@ -156,16 +183,25 @@ def identify(df: DataFrame, model: TextModel, carry: tuple[str, ...] = ()) -> Da
     return out.withColumn("kept", (F.col("language") != UNDETERMINED) & (F.col("posterior") >= MIN_POSTERIOR))
 
 
+# What is no text of a page. An element, comment or tag that is never closed reaches to the end of the page, so no part of a page is
+# scanned twice.
+_MARKUP = r"(?is)<script\b.*?(?:(?=</script)|\z)|<style\b.*?(?:(?=</style)|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^>]*(?:>|\z)|&#?[a-z0-9]+;"
+_DECLARED = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2})"
+
+
 def page_fields(pages: DataFrame) -> DataFrame:
-    """(id, text, declared, host, domain, suffix) of (page_id, url, html); what an address or page lacks is null."""
+    """(id, text, declared, host, domain, suffix) of (page_id, url, html); what an address or page lacks is null.
+
+    A domain stands one label above its suffix, which has two labels where a country registers names under them (``co.uk``).
+    """
     html, host = F.col("html"), F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;", " ")
-    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    declared = F.lower(F.regexp_extract(html, _DECLARED, 1))
     return pages.select(
-        F.col("page_id").alias("id"), text.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host")
-    ).withColumns(
-        {"domain": F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0), "suffix": F.regexp_extract("host", r"[^.]+$", 0)}
-    )
+        F.col("page_id").alias("id"),
+        F.regexp_replace(html, _MARKUP, " ").alias("text"),
+        F.nullif(declared, F.lit("")).alias("declared"),
+        F.nullif(host, F.lit("")).alias("host"),
+    ).withColumns(site_parts(F.col("host")))
 
 
 def document_fields(docs: DataFrame) -> DataFrame:

@@ -63,12 +63,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans", text)
 
 
-LANGUAGES = ("de", "en", "es", "fr")
-
-
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"), LANGUAGES)
+    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     of_docs = language.identify(language.document_fields(docs), model).withColumnRenamed("id", "doc_id")
     of_pages = language.identify(language.page_fields(pages), model).withColumnRenamed("id", "page_id")
     columns = ["doc_id", "page_id", "language", "posterior", "text_language", "kept"]

@@ -1,6 +1,8 @@
 """N-gram join, components, toxicity and language identification."""
 
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -194,7 +196,7 @@ FIELDS = "id long, text string, declared string, host string, domain string, suf
 @pytest.fixture(scope="module")
 def text_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
-    return language.fit_text_model(docs, ("de", "en", "es", "fr"))
+    return language.fit_text_model(docs)
 
 
 def test_languages_of_documents_and_pages(spark, sf, text_model):
@@ -230,3 +232,84 @@ def test_page_fields(spark):
     found = {r.id: r for r in language.page_fields(frame).collect()}
     assert (found[1].declared, found[1].host, found[1].domain, found[1].suffix) == ("fr", "www.example.co", "example.co", "co")
     assert found[1].text.split() == ["oui"] and found[2].host is None and found[3].declared is None
+
+
+def test_pages_of_a_megabyte_are_read_in_one_pass(spark):
+    unclosed = ["<script " * 130_000, "<html lang " * 90_000, "<!-- <style " * 85_000, "&a" * 500_000, "<" * 1_000_000, "<p" * 500_000]
+    pages = [(i, "https://www.a.co.uk/", f"<p>word{i}</p>" + html) for i, html in enumerate(unclosed)]
+    pages.append((9, "https://b.com/", "<html lang=de><script>a</script >x < y <b>z</b><style>c</style>" + " wort" * 200_000))
+    begin = time.monotonic()
+    found = {r.id: r for r in language.page_fields(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert time.monotonic() - begin < 60
+    assert all(found[i].text.split()[0].startswith(f"word{i}") for i in range(len(unclosed)))
+    assert (found[0].host, found[0].domain, found[0].suffix) == ("www.a.co.uk", "a.co.uk", "co.uk")
+    assert found[9].declared == "de" and found[9].text.split()[:4] == ["x", "<", "y", "z"] and found[9].text.count("wort") == 200_000
+    assert found[0].text.split() == ["word0"]
+
+
+def test_languages_are_those_that_rows_declare(spark):
+    stems = {"aa": "bado keru misa", "bb": "zuff yorg wext", "cc": "quill shran plov", "rare": "ixis oxos uxus"}
+    rows = [(f"{lang}{i}", f"{words} " * 8, lang) for lang, words in stems.items() for i in range(300 if lang != "rare" else 6)]
+    rows += [(f"t{i}", "typo " * 9, f"typo{i}") for i in range(4)] + [("u", "und", "und")] * 9 + [("n", "no", None), ("e", "", ""), ("x", None, "aa")]
+    docs = spark.createDataFrame(rows, "id string, text string, lang string")
+    model = language.fit_text_model(docs)
+    assert model.languages == ("aa", "bb", "cc", "rare")
+    fields = docs.select("id", "text", *[F.lit(None).cast("string").alias(c) for c in ("declared", "host", "domain", "suffix")])
+    found = language.identify(fields, model).join(docs, "id").where("lang IN ('aa', 'bb', 'cc', 'rare') AND text IS NOT NULL")
+    assert found.count() == 906 and found.where("language <> lang OR NOT kept").count() == 0
+    # a sample so small that each language has some three rows
+    assert language.fit_text_model(docs, fit_rows=100).languages == model.languages
+    nothing = language.fit_text_model(docs.where("false"))
+    assert nothing.languages == () and language.identify(fields, nothing).where("language = 'und' AND NOT kept").count() == len(rows)
+
+
+def brute_posteriors(rows, k, weight=language.PRIOR_WEIGHT):
+    """log posteriors of (evidence, n_grams, declared, host, domain, suffix) rows from counts kept in dictionaries."""
+    called = [max(range(k), key=lambda i: (e[i], -i)) if n else k - 1 for e, n, *_ in rows]
+    overall = [called.count(i) + 0.5 for i in range(k)]
+    total = sum(overall)
+
+    def counts(key, value):
+        own = [0.0] * k
+        for row, best in zip(rows, called):
+            if row[key] == value:
+                own[best] += 1
+        return own
+
+    out = []
+    for evidence, n, declared, host, domain, suffix in rows:
+        fused = list(evidence)
+        for key, value in ((2, declared), (5, suffix)):
+            if value is not None:
+                own = counts(key, value)
+                fused = [f + math.log((c + weight * sum(own) / total) / (m + weight)) for f, c, m in zip(fused, own, overall)]
+        prior = [m / total for m in overall]
+        if host is not None and domain is not None:
+            for key, value in ((4, domain), (3, host)):
+                own = counts(key, value)
+                prior = [(c + weight * p) / (sum(own) + weight) for c, p in zip(own, prior)]
+        fused = [f + math.log(p) for f, p in zip(fused, prior)]
+        top = max(fused)
+        out.append((fused.index(top), 1 / sum(math.exp(f - top) for f in fused), n))
+    return out
+
+
+def test_fused_posteriors_match_brute_force(spark, sf, text_model):
+    docs = language.document_fields(spark.read.parquet(f"{sf}/documents.parquet"))
+    pages = language.page_fields(spark.read.parquet(f"{sf}/pages.parquet"))
+    odd = spark.createDataFrame(
+        [(-1, None, "de", "h", "d", "x"), (-2, "", None, None, None, None), (-3, "der und die", None, "h", None, "x"), (-3, "the of and", "xx", "h", "d", None)],
+        FIELDS,
+    )
+    for fields in (docs, pages.unionByName(odd)):
+        carried = ("id", "declared", "host", "domain", "suffix")
+        told = language.text_evidence(fields, text_model, carried).collect()
+        rows = [(r.log_likelihood, r.n_grams, r.declared, r.host, r.domain, r.suffix) for r in told]
+        names = [*text_model.languages, "und"]
+        wanted = sorted(
+            (r.id, names[best] if n else "und", round(p, 4) if n else 1.0)
+            for r, (best, p, n) in zip(told, brute_posteriors(rows, len(names)))
+        )
+        got = sorted((r.id, r.language, round(r.posterior, 4)) for r in language.identify(fields, text_model).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in wanted]
+        assert np.allclose([g[2] for g in got], [w[2] for w in wanted], atol=2e-4)
