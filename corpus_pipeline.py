@@ -10,13 +10,13 @@ from inkprint.llm.tables import table
 from inkprint.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LANGUAGES = ("de", "en", "es", "fr")
 
 
 def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fused evidence speaks for none of the languages go, null and empty texts with them."""
-    whole = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"), LANGUAGES)
+    """Documents whose fused evidence speaks for none of the declared languages go, null and empty texts with them."""
+    # written first: a row keeps its number when a lost executor's part is read again
+    whole = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    model = language.fit_text_model(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     fields = language.document_fields(whole.drop("doc_id").withColumnRenamed("_row", "doc_id"))
     rejected = language.identify(fields, model).where(~F.col("kept")).select(F.col("id").alias("_row"))
     return whole.join(rejected, "_row", "left_anti").select(*COLUMNS)
