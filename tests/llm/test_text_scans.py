@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from helpers import docs_of, lowered_words, sentences
+from pyspark.sql import functions as F
 
 from inkprint.llm import decontamination, lines, secrets, suffixes
 
@@ -25,7 +26,7 @@ def brute_contamination(text, items, n=10):
     return len(w), len(hit), sorted(held)
 
 
-@pytest.mark.parametrize("bound", [200_000, 3])
+@pytest.mark.parametrize("bound", [{}, {"max_broadcast": 3}, {"max_bytes": 100}])
 def test_contamination_matches_brute_force(spark, bound):
     passages = sentences(1, 4, 30)
     items = [(10, passages[0]), (2, passages[1].upper()), (3, "Ünïque wörds"), (4, None), (5, "..."), (6, passages[0])]
@@ -37,12 +38,38 @@ def test_contamination_matches_brute_force(spark, bound):
     ]
     docs = docs_of(spark, texts, at="x", hash="y", items="z")
     bench = spark.createDataFrame([(*i, "b") for i in items], BENCHMARK)
-    found = decontamination.contamination(docs, bench, max_broadcast=bound)
+    found = decontamination.contamination(docs, bench, **bound)
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()}
     assert got == {i: brute_contamination(t, items) for i, t in enumerate(texts)}
     assert all(r.n_hit == sum(s["to"] - s["from"] for s in r.hit_spans) for r in found.collect())
 
 
+def test_a_large_set_of_windows_moves_no_text_with_the_places(spark):
+    passages = sentences(21, 40, 14)
+    bench = spark.createDataFrame([(i, p, "x") for i, p in enumerate(passages)], BENCHMARK)
+    long = " ".join(sentences(22, 1, 20_000, vocabulary=50_000) + [passages[7]])
+    texts = [long, passages[3], "own words only", None, "", long.upper(), *sentences(23, 20, 40, vocabulary=9_000)]
+    docs = docs_of(spark, texts, _row="r", at="x", _window="w", length="l", items="i")
+    for remove in ("documents", "spans"):
+        few = decontamination.decontaminate(docs, bench, remove=remove).collect()
+        many = decontamination.decontaminate(docs, bench, remove=remove, max_broadcast=5)
+        assert many.columns == docs.columns and sorted(map(str, few)) == sorted(map(str, many.collect()))
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
+    assert decontamination._narrow_places(numbered, [3, 10]).columns == ["_row", "length", "at", "hash"]
+    empty = decontamination.decontaminate(docs_of(spark, []), bench, max_broadcast=5)
+    assert empty.count() == 0
+
+
+def test_a_window_that_many_items_hold_is_not_broadcast(spark):
+    shared = sentences(24, 1, 10)[0]
+    bench = spark.createDataFrame([(i, shared, "x") for i in range(3_000)], BENCHMARK)
+    docs = docs_of(spark, [f"so {shared} on", "nothing here"])
+    few = decontamination.contamination(docs, bench).collect()
+    many = decontamination.contamination(docs, bench, max_bytes=10_000)
+    assert sorted(map(str, few)) == sorted(map(str, many.collect()))
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in few} == {(0, 10, 3_000), (1, 0, 0)}
+
+
 def test_decontaminate_cuts_spans_or_documents(spark):
     passage = sentences(4, 1, 12)[0]
     texts = ["clean text, Here", f"Before!  {passage.upper()}. After", None, passage]
