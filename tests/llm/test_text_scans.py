@@ -164,11 +164,61 @@ def test_runs_are_levelled_and_sorted(spark):
     assert runs.frequent().count() == 3
     for level in runs.levels:
         for run in level:
-            keys = [tuple(r) for r in run.select("h1", "h2").collect()]
-            assert keys == sorted(keys)
+            # one sorted file a bucket
+            files = {}
+            for r in run.select("h1", "h2", F.input_file_name().alias("file")).collect():
+                files.setdefault(r.file, []).append((r.h1, r.h2))
+            assert len(files) <= runs.buckets and all(keys == sorted(keys) for keys in files.values())
+    runs.drop()
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_merged_and_met_without_a_shuffle(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        runs = lines.LineRuns(spark, min_docs=3, fanout=3)
+        for i in range(2):
+            runs.add(docs_of(spark, [f"a\nb{i}\na", "b0\nc"]))
+        assert "Exchange" not in plan_of(runs._merged(runs.levels[0])) and plan_of(runs._merged(runs.levels[0])).count("Scan parquet") == 2
+        batch = lines.hash_lines(docs_of(spark, ["a\nd", "b0"]))
+        # the batch is counted by one shuffle; either run stays where it is
+        assert plan_of(runs._unseen(batch)).count("Exchange") == 1 and plan_of(runs._unseen(batch)).count("SortMergeJoin") == 2
+        assert runs._unseen(batch).count() == 2  # b0 was in three documents; a in two
+        runs.add_hashed(batch)
+        assert [len(level) for level in runs.levels] == [0, 1] and runs.frequent().count() == 2
+        names = list(runs._names)
+        runs.drop()
+        assert names and not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_the_query_compacts_runs(spark, monkeypatch):
+    levels = []
+    compact = lines.LineRuns._compact
+
+    def watched(self):
+        compact(self)
+        levels.append([len(level) for level in self.levels])
+
+    monkeypatch.setattr(lines.LineRuns, "_compact", watched)
+    docs = docs_of(spark, [f"head\n{i}" for i in range(30)])
+    assert {r.n_dropped for r in lines.dedup_lines(docs).collect()} == {1}
+    assert levels == [[1], [0, 1], [1, 1]]
+
+
+def test_lines_of_a_megabyte(spark):
+    long = "\n".join(f"own {i}" for i in range(120_000))
+    texts = [f"{long}\nshared", *["shared"] * 9, "x" * 2_000_000]
+    got = {r.doc_id: r for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[0].text == long and (got[0].n_lines, got[0].n_dropped) == (120_001, 1) and got[10].text == texts[10]
+
+
 def test_repeated_rows_are_documents(spark):
     docs = docs_of(spark, ["same line\nown"] * 10, ids=[1] * 5 + [None] * 5)
     assert {(r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(docs).collect()} == {(2, 2, "")}
