@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.reputation import site_parts
-from inkprint.llm.tables import slices
+from inkprint.llm.tables import hash_share, slices
 from inkprint.storage import broadcast_bounded, stored
 
 # Buckets that byte trigrams are hashed to.
@@ -72,10 +72,8 @@ def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, min_rows: int
     """
     declared = declared_languages(labelled, min_rows)
     languages = tuple(declared)
-    # the id's hash as a number from 0 to 1: shares of any size are met
-    place = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
     shares = [F.when(F.col("lang") == lang, F.lit(fit_rows / len(declared) / n)) for lang, n in declared.items()]
-    sample = labelled.where(place < F.coalesce(*shares, F.lit(0.0)))
+    sample = labelled.where(hash_share(F.col("id")) < F.coalesce(*shares, F.lit(0.0)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (part for whole in batches for part in slices(whole)):

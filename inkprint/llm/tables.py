@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), BETWEEN_WORDS, -1), "")
 
 
+def hash_share(key: Column) -> Column:
+    """The key's hash as a number from 0 to 1: rows below a share are a sample of it, however small it is."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
 

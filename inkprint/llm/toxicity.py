@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.tables import row_count, slices, words
+from inkprint.llm.tables import hash_share, row_count, slices, words
 from inkprint.storage import stored
 
 # Labelled rows the field is fitted on, about, and segments of SEGMENT tokens of them at most.
@@ -217,7 +217,7 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_segments: in
     """
     usable = labelled.where(F.col("toxic").isin(0, 1)).select("id", "text", "toxic")
     share = min(1.0, fit_rows / max(1, row_count(usable)))
-    sample = stored(usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)), "toxicity-sample")
+    sample = stored(usable.where(hash_share(F.col("id")) < share), "toxicity-sample")
     marked = frozenset(r[0] for r in markers(sample).collect())
     chosen = _segments(sample.select("text", "toxic"), marked).orderBy("kind", "place", "words").limit(fit_segments).collect()
     weights, transition = _fit_chain(chosen)
