@@ -1,9 +1,11 @@
 """Second-order boosted trees for two classes, grown level by level over binned columns.
 
-Values are binned once, by quantiles, and stored as a byte a column. A level of a tree is one job: tasks add up gradients and
-curvatures of the rows of the nodes to split, per column and bin; tables are merged by tree aggregation; of two siblings
-only the one with less curvature is counted, the other is its parent less that. The driver holds tables of bins, whatever the number of
-rows. Sums are of integers, so a fit does not depend on how rows are dealt.
+Values are binned once, by quantiles, and stored as a byte a column. Rows of equal label and bins have equal margins, so they are one
+pattern and its drawn rows a count. Up to ``ROWS_PER_BLOCK`` patterns are grown in one task, whatever the number of rows: one job counts
+each tree's rows of each pattern. With more, a level of a tree is one job: tasks add up gradients and curvatures of the patterns in the nodes to
+split, per column and bin; tables are merged by tree aggregation; of two siblings only the one with less curvature is counted, the other is its
+parent less that. The driver holds tables of bins, whatever the number of rows. Sums are of integers, so a fit does not depend on how
+rows are dealt.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark import RDD, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -34,11 +36,12 @@ from pyspark.sql import types as T
 
 from inkprint.storage import stored
 
-# rows of a block, and of a task, about; a fit of no more rows runs in one task
+# rows of a block, about; a fit of no more rows, or of no more different ones, runs in one task
 ROWS_PER_BLOCK = 16_384
 # margins are brought up to date after so many trees; until then jobs add the newer trees' themselves
 _TREES_PER_STATE = 25
 _MAX_BINS = 255  # the 256th is for missing values
+_HALF = 26  # bits of the lower half of a summed number
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, missing_left boolean, value double, n double, gain double"
 
 
@@ -99,11 +102,23 @@ class Tree:
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _advanced(block: Block, trees: list[Tree], missing: np.ndarray) -> Block:
+# The different rows among some: their bins and labels; what tells how often each is drawn, either (hashes of rows, the pattern of each)
+# or a count for each turn and pattern; and margins.
+Patterns = tuple[np.ndarray, np.ndarray, "tuple[np.ndarray, np.ndarray] | np.ndarray", np.ndarray]
+
+
+def _patterns(block: Block) -> Patterns:
     bins, labels, keys, margins = block
+    whole = np.ascontiguousarray(np.hstack([bins, labels.view(np.uint8).reshape(len(labels), -1)]))
+    _, first, which = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return bins[first], labels[first], (keys, which.astype(np.int32)), margins[first]
+
+
+def _advanced(block: Patterns, trees: list[Tree], missing: np.ndarray) -> Patterns:
+    bins, labels, rows, margins = block
     for tree in trees:
         margins = margins + tree.margins(bins, missing)
-    return bins, labels, keys, margins
+    return bins, labels, rows, margins
 
 
 def blocks_of(rows: Iterator, base: float) -> Iterator[Block]:
@@ -145,29 +160,36 @@ class _Level:
     scale: float
     starts: np.ndarray  # where each column's bins begin in a table
 
-    def table(self, block: Block) -> np.ndarray:
+    def table(self, block: Patterns) -> np.ndarray:
         """(nodes, bins of all columns, 2): summed gradients and curvatures, times ``scale`` as integers."""
         missing = np.diff(self.starts) - 1
-        bins, labels, keys, margins = _advanced(block, self.newer, missing)
+        bins, labels, rows, margins = _advanced(block, self.newer, missing)
         out = np.zeros((len(self.nodes), self.starts[-1], 2), dtype=np.int64)
         slot_of = np.full(len(self.tree.left), -1)
         slot_of[self.nodes] = np.arange(len(self.nodes))
         slot = slot_of[self.tree.node_of(bins, missing)]
-        used = np.flatnonzero((slot >= 0) & (drawn(keys, self.seed, self.turn) < self.rows))
+        if isinstance(rows, tuple):
+            keys, which = rows
+            times = np.bincount(which[drawn(keys, self.seed, self.turn) < self.rows], minlength=len(bins))
+        else:
+            times = rows[self.turn]
+        used = np.flatnonzero((slot >= 0) & (times > 0))
         p = 1 / (1 + np.exp(-margins[used]))
-        weights = [np.rint(x * self.scale) for x in (p - labels[used], p * (1 - p))]
+        weights = [np.rint(x * self.scale).astype(np.int64) * times[used] for x in (p - labels[used], p * (1 - p))]
+        # halves of the whole numbers, whose sums stay below 2**53: exact
+        halves = [((w >> _HALF).astype(np.float64), (w & ((1 << _HALF) - 1)).astype(np.float64)) for w in weights]
         for f, (start, end) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
             cell = slot[used] * (end - start) + bins[used, f]
-            for k, weight in enumerate(weights):
-                sums = np.bincount(cell, weights=weight, minlength=len(self.nodes) * (end - start))
-                out[:, start:end, k] = sums.reshape(len(self.nodes), -1)  # whole numbers below 2**53: exact
+            for k, (high, low) in enumerate(halves):
+                of_high, of_low = (np.bincount(cell, weights=w, minlength=len(self.nodes) * (end - start)).astype(np.int64) for w in (high, low))
+                out[:, start:end, k] = ((of_high << _HALF) + of_low).reshape(len(self.nodes), -1)
         return out
 
 
 def _merged(state: RDD, level: _Level) -> np.ndarray:
     empty = np.zeros((len(level.nodes), level.starts[-1], 2), dtype=np.int64)
 
-    def add(total: np.ndarray, block: Block) -> np.ndarray:
+    def add(total: np.ndarray, block: Patterns) -> np.ndarray:
         return total + level.table(block)
 
     return state.treeAggregate(empty, add, np.add, depth=2)
@@ -263,8 +285,8 @@ class _Grower:
             }
         return tree
 
-    def grow_all(self, blocks: Iterator[Block], rounds: int) -> Iterator[list[Tree]]:
-        """All trees of rows that one task holds."""
+    def grow_all(self, blocks: Iterator[Patterns], rounds: int) -> Iterator[list[Tree]]:
+        """All trees of patterns that one task holds."""
         held, missing = list(blocks), np.diff(self.starts) - 1
         trees: list[Tree] = []
         for turn in range(rounds):
@@ -314,12 +336,20 @@ class NewtonTrees(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsW
         names = (self.depth, self.rate, self.rows, self.columns, self.l2, self.leastCover, self.seed)
         grower = _Grower(starts, *(self.getOrDefault(p) for p in names), scale)
         rounds = self.getOrDefault(self.rounds)
-        blocks = rows.coalesce(-(-n // ROWS_PER_BLOCK)).rdd.map(tuple).mapPartitions(partial(blocks_of, base=base))
-        if n <= ROWS_PER_BLOCK:
-            # nothing to merge: the same steps in the one task that has the rows, without a job for each
-            grown = blocks.mapPartitions(partial(grower.grow_all, rounds=rounds)).collect()[0]
+        # tasks of many blocks: each level costs a task's start for every one of them
+        sc = rows.sparkSession.sparkContext
+        tasks = max(1, min(-(-n // ROWS_PER_BLOCK), 2 * sc.defaultParallelism))
+        blocks = rows.coalesce(tasks).rdd.map(tuple).mapPartitions(partial(blocks_of, base=base))
+        few = None if n <= ROWS_PER_BLOCK else _few_patterns(rows)
+        if n <= ROWS_PER_BLOCK or few is not None:
+            # nothing to merge: the same steps in one task, without a job for each
+            if few is None:
+                held = blocks.map(_patterns)
+            else:
+                held = sc.parallelize([0], 1).map(_counted(blocks, few, base, rounds, grower.seed, grower.rows))
+            grown = held.mapPartitions(partial(grower.grow_all, rounds=rounds)).collect()[0]
             return self._copyValues(NewtonTreesModel(_node_rows([Tree(*t) for t in grown], edges), base, len(edges)))
-        state = blocks.persist()
+        state = blocks.map(_patterns).persist(StorageLevel.MEMORY_AND_DISK)
         trees: list[Tree] = []
         current = 0  # trees that the state's margins hold
         missing = np.diff(starts) - 1
@@ -328,7 +358,7 @@ class NewtonTrees(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsW
                 if len(trees) - current == _TREES_PER_STATE:
                     newer = trees[current:]
                     # recomputed from the stored bins if an executor is lost
-                    old, state = state, state.map(lambda b, newer=newer: _advanced(b, newer, missing)).persist()
+                    old, state = state, state.map(lambda b, newer=newer: _advanced(b, newer, missing)).persist(StorageLevel.MEMORY_AND_DISK)
                     state.count()
                     old.unpersist()
                     current = len(trees)
@@ -339,6 +369,36 @@ class NewtonTrees(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsW
         return self._copyValues(model)
 
 
+def _few_patterns(rows: DataFrame) -> list | None:
+    """The different (label, bins), in order, if there are at most ``ROWS_PER_BLOCK``."""
+    found = rows.select("label", "bins").distinct().take(ROWS_PER_BLOCK + 1)
+    return None if len(found) > ROWS_PER_BLOCK else sorted((r["label"], bytes(r["bins"])) for r in found)
+
+
+def _counted(blocks: RDD, few: list, base: float, rounds: int, seed: int, share: float) -> Callable[[int], Patterns]:
+    """The patterns with how many of their rows each turn draws, which one job counts; a table of turns and patterns, whatever the rows."""
+    sc = blocks.context
+    shared = sc.broadcast({pattern: i for i, pattern in enumerate(few)})
+
+    def count(some: Iterator[Block]) -> Iterator[np.ndarray]:
+        numbers = shared.value
+        total = np.zeros((rounds, len(numbers)), dtype=np.int64)
+        for bins, labels, keys, _ in some:
+            which = np.array([numbers[label, row.tobytes()] for label, row in zip(labels.tolist(), bins, strict=True)])
+            for turn in range(rounds):
+                total[turn] += np.bincount(which[drawn(keys, seed, turn) < share], minlength=len(numbers))
+        yield total
+
+    times = sc.broadcast(blocks.mapPartitions(count).treeReduce(np.add))
+
+    def held(_: int) -> Patterns:
+        patterns = sorted(shared.value)
+        bins = np.frombuffer(b"".join(p[1] for p in patterns), dtype=np.uint8).reshape(len(patterns), -1)
+        return bins, np.array([p[0] for p in patterns]), times.value, np.full(len(patterns), base)
+
+    return held
+
+
 def binned_rows(df: DataFrame, label: str, vector: str, max_bins: int = _MAX_BINS) -> tuple[DataFrame, list[np.ndarray], float, int]:
     """(label, key, bins) stored, each column's cuts between bins, the sum of labels and the number of rows.
 
@@ -421,7 +481,7 @@ class NewtonTreesModel(Model, ModelColumns, MLReadable, MLWritable):
         @F.pandas_udf(T.DoubleType())
         def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series(base + leaf_sums(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
+                yield pd.Series(base + sums_of_alike(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
 
         p = 1 / (1 + F.exp(-margin(vector_to_array(self.getOrDefault(self.featuresCol)))))
         probability, prediction = self.getOrDefault(self.probabilityCol), self.getOrDefault(self.predictionCol)
@@ -466,6 +526,24 @@ def leaf_sums(x: np.ndarray, arrays: tuple[np.ndarray, ...], rows: int = 256) ->
     return out
 
 
+def alike(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each kind, the kind of each row): rows of a kind lie between the same thresholds, so trees treat them alike."""
+    used = np.unique(feature)
+    if not len(used) or not len(x):
+        return np.zeros(min(1, len(x)), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+    codes = np.empty((len(x), len(used)), dtype=np.int32)
+    for k, f in enumerate(used):
+        codes[:, k] = np.where(np.isnan(x[:, f]), -1, np.searchsorted(np.unique(threshold[feature == f]), x[:, f], side="left"))
+    _, first, which = np.unique(codes.view(f"V{4 * len(used)}").ravel(), return_index=True, return_inverse=True)
+    return first, which
+
+
+def sums_of_alike(x: np.ndarray, arrays: tuple[np.ndarray, ...]) -> np.ndarray:
+    inner = ~arrays[-1]
+    first, which = alike(x, arrays[1][inner], arrays[2][inner])
+    return leaf_sums(x[first], arrays)[which]
+
+
 class _Writer(MLWriter):
     def __init__(self, instance: NewtonTreesModel) -> None:
         super().__init__()

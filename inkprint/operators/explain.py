@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.operators.boosting import alike
 from inkprint.storage import drop_at_end, new_path, stored
 
 # MLlib's probability is the logistic of twice the margin
@@ -175,11 +176,16 @@ def tree_shares(x: np.ndarray, tree: Tree) -> np.ndarray:
 
 
 def _shares_of_trees(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """Contributions to rows of features; rows between the same thresholds are walked once."""
+    inner = [tree[0] >= 0 for tree in trees]
+    feature, threshold = (np.concatenate([tree[k][i] for tree, i in zip(trees, inner, strict=True)]) for k in (2, 3))
+    first, which = alike(x, feature, threshold)
+    x = x[first]
     out = np.zeros(x.shape)
     for begin in range(0, len(x), _ROWS_PER_WALK):
         for tree in trees:
             out[begin : begin + _ROWS_PER_WALK] += tree_shares(x[begin : begin + _ROWS_PER_WALK], tree)
-    return out
+    return out[which]
 
 
 def with_attributions(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprint.operators import explain
-from inkprint.operators.boosting import NODE_SCHEMA, ROWS_PER_BLOCK, Block, ModelColumns, binned_rows, blocks_of, drawn, leaf_sums, param, scoring_arrays
+from inkprint.operators.boosting import NODE_SCHEMA, ROWS_PER_BLOCK, Block, ModelColumns, binned_rows, blocks_of, drawn, leaf_sums, param, scoring_arrays, sums_of_alike
 from inkprint.storage import stored
 
 # a node of no more rows is finished in one task
@@ -294,7 +294,7 @@ class ForestModel(Model, ModelColumns, MLReadable, MLWritable):
             @F.pandas_udf(T.DoubleType())
             def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 for batch in batches:
-                    yield pd.Series(leaf_sums(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
+                    yield pd.Series(sums_of_alike(np.stack(batch.to_numpy()), shared.value)) if len(batch) else pd.Series(dtype=float)
 
             scored = df.withColumn("_p", probability(vector))
         prediction = (F.col("_p") > 0.5).cast("double")

@@ -116,3 +116,23 @@ def test_importances_are_average_gains(spark, planted):
     model = D.fit_pipeline(D.boosted_trees(20, 3), NAMES, table_of(spark, x, y))
     found = {r.feature: r.importance for r in D.importances(model, spark).collect()}
     assert sum(found.values()) == pytest.approx(1) and found["c"] < min(found["a"], found["b"])
+
+
+def test_rows_that_repeat_are_one_pattern(spark, planted, monkeypatch):
+    """More rows than a task grows, of few different ones: the trees are those of level by level, without a job for each."""
+    x, y = planted
+    x, y = np.repeat(x[:40], 12, axis=0), np.repeat(y[:40], 12)
+    df = table_of(spark, x, y)
+    estimator = D.boosted_trees(12, 4, rate=0.2, rows=0.7)
+    expected = D.fit_pipeline(estimator, NAMES, df.coalesce(1)).stages[-1].nodes
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 64)
+    jobs = []
+    monkeypatch.setattr(B, "_merged", lambda *a: jobs.append(a))
+    found = D.fit_pipeline(estimator, NAMES, df.repartition(5, "id")).stages[-1].nodes
+    assert found.equals(expected) and not jobs
+
+
+def test_rows_between_the_same_thresholds_are_alike():
+    x = np.array([[1.0, 5.0], [1.4, 5.0], [1.5, 9.0], [np.nan, 5.0], [2.0, 5.0], [np.nan, 7.0]])
+    first, which = B.alike(x, np.array([0, 0]), np.array([1.5, 1.9]))
+    assert which[0] == which[1] == which[2] and which[3] == which[5] and len(first) == 3
