@@ -156,3 +156,9 @@ def test_stored_tables_go_when_the_session_ends(spark):
 
     table = stored(spark.range(3).toDF("x"), "probe")
     assert table.count() == 3 and table.inputFiles()
+
+
+def test_the_files_of_a_source_tree_are_written_by_many_tasks(spark, sf):
+    paths = [r.path for r in Q._source_files(spark, sf).select("path").collect()]
+    assert len(paths) == len({re.search(r"bucket=(\d+)", p).group(1) for p in paths}) > 2
+    assert len({re.search(r"part-(\d+)", p).group(1) for p in paths}) > 1
