@@ -52,6 +52,42 @@ def test_an_epoch_takes_the_steps_of_one_process(spark, rows, per_task, monkeypa
     assert len(parts) == n_tasks
 
 
+@pytest.mark.parametrize("n", [330, 3_300])
+def test_the_number_of_exchanges_does_not_grow_with_the_rows(spark, n, monkeypatch):
+    monkeypatch.setattr(EP, "_ROWS_PER_TASK", 100)
+    monkeypatch.setattr(EP, "_EXCHANGES", 6)
+    data = [(str(i), i % 2, [i % 2, 2 + i % 7]) for i in range(n)]
+    many = spark.createDataFrame(data, "id string, label int, buckets array<int>")
+    start = (*(np.zeros(SIZE + 1) for _ in range(3)), 0)
+    w, _, _, steps = EP.train_epoch(many, start, np.ones(SIZE), 0, 16, 0.05, 0.01, 42)
+    assert 5 <= steps <= 8 and w[1] > 0.1 > -0.1 > w[0]
+
+
+def test_the_steps_of_larger_mini_batches_use_every_row(spark, rows, monkeypatch):
+    monkeypatch.setattr(EP, "_ROWS_PER_TASK", 100)
+    monkeypatch.setattr(EP, "_EXCHANGES", 1)
+    weights, start = EP.bucket_weights(rows, SIZE), (*(np.zeros(SIZE + 1) for _ in range(3)), 0)
+    # the longest task decides; one exchange holds six mini-batches of 16 rows of each task
+    dealt = rows.repartition(4, F.xxhash64(F.lit(42), "id")).sortWithinPartitions(F.xxhash64(F.lit(42), F.lit(0), "id"), "id")
+    parts = {}
+    for r in dealt.select(F.spark_partition_id().alias("p"), "label", "buckets").collect():
+        parts.setdefault(r.p, []).append((np.array(r.buckets, dtype=int), r.label))
+    expected = start
+    for begin in range(0, max(map(len, parts.values())), 96):
+        some = [x for p in sorted(parts) for x in parts[p][begin : begin + 96]]
+        where, sums = EP.gradient([b for b, _ in some], np.array([t for _, t in some]), weights, expected[0])
+        mean = np.zeros(SIZE + 1)
+        mean[where] = sums / len(some)
+        expected = EP.step(expected, mean, 0.05, 0.01)
+    found = EP.train_epoch(rows, start, weights, 0, 16, 0.05, 0.01, 42)
+    assert found[3] == expected[3] and found[0] == pytest.approx(expected[0], abs=1e-9)
+
+
+def test_no_epoch_follows_a_perfect_one(dataset):
+    model, _ = EP.train_lexical(dataset, ngram=1, n_features=1024, batch=4)
+    assert model.history[-1] == 1.0 and max(model.history[:-1], default=0.0) < 1.0
+
+
 def test_weights_of_buckets(rows):
     held = [set(r.buckets) for r in rows.collect()]
     weights = EP.bucket_weights(rows, SIZE)
