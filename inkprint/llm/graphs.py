@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.storage import stored
+from inkprint.storage import ROWS_A_FILE, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in (a, b): the component is its least node.
 
     Large-star and small-star steps take turns until nothing moves; every step is a grouped minimum and a join, and its
-    edges are written, so that a lost executor repeats one step at most.
+    edges are written, so that a lost executor repeats one step at most. No step adds edges, so each is written in as many files as
+    the edges before it need.
     """
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
 
@@ -39,10 +40,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         large = _hung_on_least(_both_ways(edges), larger_only=True)
         # small star: from each node to its smaller neighbours
-        edges = stored(_hung_on_least(large.select(F.col("b").alias("a"), F.col("a").alias("b")), larger_only=False), "edges")
+        edges = stored(_hung_on_least(large.select(F.col("b").alias("a"), F.col("a").alias("b")), larger_only=False), "edges", seen[0])
         now = mark(edges)
         if now == seen:
             break
         seen = now
     members = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return members.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    both = members.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return both.coalesce(2 * seen[0] // ROWS_A_FILE + 1)

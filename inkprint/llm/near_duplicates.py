@@ -136,18 +136,26 @@ def _root(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _likely(group: pd.DataFrame, threshold: float) -> list[tuple[float, int, int]]:
-    """(-share, x, y) of the places in a block pair whose signatures may agree enough, the likeliest first."""
+def _likely(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (share, x, y) of the places in a block pair whose signatures may agree enough, the likeliest first.
+
+    In a block of near copies that is nearly every pair, so they are kept as numbers of 4 bytes and not as objects.
+    """
     marks = np.frombuffer(b"".join(group["signature"]), dtype="<u2").reshape(len(group), -1)
     first, second = group["_i"].iat[0], group["_j"].iat[0]
     block = group["_block"].to_numpy()
-    likely = []
+    shares, xs, ys = [np.zeros(0, np.float32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    all_others = np.flatnonzero(block == second)
     for x in np.flatnonzero(block == first):
-        others = np.flatnonzero(block == second)
-        others = others[others > x] if first == second else others
-        share = (marks[others] == marks[x]).mean(axis=1)
-        likely += [(-s, x, y) for s, y in zip(share, others, strict=True) if s >= threshold - MARGIN]
-    return sorted(likely)
+        others = all_others[all_others > x] if first == second else all_others
+        agree = (marks[others] == marks[x]).sum(axis=1)
+        near = agree / marks.shape[1] >= threshold - MARGIN
+        shares.append(agree[near].astype(np.float32))
+        ys.append(others[near].astype(np.int32))
+        xs.append(np.full(len(ys[-1]), x, dtype=np.int32))
+    share, x, y = (np.concatenate(part) for part in (shares, xs, ys))
+    order = np.argsort(-share, kind="stable")
+    return share[order].astype(np.float64) / marks.shape[1], x[order], y[order]
 
 
 def _similar_within(threshold: float):
@@ -158,17 +166,21 @@ def _similar_within(threshold: float):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("row")
-        ids, parent, out = group["row"].to_numpy(), np.arange(len(group)), []
-        place = tuple(group[c].iat[0] for c in ("bucket", "_i", "_j"))
-        for share, x, y in _likely(group, threshold):
-            rx, ry = _root(parent, x), _root(parent, y)
-            if rx == ry:
-                continue
-            sure = -share >= threshold + MARGIN / 2
-            out.append((*place, min(ids[x], ids[y]), max(ids[x], ids[y]), sure))
-            if sure:
+        ids, parent = group["row"].to_numpy(), np.arange(len(group))
+        share, x, y = _likely(group, threshold)
+        sure, offered = share >= threshold + MARGIN / 2, np.zeros(len(share), dtype=bool)
+        # sure pairs come first
+        n_sure = int(sure.sum())
+        for k in range(n_sure):
+            rx, ry = _root(parent, x[k]), _root(parent, y[k])
+            if rx != ry:
+                offered[k] = True
                 parent[rx] = ry
-        return pd.DataFrame(out, columns=["bucket", "_i", "_j", "a", "b", "sure"])
+        roots = np.array([_root(parent, i) for i in range(len(group))])
+        offered[n_sure:] = roots[x[n_sure:]] != roots[y[n_sure:]]
+        a, b = ids[x[offered]], ids[y[offered]]
+        place = {c: group[c].iat[0] for c in ("bucket", "_i", "_j")}
+        return pd.DataFrame({**place, "a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure[offered]})
 
     return run
 
@@ -182,7 +194,7 @@ def _linked_within(n: int, threshold: float):
         for places in group.reset_index(drop=True).groupby("_own").indices.values():
             parent[places] = places[0]
         hashes, sets, out = _WordHashes(), {}, []
-        for _, x, y in _likely(group, threshold):
+        for x, y in zip(*_likely(group, threshold)[1:], strict=True):
             rx, ry = _root(parent, x), _root(parent, y)
             if rx == ry:
                 continue
@@ -276,7 +288,7 @@ def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM
     for each node.
     """
     edges, classes, newcomers = None, None, []
-    still = buckets.select("bucket", "row", F.lit(None).cast("long").alias("_own"))
+    still, n_still = buckets.select("bucket", "row", F.lit(None).cast("long").alias("_own")), buckets.count()
 
     def connected(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components of the contracted links and these pairs, and their links."""
@@ -290,12 +302,13 @@ def links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, n: int = NGRAM
             F.min_by(F.struct("row", "_own"), order).alias("_leader"), F.count("*").alias("_n")
         ).where("_n > 1").select("bucket", F.col("_leader.row").alias("leader"), F.col("_leader._own").alias("_theirs"))
         apart = (F.col("row") != F.col("leader")) & ~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False))
-        met = stored(still.join(leaders, "bucket").where(apart).select("bucket", "row", "leader"), "bucket-stars")
+        met = stored(still.join(leaders, "bucket").where(apart).select("bucket", "row", "leader"), "bucket-stars", n_still)
         classes, edges = connected(met.select(*_ordered("row", "leader")).distinct())
         own = classes.select(F.col("node").alias("row"), F.col("component").alias("_own"))
         theirs = classes.select(F.col("node").alias("leader"), F.col("component").alias("_theirs"))
         met = met.join(own, "row", "left").join(theirs, "leader", "left")
-        still = stored(met.where(~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False))), "open-members")
+        still = stored(met.where(~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False))), "open-members", n_still)
+        n_still = still.count()
         newcomers.append(still.where("_theirs IS NOT NULL").select("row", "leader"))
         still = still.select("bucket", "row", "_own")
     several = still.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")

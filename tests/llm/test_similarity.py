@@ -3,8 +3,10 @@
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import docs_of, grams, sentences
 from pyspark.sql import functions as F
@@ -313,3 +315,37 @@ def test_fused_posteriors_match_brute_force(spark, sf, text_model):
         got = sorted((r.id, r.language, round(r.posterior, 4)) for r in language.identify(fields, text_model).collect())
         assert [g[:2] for g in got] == [w[:2] for w in wanted]
         assert np.allclose([g[2] for g in got], [w[2] for w in wanted], atol=2e-4)
+
+
+def test_a_block_of_near_copies_takes_little_memory():
+    """Every pair of two full blocks is likely and none is sure: all are offered, and held as numbers only."""
+    rng = np.random.default_rng(5)
+    common, n = rng.integers(0, 2**16, 126), 2 * near_duplicates.BLOCK
+    marks = np.where(rng.random((n, 126)) < 0.86, common, rng.integers(0, 2**16, (n, 126))).astype("<u2")
+    group = pd.DataFrame({"bucket": 7, "row": np.arange(n) * 3, "signature": [m.tobytes() for m in marks], "_i": 0, "_j": 1, "_block": np.arange(n) % 2})
+    tracemalloc.start()
+    found = near_duplicates._similar_within(0.8)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    agree = (marks[::2, None] == marks[None, 1::2]).mean(axis=2)
+    x, y = np.nonzero((agree >= 0.8 - near_duplicates.MARGIN) & (agree < 0.8 + near_duplicates.MARGIN / 2))
+    assert (agree < 0.8 + near_duplicates.MARGIN / 2).all() and len(x) > 0.99 * near_duplicates.BLOCK**2
+    assert {*zip(found["a"], found["b"])} == {(min(a, b), max(a, b)) for a, b in zip(x * 6, y * 6 + 3)}
+    assert not found["sure"].any() and len(found) == len(x)
+    assert peak < 40e6
+
+
+def test_a_small_graph_is_written_as_one_file(spark):
+    """However many partitions a shuffle has; the result is that of any number of files."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = [(i, i + 7) for i in range(100)] + [(500, 501)]
+        found = graphs.components(spark.createDataFrame(links, "a long, b long"))
+        assert len(found.inputFiles()) == 1 and found.rdd.getNumPartitions() == 1
+        expected = {i: i % 7 for i in range(107)} | {500: 500, 501: 500}
+        assert sorted(found.collect()) == sorted(expected.items())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
