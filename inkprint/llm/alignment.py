@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.llm.tables import row_count
@@ -196,6 +197,11 @@ def fragments(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarr
     return [fragment(whole.between(low, low + chunk_bytes), low == 0) for low in range(0, size, chunk_bytes)]
 
 
+def composed_runs(found: list[Fragment]) -> list[Fragment]:
+    """The first step of the reduction: each ``FAN_IN`` neighbours as one, in the task that has them all."""
+    return [sum(found[k + 1 : k + FAN_IN], found[k]) for k in range(0, len(found), FAN_IN)]
+
+
 _INTS, _LONGS = "array<int>", "array<long>"
 _OPEN = [f"{part}_{name} {kind}" for part in ("prefix", "suffix") for name, kind in (("a", _INTS), ("a_ends", _LONGS), ("b", _INTS), ("b_ends", _LONGS))]
 _FRAGMENT = ["n_a long", "n_b long", "n_groups long", "groups string", f"link_a {_INTS}", f"link_b {_INTS}", f"link_n {_INTS}"]
@@ -234,7 +240,7 @@ def _arrow(rows: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:
 def document_fragments(
     docs: DataFrame, left: str = LEFT_VOCABULARY, right: str = RIGHT_VOCABULARY, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
-    """Fragments of the whole texts of (doc_id, _row, text); one empty fragment where there are no tokens."""
+    """Fragments of the whole texts of (doc_id, _row, text), each of up to ``FAN_IN`` ranges; one empty fragment where there are no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encode_a, bytes_a), (encode_b, bytes_b) = left_encoder(left), right_encoder(right)
@@ -242,15 +248,16 @@ def document_fragments(
         entries_a, entries_b = np.array(bytes_a, dtype=object), np.array(bytes_b, dtype=object)
         nothing = Fragment(Tokens())
         for batch in batches:
-            ids, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2).to_pylist()
-            for part in _slices(texts):
-                rows, held = [], [t or "" for t in texts[part]]
+            ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for part in _slices(pc.binary_length(batch.column(2)).to_pylist()):
+                # of a batch's texts only these are held twice
+                rows, held = [], [t or "" for t in batch.column(2)[part].to_pylist()]
                 for key, text, a, b in zip(ids[part], held, encode_a(held), encode_b(held), strict=True):
                     whole = f" {text}".encode()
                     if text == "" or not (b"".join(entries_a[a].tolist()) == whole == b"".join(entries_b[b].tolist())):
                         rows.append(_packed(key, 0, 1, 0, 0, nothing))
                         continue
-                    found = fragments(a, np.cumsum(sizes_a[a]), b, np.cumsum(sizes_b[b]), chunk_bytes)
+                    found = composed_runs(fragments(a, np.cumsum(sizes_a[a]), b, np.cumsum(sizes_b[b]), chunk_bytes))
                     for chunk, f in enumerate(found):
                         own = (len(a), len(b)) if chunk == 0 else (0, 0)
                         rows.append(_packed(key, chunk, len(found), *own, f))
@@ -264,11 +271,11 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join([f"doc_id {dict(df.dtypes)['doc_id']}", *_SCHEMA])
 
 
-def _slices(texts: list[str | None]) -> Iterator[slice]:
+def _slices(sizes: list[int | None]) -> Iterator[slice]:
     begin, held = 0, 0
-    for end, text in enumerate(texts, start=1):
-        held += len(text or "")
-        if held >= BATCH_BYTES or end == len(texts):
+    for end, size in enumerate(sizes, start=1):
+        held += size or 0
+        if held >= BATCH_BYTES or end == len(sizes):
             yield slice(begin, end)
             begin, held = end, 0
 
@@ -292,17 +299,19 @@ def align(docs: DataFrame, left: str = LEFT_VOCABULARY, right: str = RIGHT_VOCAB
     (``groups_text``); the ``link_`` arrays hold the distinct id pairs of tokens that share bytes, with how many pairs of tokens they
     stand for. A null or empty text, or one that a side does not give back, has no tokens: zeros, '' and empty arrays. Rows are
     numbered by ``_row``, so repeated rows and null ids are kept apart; other columns do not matter; an empty table gives no rows.
-    Documents of up to ``chunk_bytes`` never move; fragments of longer ones are composed ``FAN_IN`` at a time.
+    Fragments are composed ``FAN_IN`` at a time, the first time where they are made: documents of up to ``FAN_IN`` times ``chunk_bytes`` never move.
     """
     numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     # numbered in the one pass that is written: later reads see the same numbers
     found = stored(document_fragments(numbered, left, right, chunk_bytes), "fragments")
+    columns = ["_row", "doc_id", *(c.split()[0] for c in _FRAGMENT)]
     parts = found.where("n_chunks > 1")
     most = found.agg(F.max("n_chunks")).first()[0] or 1
+    if most == 1:
+        return found.select(*columns)
     while most > 1:
         parts = parts.groupBy("_row", F.floor(F.col("chunk") / FAN_IN).alias("_part")).applyInPandas(_composed, _ddl(found))
         most = -(-most // FAN_IN)
-    columns = ["_row", "doc_id", *(c.split()[0] for c in _FRAGMENT)]
     return found.where("n_chunks = 1").select(*columns).unionByName(stored(parts.select(*columns), "composed"))
 
 
@@ -313,9 +322,10 @@ def _links(aligned: DataFrame) -> DataFrame:
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(a, b, n_docs, is_best): in how many rows an id pair is linked, and whether no other pair of its ``a`` is in more."""
-    counts = stored(_links(aligned).groupBy("a", "b").agg(F.count("*").alias("n_docs")), "pair-counts")
-    most = counts.groupBy("a").agg(F.max("n_docs").alias("_most"))
-    return counts.join(most, "a").select("a", "b", "n_docs", (F.col("n_docs") == F.col("_most")).alias("is_best"))
+    counts = _links(aligned).groupBy("a", "b").agg(F.count("*").alias("n_docs"))
+    # the pairs of one a are at most the ids of the other vocabulary
+    most = F.max("n_docs").over(Window.partitionBy("a"))
+    return counts.select("a", "b", "n_docs", (F.col("n_docs") == most).alias("is_best"))
 
 
 def link_scores(aligned: DataFrame, max_broadcast: int = MAX_BROADCAST_PAIRS) -> DataFrame:
@@ -324,7 +334,8 @@ def link_scores(aligned: DataFrame, max_broadcast: int = MAX_BROADCAST_PAIRS) ->
     The most frequent pairs, ``max_broadcast`` at most, are sent to every task. Others are joined by shuffle: none of them
     is in more than a ``max_broadcast``-th of all links, so no task is hot.
     """
-    counts = stored(pair_counts(aligned), "pairs")
+    # a few columns of as many rows as the vocabularies have pairs: no more files than cores, however many partitions a shuffle has
+    counts = stored(pair_counts(aligned).coalesce(aligned.sparkSession.sparkContext.defaultParallelism), "pairs")
     links = _links(aligned)
     if row_count(counts) <= max_broadcast:
         met = links.join(F.broadcast(counts), ["a", "b"])

@@ -1,6 +1,7 @@
 """Tokenizer alignment: fragments compose in any bracketing, and rows equal a plain two-pointer version."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from helpers import docs_of, sentences
 from oracle import connect
+from pyspark.sql import functions as F
 
 from inkprint.llm import alignment as A
 from inkprint.llm.queries import op12_alignment
@@ -122,6 +124,37 @@ def test_a_very_long_document(spark, encoders):
     assert sum(row.link_n) == len(a) + len(b) - whole.n_groups
 
 
+def test_each_sixteen_ranges_are_composed_where_they_are_made(spark, encoders):
+    texts = ["word " * n for n in (1, 100, 1_000)]
+    docs = docs_of(spark, texts).withColumn("_row", F.monotonically_increasing_id())
+    rows = A.document_fragments(docs, chunk_bytes=20).collect()
+    left = [math.ceil(math.ceil(len(f" {t}") / 20) / A.FAN_IN) for t in texts]
+    assert sorted((r.doc_id, r.chunk, r.n_chunks) for r in rows) == [(i, k, n) for i, n in enumerate(left) for k in range(n)]
+
+
+def test_few_small_files_are_written(spark, monkeypatch):
+    """Each written file starts a process that counts an executor's memory twice for a moment."""
+    files = {}
+
+    def kept(df, label, *a):
+        out = stored(df, label, *a)
+        files[label] = len(out.inputFiles())
+        return out
+
+    stored = A.stored
+    monkeypatch.setattr(A, "stored", kept)
+    docs = docs_of(spark, [f"text {i} {'of more words ' * 4_000}" for i in range(20)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert A.link_scores(A.align(docs)).count() == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(files) == {"fragments", "pairs"} and files["pairs"] <= spark.sparkContext.defaultParallelism
+
+
 def test_query_matches_brute_force(spark, sf, encoders):
     kept = connect(sf).execute("SELECT doc_id, text FROM documents").fetchall()
     # links of token pairs are quadratic in the brute version: long texts count only by their digest
