@@ -101,3 +101,38 @@ def test_nothing_to_fit(spark):
     model = KN.fit_ngrams(empty, 3)
     row = KN.log_likelihood(spark.createDataFrame([("a", "x y z")], "id string, code string"), model).first()
     assert row.n_predicted == 2 and row.ll == pytest.approx(0.0)
+
+
+def test_frequent_keys_are_found_without_sorting_a_table(spark, texts, monkeypatch):
+    """Nor are tables written that hold a row for each scored window of full length."""
+    stored, written = KN.stored, []
+    monkeypatch.setattr(KN, "stored", lambda df, label, *a: written.append(label) or stored(df, label, *a))
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, "w1 " * 2_000])], "id string, code string")
+    model = KN.fit_ngrams(df, 3)
+    assert len(written) == 6
+    scored = KN.log_likelihood(df, model)
+    plan = scored._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert sorted(written[6:]) == ["priced-1", "priced-2", "windows-1", "windows-2"]
+    # one word's rows are most of all and are dealt by keys of their own
+    plain = Plain([*(t or "" for t in texts), "w1 " * 2_000], 3)
+    padded = ["", "", *["w1"] * 2_000]
+    expected = sum(math.log(plain.p(padded[i : i + 2], "w1")) for i in range(1, 2_000)) / 1_999
+    row = scored.where(f"id = '{len(texts)}'").first()
+    assert (row.n_predicted, row.ll) == (1_999, pytest.approx(expected))
+
+
+def test_hot_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(KN, "HOT_PAIRS", 2)
+    rows = spark.range(4_000).selectExpr("id", "if(id % 100 = 0, 'rare', 'hot') AS w")
+    table = spark.createDataFrame([("hot", 9), ("rare", 1)], "w string, c long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = KN._looked_up(rows, table, ["w"], ["c"], "c", 10)
+        held = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(held) < 1_500
+        assert {(r.w, r.c) for r in met.collect()} == {("hot", 9), ("rare", 1)} and met.count() == 4_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
