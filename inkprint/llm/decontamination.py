@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.text import let
 from inkprint.llm.tables import BETWEEN_WORDS, words
-from inkprint.storage import stored
+from inkprint.storage import broadcast_bounded, stored
 
 WINDOW_WORDS = 10
 # A set of more windows, or of windows with more bytes of words and item ids, is joined by shuffle.
@@ -87,10 +87,13 @@ def _met_by_broadcast(tokens: DataFrame, held: DataFrame, lengths: list[int], ca
     met = places.join(F.broadcast(wanted), same, "left")
     met = met.where(is_first | (F.slice("_words", F.greatest("at", F.lit(1)), F.col("length")) == F.col("grams")))
     hit = F.when(~is_first, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("length")).alias("to")))
-    return met.groupBy("_row").agg(
-        *[F.first(F.when(is_first, F.struct(c)), ignorenulls=True)[c].alias(c) for c in ("doc_id", *carry)],
-        F.max(F.when(is_first, F.size("_words"))).cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(hit)).alias("_hits"),
+    # beyond some documents the aggregate sorts its input, all columns that its expressions read: words must not be among them
+    document = F.struct("doc_id", *carry, F.size("_words").cast("long").alias("n_words"))
+    narrow = met.select("_row", F.when(is_first, document).alias("_document"), hit.alias("_hit"), "items")
+    of_document = F.first("_document", ignorenulls=True)
+    return narrow.groupBy("_row").agg(
+        *[of_document[c].alias(c) for c in ("doc_id", *carry, "n_words")],
+        F.sort_array(F.collect_set("_hit")).alias("_hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
@@ -109,16 +112,19 @@ def _met_by_shuffle(tokens: DataFrame, held: DataFrame, lengths: list[int], carr
 
     Numbered rows are written first, so that all passes read the same numbers.
     """
-    tokens = stored(tokens.select("doc_id", "_row", "text", *[c for c in carry if c not in ("doc_id", "text")]), "numbered-documents")
+    n_words = F.size(words(F.col("text"))).cast("long").alias("_n_words")
+    tokens = stored(tokens.select("doc_id", "_row", "text", *[c for c in carry if c not in ("doc_id", "text")], n_words), "numbered-documents")
     distinct = held.select("grams").distinct()
     numbered = distinct.select(
         F.monotonically_increasing_id().alias("_window"), F.size("grams").alias("length"), F.xxhash64("grams").alias("hash"), "grams"
     )
     windows = stored(numbered, "numbered-windows")
     near = _narrow_places(tokens, lengths).join(windows.drop("grams"), ["hash", "length"])
-    by_row = near.groupBy("_row").agg(F.collect_list(F.struct("at", "length", "_window")).alias("_near"))
-    own = tokens.select("_row", words(F.col("text")).alias("_words")).join(by_row, "_row")
-    own = own.select("_row", "_words", F.inline("_near")).select("_row", "at", "length", "_window", F.slice("_words", F.col("at"), F.col("length")).alias("_own"))
+    by_row = stored(near.groupBy("_row").agg(F.collect_list(F.struct("at", "length", "_window")).alias("_near")), "hashed-hits")
+    # texts with a hashed hit alone move, and as they are: their words take several times the room
+    hit_rows = broadcast_bounded(by_row.select("_row"), MAX_BROADCAST_WINDOWS)
+    own = tokens.select("_row", "text").join(hit_rows, "_row", "left_semi").join(by_row, "_row")
+    own = own.select("_row", words(F.col("text")).alias("_words"), F.inline("_near")).select("_row", "at", "length", "_window", F.slice("_words", F.col("at"), F.col("length")).alias("_own"))
     verified = own.join(windows.select("_window", "grams"), "_window").where(F.col("_own") == F.col("grams"))
     hits = stored(verified.select("_row", "at", "length", "_window"), "window-hits")
     span = F.struct(F.col("at").alias("from"), (F.col("at") + F.col("length")).alias("to"))
@@ -129,7 +135,7 @@ def _met_by_shuffle(tokens: DataFrame, held: DataFrame, lengths: list[int], carr
     return tokens.join(spans.join(items, "_row"), "_row", "left").select(
         "doc_id",
         *carry,
-        F.size(words(F.col("text"))).cast("long").alias("n_words"),
+        F.col("_n_words").alias("n_words"),
         F.coalesce("_hits", F.array().cast("array<struct<from:int,to:int>>")).alias("_hits"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

@@ -70,6 +70,23 @@ def test_a_window_that_many_items_hold_is_not_broadcast(spark):
     assert {(r.doc_id, r.n_hit, r.n_items) for r in few} == {(0, 10, 3_000), (1, 0, 0)}
 
 
+def test_words_of_documents_do_not_enter_the_aggregate(spark, monkeypatch):
+    # beyond this many groups the aggregate sorts its input; it held every document's words, which spilled or ended the executor
+    monkeypatch.setattr(decontamination, "stored", lambda df, label: df)
+    passage = sentences(31, 1, 14)[0]
+    bench = spark.createDataFrame([(i, passage, "x") for i in range(3)], BENCHMARK)
+    texts = [*sentences(32, 40, 30), passage, f"a {passage} b {passage}", None, ""]
+    found = decontamination.contamination(docs_of(spark, texts), bench)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    by_row = [n for n in nodes if n.nodeName() == "Aggregate" and "_row" in n.groupingExpressions().toString()]
+    assert by_row and all("_words" not in n.references().toString() for n in by_row)
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()}
+    assert got == {i: brute_contamination(t, [(k, passage) for k in range(3)]) for i, t in enumerate(texts)}
+
+
 def test_decontaminate_cuts_spans_or_documents(spark):
     passage = sentences(4, 1, 12)[0]
     texts = ["clean text, Here", f"Before!  {passage.upper()}. After", None, passage]
