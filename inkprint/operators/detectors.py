@@ -68,21 +68,18 @@ def train_baselines(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every baseline on the train split; one metrics row per model and held-out split.
 
-    ``features`` is read for training and once per model for scoring: pass a stored matrix.
+    ``features`` is read once per model for training and once for scoring: pass a stored matrix. No rows are kept in executors' memory.
     ``kernel`` holds options of the kernel machine; ``{}`` takes the defaults and None
     leaves it out. ``fitted`` holds models by name that are taken as they are. All models are evaluated in one job over the union of their scores.
     """
     estimators = baseline_estimators() if estimators is None else estimators
-    train = in_split(features, "train").persist()
-    try:
-        models = {
-            name: (fitted or {}).get(name) or fit_pipeline(estimator, columns, train)
-            for name, estimator in estimators.items()
-        }
-        if kernel is not None:
-            models["kernel_machine"] = fit_kernel_machine(train, columns, **kernel)
-    finally:
-        train.unpersist()
+    train = in_split(features, "train")
+    models = {
+        name: (fitted or {}).get(name) or fit_pipeline(estimator, columns, train)
+        for name, estimator in estimators.items()
+    }
+    if kernel is not None:
+        models["kernel_machine"] = fit_kernel_machine(train, columns, **kernel)
     held_out = features.where(F.col("split").isin("val", "test"))
     scored = reduce(
         DataFrame.unionByName,

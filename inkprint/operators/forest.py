@@ -1,8 +1,8 @@
 """Random forests without a limit on depth.
 
 Nodes with many rows are split level by level from merged tables, as many trees at once as fit. A node whose rows fit one task is
-queued: its rows go there, and the subtree is finished on them, however deep. The nodes stay in a written table; the driver
-holds those of the upper levels alone.
+queued: its rows go there, and the subtree is finished on them, however deep. A larger node that no cut parts is a leaf, and its rows stay where
+they are. The nodes stay in a written table; the driver holds those of the upper levels alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import RDD, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import TypeConverters
@@ -30,10 +30,15 @@ LOCAL_ROWS = 16_384
 PASS_ROWS = 50_000_000
 # nodes whose tables are merged in one job: some 50 kB each for 12 columns
 NODES_PER_JOB = 512
+# rows that move together
+_ROWS_PER_PIECE = 2_048
 _BINS = 256
 # chances of up to 0, 1, ... copies of a row in a bootstrap sample: a Poisson count of mean 1
 _COPIES = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1.0, 9.0)]))
 
+# nodes as they are grown; they are numbered by texts, of any length
+_GROWN = "tree long, node string, left string, right string, feature int, bin int, n long, share double, gain double"
+
 # (feature, bin, impurity decrease) of a split
 Split = tuple[int, int, float]
 
@@ -144,7 +149,8 @@ class DeepForest(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsWr
     def _fit(self, df: DataFrame) -> ForestModel:
         rows, edges, _, n = binned_rows(df, self.getOrDefault(self.labelCol), self.getOrDefault(self.featuresCol))
         n_trees, width = self.getOrDefault(self.trees), len(edges)
-        blocks = rows.coalesce(-(-n // ROWS_PER_BLOCK)).rdd.map(tuple).mapPartitions(lambda r: blocks_of(r, 0.0)).persist()
+        blocks = rows.coalesce(-(-n // ROWS_PER_BLOCK)).rdd.map(tuple).mapPartitions(lambda r: blocks_of(r, 0.0))
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
         spark = df.sparkSession
         try:
             per_pass = max(1, min(n_trees, PASS_ROWS // n))
@@ -162,7 +168,8 @@ class DeepForest(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsWr
         tries = max(1, int(np.sqrt(width)))
         upper: dict[int, Upper] = {t: {} for t in trees}
         done: list[tuple] = []
-        queued = set()
+        # nodes that are finished in a task
+        queued: dict[int, set[int]] = {t: set() if n > local else {1} for t in trees}
         # a root has about n rows
         active = [(t, 1, 0) for t in trees] if n > local else []
         while active:
@@ -176,19 +183,20 @@ class DeepForest(Estimator, ModelColumns, DefaultParamsReadable, DefaultParamsWr
                     split = best_split(tables[: len(order)], order) if 0 < positive < total else None
                     if split is None and 0 < positive < total and (turn + 1) * tries < width:
                         following.append((tree, node, turn + 1))
-                    elif total <= local or split is None:
-                        queued.add((tree, node))
+                    elif total <= local:
+                        queued[tree].add(node)
+                    elif split is None:
+                        # a leaf of any size: its rows need not meet
+                        done.append((tree, node, 0, 0, -1, 0, int(total), float(positive / total), 0.0))
                     else:
                         f, b, gain = split
                         upper[tree][node] = (f, b)
                         done.append((tree, node, 2 * node, 2 * node + 1, f, b, int(total), float(positive / total), gain))
                         following += [(tree, 2 * node, 0), (tree, 2 * node + 1, 0)]
             active = following
-        small = _finished(blocks, upper, seed, tries)
-        names = "tree long, node string, left string, right string, feature int, bin int, n long, share double, gain double"
+        whole = _finished(spark, blocks, upper, queued, seed, tries)
         texts = [(t, str(a), str(b), str(c), *rest) for t, a, b, c, *rest in done]
-        whole = spark.createDataFrame(small, names)
-        return stored(whole.unionByName(spark.createDataFrame(texts, names)) if texts else whole, "forest")
+        return stored(whole.unionByName(spark.createDataFrame(texts, _GROWN)) if texts else whole, "forest")
 
 
 def _merged(blocks: RDD, some: list[tuple[int, int, int]], upper: dict[int, Upper], width: int, seed: int, tries: int) -> np.ndarray:
@@ -213,27 +221,33 @@ def _merged(blocks: RDD, some: list[tuple[int, int, int]], upper: dict[int, Uppe
     return blocks.treeAggregate(empty, add, np.add, depth=2)
 
 
-def _finished(blocks: RDD, upper: dict[int, Upper], seed: int, tries: int) -> RDD:
-    """Nodes of all subtrees: the rows of each lowest upper node meet in one task."""
+def _finished(spark: SparkSession, blocks: RDD, upper: dict[int, Upper], queued: dict[int, set[int]], seed: int, tries: int) -> DataFrame:
+    """Nodes of the subtrees below queued nodes: the rows of each meet in one task. They are sorted by node on the way, on disk beyond a bound."""
 
     def scattered(block: Block) -> Iterator[tuple]:
         bins, labels, keys, _ = block
         for tree, nodes in upper.items():
+            if not queued[tree]:
+                continue
             weights, at = copies(keys, seed, tree), _places(bins, nodes)
             for node in np.unique(at[weights > 0]):
+                if int(node) not in queued[tree]:
+                    continue
                 rows = np.flatnonzero((at == node) & (weights > 0))
-                yield (tree, int(node)), (bins[rows].tobytes(), labels[rows], weights[rows])
-
-    def finish(group: tuple) -> list[tuple]:
-        (tree, node), parts = group
-        parts = list(parts)
-        labels, weights = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        bins = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.uint8).reshape(len(labels), -1)
+                for begin in range(0, len(rows), _ROWS_PER_PIECE):
+                    some = rows[begin : begin + _ROWS_PER_PIECE]
+                    yield tree, str(node), bins[some].tobytes(), labels[some].tobytes(), weights[some].astype(np.int64).tobytes()
+
+    def finish(pieces: pd.DataFrame) -> pd.DataFrame:
+        tree, node = int(pieces["tree"].iat[0]), int(pieces["node"].iat[0])
+        labels, weights = np.frombuffer(b"".join(pieces["labels"])), np.frombuffer(b"".join(pieces["weights"]), dtype=np.int64)
+        bins = np.frombuffer(b"".join(pieces["bins"]), dtype=np.uint8).reshape(len(labels), -1)
         grown = grow_subtree(bins, labels, weights, seed, tree, node, tries)
-        return [(t, str(a), str(b), str(c), *rest) for t, a, b, c, *rest in grown]
+        names = [c.split()[0] for c in _GROWN.split(", ")]
+        return pd.DataFrame([(t, str(a), str(b), str(c), *rest) for t, a, b, c, *rest in grown], columns=names)
 
-    tasks = max(blocks.getNumPartitions(), min(64, len(upper)))
-    return blocks.flatMap(scattered).groupByKey(tasks).flatMap(finish)
+    pieces = spark.createDataFrame(blocks.flatMap(scattered), "tree long, node string, bins binary, labels binary, weights binary")
+    return pieces.groupBy("tree", "node").applyInPandas(finish, _GROWN)
 
 
 def _node_table(grown: DataFrame, edges: list[np.ndarray], n_trees: int) -> DataFrame:

@@ -39,6 +39,26 @@ def test_trees_do_not_depend_on_where_they_are_grown(noisy, monkeypatch):
     assert whole.equals(dealt)
 
 
+def test_rows_of_large_leaves_do_not_meet(spark, monkeypatch):
+    # one cut parts the classes: two leaves of some 600 rows each, which once met in one task, however many they were
+    x = np.repeat([[0.0, 3.0], [1.0, 3.0]], 600, axis=0)
+    df, names = table_of(spark, x, x[:, 0])
+    pieces = []
+    created = spark.createDataFrame
+
+    def create(data, schema=None, **options):
+        if "bins binary" in str(schema):
+            pieces.append(data.count())
+        return created(data, schema, **options)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda _, *a, **b: create(*a, **b))
+    few = D.fit_pipeline(FO.DeepForest(trees=3, localRows=100), names, df)
+    assert pieces == [0]
+    pieces.clear()
+    whole = D.fit_pipeline(FO.DeepForest(trees=3), names, df)
+    assert pieces[0] > 0 and nodes_of(few).equals(nodes_of(whole)) and len(nodes_of(few)) == 9
+
+
 def test_nodes_part_their_rows(spark, noisy):
     df, names = noisy
     model = D.fit_pipeline(FO.DeepForest(trees=3), names, df)
