@@ -40,6 +40,8 @@ from inkprint.storage import stored
 ROWS_PER_BLOCK = 16_384
 # margins are brought up to date after so many trees; until then jobs add the newer trees' themselves
 _TREES_PER_STATE = 25
+# with more rows, the quantiles of so many columns are sketched in a job: a task holds up to some 2 MB for each
+SKETCH_ROWS, SKETCH_COLUMNS = 200_000, 32
 _MAX_BINS = 255  # the 256th is for missing values
 _HALF = 26  # bits of the lower half of a summed number
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, missing_left boolean, value double, n double, gain double"
@@ -414,9 +416,11 @@ def binned_rows(df: DataFrame, label: str, vector: str, max_bins: int = _MAX_BIN
         raise ValueError("no labelled rows to fit")
     bins = min(max_bins, _MAX_BINS)
     shares = ", ".join(f"{i / (bins - 1)!r}D" for i in range(bins))
-    found = rows.agg(
-        *[F.expr(f"percentile_approx(if(isnan(x[{i}]), null, x[{i}]), array({shares}), 10000)").alias(f"q{i}") for i in range(width)]
-    ).first()
+    found, step = [], width if n <= SKETCH_ROWS else SKETCH_COLUMNS
+    for begin in range(0, width, max(1, step)):
+        some = range(begin, min(begin + step, width))
+        sketches = [F.expr(f"percentile_approx(if(isnan(x[{i}]), null, x[{i}]), array({shares}), 10000)").alias(f"q{i}") for i in some]
+        found += rows.agg(*sketches).first()
     edges = []
     for column in found:
         values = np.unique(np.array(column or [], dtype=np.float64))

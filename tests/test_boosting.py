@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from inkprint.operators import boosting as B
@@ -136,3 +137,17 @@ def test_rows_between_the_same_thresholds_are_alike():
     x = np.array([[1.0, 5.0], [1.4, 5.0], [1.5, 9.0], [np.nan, 5.0], [2.0, 5.0], [np.nan, 7.0]])
     first, which = B.alike(x, np.array([0, 0]), np.array([1.5, 1.9]))
     assert which[0] == which[1] == which[2] and which[3] == which[5] and len(first) == 3
+
+
+def test_quantiles_of_many_rows_are_sketched_a_few_columns_at_a_time(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(300, 5))
+    rows = [(str(i), i % 2, list(map(float, r))) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, label int, x array<double>").withColumn("features", array_to_vector("x"))
+    _, whole, *_ = B.binned_rows(df, "label", "features")
+    asked, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *columns: asked.append(len(columns)) or agg(self, *columns))
+    monkeypatch.setattr(B, "SKETCH_ROWS", 100)
+    monkeypatch.setattr(B, "SKETCH_COLUMNS", 2)
+    _, parts, *_ = B.binned_rows(df, "label", "features")
+    assert asked == [3, 2, 2, 1] and len(parts) == 5
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
